@@ -217,8 +217,11 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5):
         term = padded[at + i] * np.uint64(pow(_MULT, 3 * i + 1, 1 << 64))
         total += np.where(span > i, term, np.uint64(0)) if (span <= i).any() else term
     total = mix(total + span.astype(np.uint64), 11)
-    order = np.lexsort((total, rows)) if n_rows > 1 else np.argsort(total)
-    rows, total = rows[order], total[order]
+    edge = 0
+    for size in per_row.tolist():  # rows are in order; only the hashes of each are sorted
+        if size > 1:
+            total[edge : edge + size].sort()
+        edge += size
     fresh = np.ones(len(rows), dtype=bool)
     fresh[1:] = (rows[1:] != rows[:-1]) | (total[1:] != total[:-1])
     return rows[fresh], total[fresh]
