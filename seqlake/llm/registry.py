@@ -7,6 +7,7 @@ form, so each query is tested against a brute-force version in tests/llm.
 from __future__ import annotations
 
 from seqlake.llm.fingerprints import op8_bottom_k_fingerprints
+from seqlake.llm.near_dedup import op5_super_minhash
 from seqlake.llm.packing import op2_best_fit_packing
 from seqlake.llm.sharding import op9_hilbert_shards
 from seqlake.llm.tokens import op1_token_counts
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op5_super_minhash": op5_super_minhash,
         "op8_bottom_k_fingerprints": op8_bottom_k_fingerprints,
         "op9_hilbert_shards": op9_hilbert_shards,
     }

@@ -7,7 +7,7 @@ any of them. Only DataFrame expressions are used.
 
 A row's place along the curve is the number of rows in earlier cells plus
 its place in its own cell. Large cells are split by a hash of the id into
-slices of about SLICE_ROWS rows, so no window holds a hot cell as a whole;
+slices of bounded number, so no window holds a hot cell as a whole;
 the counts that are summed in order are a table of cells and slices.
 
 Defined cases: a null text has size 16 and the checksum of no bytes; null
@@ -29,7 +29,8 @@ from seqlake.llm.common import documents
 N_SHARDS = 40
 #: Bits of each of the three quantised dimensions: 2**(3 * 4) = 4096 cells.
 BITS = 4
-SLICE_ROWS = 1 << 20
+#: Cells are split into slices of at least so many rows, and into so many slices in all.
+LEAST_SLICE_ROWS, MOST_SLICES = 512, 1 << 15
 ROW_OVERHEAD = 16
 
 
@@ -99,25 +100,22 @@ def hilbert_shards(df: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) ->
     )
     rows = rows.select("doc_id", "size", "text_crc32", hilbert_index(quantised(bits), bits).alias("hilbert"))
     cells = rows.groupBy("hilbert").agg(F.count("*").alias("cell_rows"))  # at most 2**(3 * bits) rows
-    rows = rows.join(F.broadcast(cells), "hilbert").withColumn(
-        "slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.ceil(F.col("cell_rows") / F.lit(SLICE_ROWS)))
-    )
-    counts = rows.groupBy("hilbert", "slice").agg(F.count("*").alias("n"))
     before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    in_cell = Window.partitionBy("hilbert").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cells.select(
-        F.col("hilbert").alias("cell"),
+    cells = cells.select(
+        "*",
         F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("cell_base"),
         F.sum("cell_rows").over(Window.partitionBy()).alias("total"),
     )
-    slices = (
-        counts.withColumn("slice_base", F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
-        .join(F.broadcast(bases), F.col("hilbert") == F.col("cell"))
-        .select("hilbert", "slice", (F.col("cell_base") + F.col("slice_base")).alias("base"), "total")
+    slice_rows = F.greatest(F.lit(LEAST_SLICE_ROWS), F.col("total") / F.lit(MOST_SLICES))
+    rows = rows.join(F.broadcast(cells), "hilbert").withColumn(
+        "slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.ceil(F.col("cell_rows") / slice_rows))
     )
+    in_cell = Window.partitionBy("hilbert").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("hilbert", "slice").agg(F.count("*").alias("n"))  # at most MOST_SLICES more than cells
+    slices = slices.select("hilbert", "slice", F.coalesce(F.sum("n").over(in_cell), F.lit(0)).alias("slice_base"))
     own = Window.partitionBy("hilbert", "slice").orderBy("text_crc32", "doc_id", "size")
-    ranked = rows.withColumn("own", F.row_number().over(own)).join(slices, ["hilbert", "slice"])
-    rank = F.col("base") + F.col("own") - F.lit(1)
+    ranked = rows.withColumn("own", F.row_number().over(own)).join(F.broadcast(slices), ["hilbert", "slice"])
+    rank = F.col("cell_base") + F.col("slice_base") + F.col("own") - F.lit(1)
     ranked = ranked.withColumn("rank", rank).withColumn("shard", F.floor(F.col("rank") * F.lit(n_shards) / F.col("total")).cast("long"))
     start = F.floor((F.col("shard") * F.col("total") + F.lit(n_shards - 1)) / F.lit(n_shards))
     return ranked.select(
