@@ -10,6 +10,7 @@ from seqlake.llm.fingerprints import op8_bottom_k_fingerprints
 from seqlake.llm.near_dedup import op5_super_minhash
 from seqlake.llm.packing import op2_best_fit_packing
 from seqlake.llm.sharding import op9_hilbert_shards
+from seqlake.llm.suffix_dedup import op3_suffix_dedup
 from seqlake.llm.tokens import op1_token_counts
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op5_super_minhash": op5_super_minhash,
         "op8_bottom_k_fingerprints": op8_bottom_k_fingerprints,
         "op9_hilbert_shards": op9_hilbert_shards,
