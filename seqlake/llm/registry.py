@@ -9,6 +9,7 @@ from __future__ import annotations
 from seqlake.llm.fingerprints import op8_bottom_k_fingerprints
 from seqlake.llm.near_dedup import op5_super_minhash
 from seqlake.llm.packing import op2_best_fit_packing
+from seqlake.llm.quality import op7_kneser_ney_quality
 from seqlake.llm.sharding import op9_hilbert_shards
 from seqlake.llm.suffix_dedup import op3_suffix_dedup
 from seqlake.llm.tokens import op1_token_counts
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op5_super_minhash": op5_super_minhash,
+        "op7_kneser_ney_quality": op7_kneser_ney_quality,
         "op8_bottom_k_fingerprints": op8_bottom_k_fingerprints,
         "op9_hilbert_shards": op9_hilbert_shards,
     }
