@@ -24,7 +24,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from itertools import count
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +38,39 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 CLOSING_ID = 1
 BATCH_BYTES = 4 << 20
-#: Distinct words that a worker remembers, and the longest one it remembers.
-MEMORY_WORDS, MEMORY_CHARS = 400_000, 48
+#: Distinct words that a worker remembers, and their characters.
+MEMORY_WORDS, MEMORY_CHARS = 800_000, 24_000_000
 
-#: A mark between an ASCII letter and white space is a piece of its own.
-_MARK = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|$)")
+#: A mark between a composed letter and white space is a piece of its own.
+_MARK = re.compile(r"(?<=[A-Za-zà-öø-ÿ])([.,])(?=[ \n]|$)")
 #: Words that are one piece: lower-case letters that are composed already.
 _PLAIN = re.compile(r"[a-zà-öø-ÿ]+")
 
 
+class _Numbers(dict):
+    """Word -> number, given in the order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _split(text: str) -> list[str]:
+    """Words whose ids, in order, are those of the text.
+
+    Texts of Latin-1 characters are folded first: the vocabulary folds them
+    alike, and none of them composes with another. A special token's string
+    is left as it is.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return _MARK.sub(r" \1", text).replace("\n", " ").split(" ")
+
+
 class WordIds:
     """Token ids of whitespace-separated words, each distinct word encoded once.
 
@@ -65,68 +89,63 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
+        self.chars = 0
         self.flat = np.zeros(0, dtype=np.uint32)
         self.start = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the words, and the number of each word's ids."""
-        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
-        other = [i for i, w in enumerate(words) if not _PLAIN.fullmatch(w)]
-        own: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        for a in range(0, len(plain), 2000):
-            some = plain[a : a + 2000]
-            ids = np.array(self.encode.encode(" ".join(words[i] for i in some), add_special_tokens=False).ids, dtype=np.uint32)
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, joined in some order, and where each word's ids start and how many they are."""
+        plain, other = [], []
+        for i, w in enumerate(words):
+            (plain if _PLAIN.fullmatch(w) else other).append(i)
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, at = [], 0
+        for a in range(0, len(plain), 4000):
+            some = plain[a : a + 4000]
+            joined = " ".join([words[i] for i in some])
+            ids = np.array(self.encode.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                for i, part in zip(some, np.split(ids, cuts[:-1])):
-                    own[i] = part
-            else:
+            if len(cuts) != len(some):  # a word of several pieces after all
                 other += some
-        for i, done in zip(other, self.encode.encode_batch_fast([words[i] for i in other], add_special_tokens=False)):
-            own[i] = np.array(done.ids, dtype=np.uint32)
-        return np.concatenate(own or [np.zeros(0, np.uint32)]), np.fromiter(map(len, own), np.int64, len(own))
+                continue
+            start[some], length[some] = at + np.append(0, cuts[:-1]), np.diff(cuts, prepend=0)
+            flat.append(ids)
+            at += len(ids)
+        if other:
+            found = [done.ids for done in self.encode.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            start[other], length[other] = at + np.cumsum(sizes) - sizes, sizes
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        return np.concatenate(flat or [np.zeros(0, np.uint32)]), start, length
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and the number of each text's ids."""
-        if len(self.number) > MEMORY_WORDS:
+        if len(self.number) > MEMORY_WORDS or self.chars > MEMORY_CHARS:
             self.clear()
-        known = self.number
-        before = len(known)
-        fresh = count(before)
+        before = len(self.number)
+        numbered = self.number.__getitem__
         places: list[int] = []
         sizes = []
-        missing: list[str] = []
         for text in texts:
-            if text.isascii() and "<|" not in text:
-                text = text.lower()
-            words = _MARK.sub(r" \1", text).replace("\n", " ").split(" ")
-            try:
-                found = [known[w] for w in words]
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = next(fresh)
-                        missing.append(w)
-                found = [known[w] for w in words]
-            places += found
-            sizes.append(len(found))
+            words = _split(text)
+            places.extend(map(numbered, words))
+            sizes.append(len(words))
+        missing = list(islice(self.number, before, None))
         if missing:
-            flat, length = self._encode(missing)
-            begin = len(self.flat)
-            self.flat = np.concatenate([self.flat, flat])
-            self.start = np.concatenate([self.start, begin + np.cumsum(length) - length])
+            flat, start, length = self._encode(missing)
+            self.start = np.concatenate([self.start, len(self.flat) + start])
             self.length = np.concatenate([self.length, length])
+            self.flat = np.concatenate([self.flat, flat])
         at = np.array(places, dtype=np.int64)
         each = self.length[at]
-        total = int(each.sum())
-        within = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
-        out = self.flat[np.repeat(self.start[at], each) + within]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.flat[np.arange(total) + np.repeat(self.start[at] - ends + each, each)]
+        sums = np.concatenate([[0], ends])
         edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(each)])
-        if any(len(w) > MEMORY_CHARS for w in missing):
-            self.clear()  # long words aren't worth keeping, and numbers are given in order
+        self.chars += sum(map(len, missing))
         return out, np.diff(sums[edges])
 
 
@@ -286,7 +305,7 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOS
             sequence = first[at] + rank - ranks[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offsets[at])], names=names)
 
-    ranked = made.join(bases, ["split", "length"]).select(
+    ranked = made.join(bases.hint("merge"), ["split", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
     )
     return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
