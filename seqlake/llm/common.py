@@ -119,6 +119,8 @@ FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 #: Bytes that separate words: 0x20 and 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that separate plain words: white space, controls and ASCII punctuation.
+IS_MARK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 class Rolling:
@@ -166,15 +168,15 @@ def runs_by_bytes(offsets: np.ndarray, most: int):
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray):
-    """Start and end of every word [^\\x20\\x09-\\x0D]+ and the word count of each row.
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE):
+    """Start and end of every word (a run of bytes that don't separate) and the word count of each row.
 
     Words never cross rows.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~separators[data]
     breaks = np.zeros(n + 1, dtype=bool)
     breaks[offsets] = True
     opens = inside.copy()
@@ -186,9 +188,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, counts
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE):
     """A 64-bit hash of every word, A-Z folded, and the word count of each row."""
-    starts, ends, counts = word_spans(data, offsets)
+    starts, ends, counts = word_spans(data, offsets, separators)
     if not len(starts):
         return np.zeros(0, np.uint64), counts
     rolled = Rolling(data, FOLDED_VALUES).slices(starts, ends)
