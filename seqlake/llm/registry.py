@@ -6,6 +6,8 @@ form, so each query is tested against a brute-force version in tests/llm.
 
 from __future__ import annotations
 
+from seqlake.llm.decontamination import op6_latent_decontamination
+from seqlake.llm.extraction import op4_boosted_extraction
 from seqlake.llm.fingerprints import op8_bottom_k_fingerprints
 from seqlake.llm.near_dedup import op5_super_minhash
 from seqlake.llm.packing import op2_best_fit_packing
@@ -21,6 +23,8 @@ def queries() -> dict:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op5_super_minhash": op5_super_minhash,
+        "op4_boosted_extraction": op4_boosted_extraction,
+        "op6_latent_decontamination": op6_latent_decontamination,
         "op7_kneser_ney_quality": op7_kneser_ney_quality,
         "op8_bottom_k_fingerprints": op8_bottom_k_fingerprints,
         "op9_hilbert_shards": op9_hilbert_shards,
