@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Ids that may be broadcast as a filter; beyond it the filter is a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Rows to an Arrow batch, as rows hold whole texts.
+ARROW_ROWS = 2000
 
 
 # --------------------------------------------------------------- scratch tables
@@ -31,10 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small: ARROW_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
@@ -70,6 +80,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Large inputs keep the splits of their files, so that no text is shuffled.
     """
+    bound_batches(df.sparkSession)
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 

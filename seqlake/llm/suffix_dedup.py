@@ -45,7 +45,7 @@ from seqlake.llm.common import BROADCAST_IDS, Rolling, Scratch, documents, mix,
 THRESHOLD = 400
 #: Bytes of an anchor piece, and the offsets of a run in each later pass.
 GRAM, CELLS = 24, (64, 8, 1)
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 _POS_BITS = 23
 _POS = np.uint64((1 << _POS_BITS) - 1)
 
@@ -143,7 +143,9 @@ def _split(texts: DataFrame, items: DataFrame, cell: int, threshold: int) -> Dat
 
     def cut(batches):
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            made = []
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
                 held = batch.column(2)[i].values
                 m, lo, hi = (held.field(c).to_numpy().astype(np.int64) for c in ("m", "lo", "hi"))
                 done = held.field("done").to_numpy(zero_copy_only=False)
@@ -156,8 +158,9 @@ def _split(texts: DataFrame, items: DataFrame, cell: int, threshold: int) -> Dat
                 rolled = Rolling(np.frombuffer((text or "").encode(), dtype=np.uint8))
                 core = _joined(rolled.slices(m - low, m - high + threshold), number)
                 union = _joined(rolled.slices(m - hi, m - lo + threshold), lo, hi)
-                columns = [np.full(len(m), batch.column(0)[i].as_py()), m.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), done, core.view(np.int64), union.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                made.append((np.full(len(m), batch.column(0)[i].as_py()), m.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), done, core.view(np.int64), union.view(np.int64)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=names)
 
     own = items.groupBy("uid").agg(F.collect_list(F.struct("m", "lo", "hi", "done")).alias("items"))
     return texts.join(own, "uid").select("uid", "text", "items").mapInArrow(
