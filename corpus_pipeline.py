@@ -1,7 +1,82 @@
-"""Placeholder until the stages exist."""
-STAGES: list = []
+"""The training-data pipeline: five stages, from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it to the shared folder and hands it to the next stage. All stages but the
+last return the columns of documents (doc_id, text, lang, source, n_chars).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqlake.llm import decontamination, near_dedup, packing, quality, suffix_dedup
+from seqlake.llm.common import BROADCAST_IDS, Scratch, documents
+from seqlake.llm.tokens import default_path
+
+#: Bytes of a repeated passage that the pipeline removes: about fifty short words.
+PASSAGE_BYTES = 250
+
+#: None of the stages (trained model, sketches, suffix windows, latent search, tokenizer) has a SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents whose row key isn't among ``gone``; a broadcast only while those are few."""
+    gone = scratch.keep(gone.distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.withColumn("uid", quality.row_key()).join(gone, "uid", "left_anti").select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, judged.filter("NOT kept").select("uid"), Scratch(spark, "stage7"))
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one with the smallest id; of equal rows, one."""
+    scratch = Scratch(spark, "stage5")
+    found = near_dedup.near_duplicates(docs)
+    gone = scratch.keep(found.filter("NOT kept AND component_id IS NOT NULL").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = scratch.keep(kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+
+
+def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur more than once are cut out of the texts, in all their places."""
+    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("uid"), Scratch(spark, "stage6"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, and their places in sequences."""
+    return packing.pack(docs, default_path(packing.VOCABULARY))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", near_deduplication),
+    ("suffix_array_dedup", suffix_deduplication),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again as the next one's documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs

@@ -15,6 +15,7 @@ from seqlake.llm.quality import op7_kneser_ney_quality
 from seqlake.llm.sharding import op9_hilbert_shards
 from seqlake.llm.suffix_dedup import op3_suffix_dedup
 from seqlake.llm.tokens import op1_token_counts
+from seqlake.llm.warc import op10_merkle_audit
 
 
 def queries() -> dict:
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op7_kneser_ney_quality": op7_kneser_ney_quality,
         "op8_bottom_k_fingerprints": op8_bottom_k_fingerprints,
         "op9_hilbert_shards": op9_hilbert_shards,
+        "op10_merkle_audit": op10_merkle_audit,
     }
 
 
