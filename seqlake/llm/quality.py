@@ -15,18 +15,20 @@ is rejected if
 * one of its words is explained far better by the model that has also seen
   toxic text, which says the same of words with the stems of such words.
 
-Both limits are quantiles of the trusted rows of the language, plus a margin.
+Both limits are quantiles of trusted rows of the language, plus a margin. They
+are taken over a quarter of the trusted rows that the models haven't seen.
 
 Counting: each split of the input gives the distinct six-grams of its texts
 with their counts by label, so what is gathered grows with the input. The
 model's probabilities are joined to the distinct n-grams order by order, and
-go back to the split that needs them (its shard): the shard's n-grams, then
-its texts, arrive sorted in one stream. No model is collected or broadcast.
+are sent to all workers while they are few (MODEL_ROWS); beyond that they go
+back to the split that needs them (its shard): the shard's n-grams, then its
+texts, arrive sorted in one stream.
 
 Defined cases: a null or empty text, or one of white space only, has no
 symbols, the perplexity and peak of its language's ordinary text, and is
-kept; a null or unlabelled language is a language of its own, and one without
-trusted rows takes the limits of all trusted rows; without any trusted row
+kept; a null or unlabelled language is a language of its own, and one with
+few trusted rows takes the limits of all; without any trusted row held out
 every text is kept; repeated rows are judged alike; a null id has no label;
 an id that is labelled twice counts as trusted only if all its labels do;
 labels of unknown ids are ignored; an empty table gives an empty result;
@@ -44,15 +46,19 @@ from seqlake.llm.common import BROADCAST_IDS, Rolling, Scratch, documents, mix,
 
 ORDER = 6
 START, END, AGAIN = 2, 3, 4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: N-grams that may be sent to every worker (16 bytes each); a larger model goes out by shards.
+MODEL_ROWS = 4_000_000
 #: Probability of a symbol that was never seen.
 FLOOR = 1.0 / 256
 #: Symbols of ordinary text that each document's mean is shrunk with.
 PRIOR_SYMBOLS = 120
-#: The quantiles of trusted rows that limits are made from, and their margins: of the
+#: One in so many trusted rows is held out for the limits; a language with fewer such
+#: rows takes the limits of all languages. The quantiles of those rows that limits are made from, and their margins: of the
 #: mean negative log probability a symbol, and of the peak a word (both in nats).
-MEAN_QUANTILE, MEAN_MARGIN = 0.999, 0.12
-PEAK_QUANTILE, PEAK_MARGIN = 0.999, 6.0
+HELD_OUT, LEAST_HELD_OUT = 4, 20
+MEAN_QUANTILE, MEAN_MARGIN = 0.9, 0.25
+PEAK_QUANTILE, PEAK_MARGIN = 0.9, 10.0
 _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48
 
@@ -116,13 +122,11 @@ def _gathered(rows: DataFrame) -> DataFrame:
                     a, b = a + low, b + low
                     number, row, grams, sizes = word_grams(*text_bytes(batch.column(1).slice(a, b - a)))
                     label = labels[a:b][row]
-                    weights = [np.repeat(np.bincount(number[label >= least], minlength=len(sizes)), sizes) for least in (2, 1)]
-                    own = held.setdefault(int(shards[low]), [])
-                    own.append((grams, *weights))
-                    if sum(len(p[0]) for p in own) > 8_000_000:
-                        held[int(shards[low])] = [fold(int(shards[low]))]
-                    elif len(own) > 1 and len(held) == 1 and len(own) % 4 == 0:
-                        held[int(shards[low])] = [fold(int(shards[low]))]
+                    weights = [np.repeat(np.bincount(number[own], minlength=len(sizes)), sizes) for own in (label == 2, (label == 1) | (label == 2))]
+                    shard = int(shards[low])
+                    held.setdefault(shard, []).append((grams, *weights))
+                    if len(held[shard]) % 4 == 0 or sum(len(p[0]) for p in held[shard]) > 4_000_000:
+                        held[shard] = [fold(shard)]
             while len(held) > 16:  # shards come in runs where the input has files
                 shard = next(iter(held))
                 grams, trusted, decent = fold(shard)
@@ -215,55 +219,84 @@ def probabilities(asked: DataFrame, alpha: DataFrame, gamma: DataFrame, names: t
 # ------------------------------------------------------------------ scoring
 
 
-def _scored(stream: DataFrame) -> DataFrame:
-    """Symbols, negative log probability and peak of every text of a stream of shards.
+_NAMES = ["row", "symbols", "nll", "peak"]
+_ROW = "struct<uid:long,doc_id:long,lang:string,label:int>"
+
+
+def _scored_batches(batch, row_col: int, text_col: int, model):
+    """Symbols, negative log probability and peak of every text; model: rising grams, log probabilities, log ratios."""
+    grams, trusted, ratio = model
+    _, offsets = text_bytes(batch.column(text_col))
+    for a, b in runs_by_bytes(offsets, BATCH_BYTES):
+        number, row, own, sizes = word_grams(*text_bytes(batch.column(text_col).slice(a, b - a)))
+        n = b - a
+        symbols, total, top = np.zeros(n), np.zeros(n), np.zeros(n)
+        if len(own):
+            distinct, back = np.unique(own, return_inverse=True)
+            at = np.searchsorted(grams, distinct)
+            edges = np.cumsum(sizes) - sizes
+            nll = -np.add.reduceat(trusted[at][back], edges, dtype=np.float64)
+            peak = np.add.reduceat(ratio[at][back], edges, dtype=np.float64)
+            symbols = np.bincount(row, sizes[number], n)
+            total = np.bincount(row, nll[number], n)
+            top = np.full(n, -np.inf)
+            np.maximum.at(top, row, peak[number])
+            top[symbols == 0] = 0.0
+        columns = [batch.column(row_col).slice(a, n), pa.array(symbols.astype(np.int64)), pa.array(total), pa.array(top)]
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+def _model(grams: np.ndarray, trusted: np.ndarray, decent: np.ndarray):
+    order = np.argsort(grams)
+    logs = np.log(trusted[order])
+    return grams[order], logs.astype(np.float32), (np.log(decent[order]) - logs).astype(np.float32)
+
+
+def _scored_by_broadcast(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Scores with a model of at most MODEL_ROWS n-grams, sent to every worker."""
+    table = known.select("gram", "trusted", "decent").toArrow()
+    model = rows.sparkSession.sparkContext.broadcast(_model(*(table.column(c).to_numpy() for c in ("gram", "trusted", "decent"))))
 
-    In the stream a shard's n-grams (no row number) come before its texts.
-    """
-    names = ["row", "symbols", "nll", "peak"]
+    def scored(batches):
+        for batch in batches:
+            yield from _scored_batches(batch, 0, 1, model.value)
+
+    return rows.select(F.struct("uid", "doc_id", "lang", "label").alias("row"), "text").mapInArrow(scored, f"row {_ROW}, symbols long, nll double, peak double")
+
+
+def _scored_by_shard(rows: DataFrame, needed: DataFrame, known: DataFrame) -> DataFrame:
+    """Scores with a model of any size: each shard gets the n-grams of its texts, then its texts."""
+    nothing = {"gram": "long", "trusted": "double", "decent": "double", "row": _ROW, "text": "string"}
+
+    def column(name, given):
+        return F.col(name) if name in given else F.lit(None).cast(nothing[name]).alias(name)
+
+    model = needed.select("shard", "gram").join(known, "gram")
+    model = model.select("shard", F.lit(0).alias("is_text"), *(column(c, ("gram", "trusted", "decent")) for c in nothing))
+    texts = rows.withColumn("row", F.struct("uid", "doc_id", "lang", "label"))
+    texts = texts.select("shard", F.lit(1).alias("is_text"), *(column(c, ("row", "text")) for c in nothing))
 
     def scored(batches):
-        shard, parts, grams, trusted, ratio = None, [], None, None, None
+        shard, parts, held = None, [], None
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            is_text = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            shards, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(bool)
             cuts = np.concatenate([[0], np.flatnonzero((shards[1:] != shards[:-1]) | (is_text[1:] != is_text[:-1])) + 1, [len(shards)]])
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if low == high:
                     continue
                 part = batch.slice(low, high - low)
                 if shards[low] != shard:
-                    shard, parts, grams = shards[low], [], None
+                    shard, parts, held = shards[low], [], None
                 if not is_text[low]:
                     parts.append([part.column(i).to_numpy() for i in (2, 3, 4)])
                     continue
-                if grams is None:
-                    grams, trusted, decent = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
-                    order = np.argsort(grams)
-                    grams, trusted = grams[order], np.log(trusted[order])
-                    ratio = np.log(decent[order]) - trusted
-                _, offsets = text_bytes(part.column(6))
-                for a, b in runs_by_bytes(offsets, BATCH_BYTES):
-                    number, row, own, sizes = word_grams(*text_bytes(part.column(6).slice(a, b - a)))
-                    n = b - a
-                    if len(own):
-                        distinct, back = np.unique(own, return_inverse=True)
-                        at = np.searchsorted(grams, distinct)
-                        edges = np.cumsum(sizes) - sizes
-                        nll = -np.add.reduceat(trusted[at][back], edges)
-                        peak = np.add.reduceat(ratio[at][back], edges)
-                        symbols = np.bincount(row, sizes[number], n)
-                        total = np.bincount(row, nll[number], n)
-                        top = np.full(n, -np.inf)
-                        np.maximum.at(top, row, peak[number])
-                        top[symbols == 0] = 0.0
-                    else:
-                        symbols, total, top = np.zeros(n), np.zeros(n), np.zeros(n)
-                    columns = [part.column(5).slice(a, n), pa.array(symbols.astype(np.int64)), pa.array(total), pa.array(top)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = "row struct<uid:long,doc_id:long,lang:string,label:int>, symbols long, nll double, peak double"
-    return stream.mapInArrow(scored, schema)
+                if held is None:
+                    held = _model(*(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3)))
+                yield from _scored_batches(part, 5, 6, held)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = model.unionByName(texts).repartition(n, "shard").sortWithinPartitions("shard", "is_text")
+    return stream.mapInArrow(scored, f"row {_ROW}, symbols long, nll double, peak double")
 
 
 def row_key() -> Column:
@@ -271,8 +304,11 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def scores(df: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(uid, doc_id, lang, label, symbols, nll, peak) of every row; label 2 is trusted, 1 of quality, 0 anything else."""
+def scores(df: DataFrame, labels: DataFrame, scratch: Scratch, model_rows: int = MODEL_ROWS) -> DataFrame:
+    """(uid, doc_id, lang, label, symbols, nll, peak) of every row.
+
+    Label 3 is trusted but held out, 2 trusted, 1 of quality, 0 anything else.
+    """
     spark = df.sparkSession
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when(F.col("quality") == 1, 1).otherwise(0)).alias("label")
@@ -285,29 +321,27 @@ def scores(df: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     rows = rows.withColumn("shard", F.when(F.input_file_name() == "", F.pmod(F.xxhash64("doc_id", "text"), F.lit(16))).otherwise(split))
     rows = rows.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    unseen = F.pmod(F.xxhash64("uid"), F.lit(HELD_OUT)) == 0
+    rows = rows.withColumn("label", F.when((F.col("label") == 2) & unseen, F.lit(3)).otherwise(F.col("label")))
     needed = scratch.keep(_gathered(rows), "needed")
     counts = needed.groupBy("gram").agg(F.sum("trusted").alias("trusted"), F.sum("decent").alias("decent"))
     counts = scratch.keep(counts, "counts")
     alpha, gamma = kneser_ney(counts, scratch)
     known_p = scratch.keep(probabilities(counts.select("gram"), alpha, gamma), "probabilities")
-    model = needed.select("shard", "gram").distinct().join(known_p, "gram").select(
-        "shard", F.lit(0).alias("is_text"), "gram", F.col("trusted").cast("float").alias("trusted"), F.col("decent").cast("float").alias("decent"),
-        F.lit(None).cast("struct<uid:long,doc_id:long,lang:string,label:int>").alias("row"), F.lit(None).cast("string").alias("text"),
-    )
-    texts = rows.select(
-        "shard", F.lit(1).alias("is_text"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("trusted"),
-        F.lit(None).cast("float").alias("decent"), F.struct("uid", "doc_id", "lang", "label").alias("row"), "text",
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = model.unionByName(texts).repartition(parts, "shard").sortWithinPartitions("shard", "is_text")
-    return scratch.keep(_scored(stream).select("row.*", "symbols", "nll", "peak"), "scores")
+    if known_p.count() <= model_rows:
+        scored = _scored_by_broadcast(rows, known_p)
+    else:
+        scored = _scored_by_shard(rows, needed, known_p)
+    found = scratch.keep(scored.select("row.*", "symbols", "nll", "peak"), "scores")
+    scratch.drop("needed", "counts", "alpha", "gamma", "counted", "sums", "probabilities")
+    return found
 
 
 def judged(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Perplexity, peak and verdict of every row."""
     scratch = Scratch(df.sparkSession, "quality")
     found = scores(df, labels, scratch)
-    trusted = found.filter("label = 2 AND symbols > 0")
+    trusted = found.filter("label >= 2 AND symbols > 0")
     ordinary = trusted.groupBy("lang").agg((F.sum("nll") / F.sum("symbols")).alias("usual"))
     overall = trusted.agg((F.sum("nll") / F.sum("symbols")).alias("usual_all"))
     usual = F.coalesce("usual", "usual_all", F.lit(0.0))
@@ -318,8 +352,8 @@ def judged(df: DataFrame, labels: DataFrame) -> DataFrame:
         (F.percentile_approx("mean", MEAN_QUANTILE, 100_000) + MEAN_MARGIN).alias("mean_limit"),
         (F.percentile_approx("peak", PEAK_QUANTILE, 100_000) + PEAK_MARGIN).alias("peak_limit"),
     ]
-    trusted = found.filter("label = 2 AND symbols > 0")
-    by_lang = trusted.groupBy(F.col("lang").alias("l")).agg(*limits)
+    trusted = found.filter("label = 3 AND symbols > 0")
+    by_lang = trusted.groupBy(F.col("lang").alias("l")).agg(*limits, F.count("*").alias("n")).filter(F.col("n") >= LEAST_HELD_OUT).drop("n")
     overall = trusted.agg(*(x.alias(n) for x, n in zip(limits, ("mean_all", "peak_all"))))
     found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(overall))
     none = F.lit(float("inf"))
