@@ -201,6 +201,7 @@ def _attributes(raw: str) -> tuple[frozenset, bool]:
 
 _TAGS = ("p", "li", "td", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "blockquote", "ul", "body")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+N_FEATURES = 27 + 2 * len(_TAGS)
 _SHUT = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"))
 
 
@@ -269,7 +270,7 @@ def blocks_of(root: Node) -> tuple[list[Block], np.ndarray]:
             ]
             todo.append([p, [float(x) for x in row]])
         stack += reversed(todo)
-    return blocks, np.array(rows, dtype=np.float32).reshape(len(rows), -1)
+    return blocks, np.array(rows, dtype=np.float32).reshape(len(rows), N_FEATURES)
 
 
 # ------------------------------------------------------------- boosted trees
