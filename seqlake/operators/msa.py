@@ -254,3 +254,92 @@ def purge(cells: DataFrame, identity: float = 0.9, sweep_from: float = 0.2, step
     return own.groupBy("msa_id").applyInPandas(one, f"msa_id {kind}, seq_id long, kept boolean")
 
 
+
+
+def state_weights(cells: DataFrame, width: int = 10, least_columns: int = 10, cap: float = 20.0) -> DataFrame:
+    """(msa_id, pos, code, weight, n_obs): residue weights of each column by the sequences of its extent.
+
+    Within a column's extent, sequences get position-based weights of their
+    own (global ones where the extent is short). The effective observations
+    are n * exp(0.5 (1 - W) ln W) with W the weight of residues in the
+    column, at most ``cap``.
+    """
+    global_w = global_weights(cells)
+    span = extents(cells, width).select("msa_id", F.col("pos").alias("col"), "left", "right")
+    own = residues(cells).select(*CELL, "code")
+    members = own.select("msa_id", "seq_id", F.col("pos").alias("col"))
+    bounds = span.join(members, ["msa_id", "col"])
+    # columns that share an extent share its weights: they are made once for each distinct extent
+    extent = bounds.select("msa_id", "left", "right", "seq_id").distinct()
+    inside = extent.join(own, ["msa_id", "seq_id"]).filter(F.col("pos").between(F.col("left"), F.col("right")))
+    column = Window.partitionBy("msa_id", "left", "right", "pos")
+    counts = inside.groupBy("msa_id", "left", "right", "pos", "code").agg(F.count("*").alias("copies")).withColumn("distinct", F.count("*").over(column))
+    raw = inside.join(counts, ["msa_id", "left", "right", "pos", "code"]).groupBy("msa_id", "left", "right", "seq_id").agg(F.sum(1 / (F.col("copies") * F.col("distinct"))).alias("w"))
+    raw = raw.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("msa_id", "left", "right")))
+    each = bounds.join(raw, ["msa_id", "left", "right", "seq_id"]).join(global_w, ["msa_id", "seq_id"])
+    short = F.col("right") - F.col("left") + 1 < least_columns
+    each = each.select("msa_id", "seq_id", F.col("col").alias("pos"), F.when(short, F.col("weight")).otherwise(F.col("w")).alias("w"))
+    joined = each.join(own, CELL)
+    n = cells.select("msa_id", "seq_id").distinct().groupBy("msa_id").agg(F.count("*").alias("n_seqs"))
+    at = Window.partitionBy("msa_id", "pos")
+    mass = joined.groupBy("msa_id", "pos", "code").agg(F.sum("w").alias("w"), F.count("*").alias("k")).withColumn("total", F.sum("w").over(at)).withColumn("rows", F.sum("k").over(at))
+    share = F.col("rows") / F.col("n_seqs")
+    obs = F.least(F.col("rows") * F.exp(0.5 * (1 - share) * F.log(share)), F.lit(cap))
+    return mass.join(n, "msa_id").select("msa_id", "pos", "code", (F.col("w") / F.col("total")).alias("weight"), obs.alias("n_obs"))
+
+
+def expected_distinct(n_max: int = 400, priors: tuple[float, ...] = BACKGROUND) -> list[float]:
+    """Expected number of distinct residues among 1 .. n_max draws from the background."""
+    total = sum(priors)
+    return [sum(1 - (1 - p / total) ** n for p in priors) for n in range(1, n_max + 1)]
+
+
+def observations_of(distinct: float, table: list[float]) -> float:
+    """Draws that give so many distinct residues: the inverse, linear between entries."""
+    if distinct <= table[0]:
+        return 1.0
+    if distinct >= table[-1]:
+        return float(len(table))
+    at = int(np.searchsorted(table, distinct))
+    return at + (distinct - table[at - 1]) / (table[at] - table[at - 1])
+
+
+def without_low_complexity(cells: DataFrame, **options) -> DataFrame:
+    """Cells with the low-complexity segments of each ungapped sequence read as X."""
+    from seqlake.functions.alphabet import ALPHABET
+    from seqlake.operators.segments import seg_sequences
+
+    own = Window.partitionBy("msa_id", "seq_id").orderBy("pos")
+    real = residues(cells).withColumn("at", F.row_number().over(own))
+    letters = F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda c: decode(c["code"]))
+    texts = real.groupBy("msa_id", "seq_id").agg(F.array_join(letters, "").alias("text")).withColumn("key", F.to_json(F.struct("msa_id", "seq_id")))
+    found = seg_sequences(texts, "key", F.col("text"), ALPHABET[:N_RESIDUES], **options)
+    inside = found.select("key", F.explode(F.sequence("left", "right")).alias("at")).distinct().withColumn("low", F.lit(True))
+    marked = real.withColumn("key", F.to_json(F.struct("msa_id", "seq_id"))).join(inside, ["key", "at"]).select(*CELL, "low")
+    return cells.join(marked, CELL, "left").withColumn("code", F.when(F.col("low"), F.lit(X)).otherwise(F.col("code"))).drop("low")
+
+
+def refined_columns(cells: DataFrame, edge: int = 40, **options) -> DataFrame:
+    """Cells with high-complexity runs down the columns near either end read as X."""
+    from seqlake.operators.segments import seg
+
+    last = cells.groupBy("msa_id").agg(F.max("pos").alias("n_cols"))
+    near = cells.join(last, "msa_id").filter((F.col("pos") <= edge) | (F.col("pos") > F.col("n_cols") - edge)).drop("n_cols")
+    kinds = dict(cells.dtypes)
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group[group["code"] < N_RESIDUES].sort_values("seq_id")
+        runs = seg(group["code"].to_numpy().astype(int), inverted=True, **{"low": 3.4, "high": 3.3, **options}) if len(group) else []
+        hit = np.zeros(len(group), dtype=bool)
+        for a, b in runs:
+            hit[a : b + 1] = True
+        return group.loc[hit, CELL]
+
+    marked = near.groupBy("msa_id", "pos").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in CELL)).withColumn("high", F.lit(True))
+    return cells.join(marked, CELL, "left").withColumn("code", F.when(F.col("high"), F.lit(X)).otherwise(F.col("code"))).drop("high")
+
+
+def select_sequences(cells: DataFrame, identity: float = 0.9) -> DataFrame:
+    """The selection pipeline: redundancy removal, match columns, low-complexity filter."""
+    kept = purge(cells, identity).filter("kept").select("msa_id", "seq_id")
+    return without_low_complexity(match_columns(cells.join(kept, ["msa_id", "seq_id"], "left_semi")))

@@ -41,18 +41,19 @@ def solve_lambda(scores: np.ndarray, p: np.ndarray) -> float:
         high *= 2
         if high > 1e4:
             return -1.0
-    low = high / 2 if high > 0.5 else 1e-9
-    while f(low) > 0 and low > 1e-12:
-        low /= 2
-    x = high  # Newton from above converges from one side; bisection guards it
+    low = 0.0  # the function is below zero just above 0, and convex
+    x = high
     for _ in range(200):
         e = p * np.exp(x * scores)
-        g, d = float(e.sum() - 1), float((e * scores).sum())
-        low, high = (x, high) if g < 0 else (low, x)
-        step = x - g / d if d else (low + high) / 2
-        x = step if low < step < high else (low + high) / 2
-        if abs(g) < 1e-14 or high - low < 1e-14:
+        value, slope = float(e.sum() - 1), float((e * scores).sum())
+        if value > 0:
+            high = x
+        else:
+            low = x
+        if abs(value) < 1e-13 or high - low < 1e-14 * high:
             break
+        step = x - value / slope if slope > 0 else low
+        x = step if low < step < high else (low + high) / 2
     return x
 
 
@@ -240,3 +241,14 @@ def pair_probabilities(sizes: DataFrame, eno: str = "eno", length: str = "len")
     pairs = p.join(F.broadcast(other), F.col("bin") >= F.col("bin_b"))
     both = F.when(F.col("bin") == F.col("bin_b"), F.col("p") * F.col("p_b")).otherwise(2 * F.col("p") * F.col("p_b"))
     return pairs.select(F.col("bin").alias("bin_a"), "bin_b", both.alias("p"))
+
+
+def scaled_scores(scores: np.ndarray, p: np.ndarray, target: float = LAMBDA_REF) -> tuple[np.ndarray, float]:
+    """Scores times the factor that gives them the reference lambda; unchanged where lambda doesn't exist.
+
+    Scores aren't rounded here, so the factor is their own lambda over the
+    reference, and no search is needed.
+    """
+    lam = solve_lambda(scores, p)
+    factor = lam / target if lam > 0 else 1.0
+    return scores * factor, factor

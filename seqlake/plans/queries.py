@@ -206,6 +206,46 @@ def d1_purge(spark, sf_dir):
     return msa.purge(cells(spark, sf_dir), identity=0.15)
 
 
+@query("d4_low_complexity")
+def d4_low_complexity(spark, sf_dir):
+    """Residues left in each column after the low-complexity segments of every sequence are masked."""
+    own = msa.without_low_complexity(cells(spark, sf_dir), low=2.4, high=2.7)
+    return own.groupBy("msa_id", "pos").agg(F.count_if(F.col("code") < N_RESIDUES).alias("n_residues"), F.count_if(F.col("code") == 23).alias("n_masked"))
+
+
+@query("d5_refined_columns")
+def d5_refined_columns(spark, sf_dir):
+    own = msa.refined_columns(cells(spark, sf_dir))
+    return own.groupBy("msa_id", "pos").agg(F.count_if(F.col("code") == 23).alias("n_masked"))
+
+
+@query("d11_state_weights")
+def d11_state_weights(spark, sf_dir):
+    """Residue weights and effective observations of every column, by the sequences of its extent."""
+    out = msa.state_weights(cells(spark, sf_dir))
+    return out.select("msa_id", "pos", "code", r6(F.col("weight")).alias("weight"), r6(F.col("n_obs")).alias("n_obs"))
+
+
+@query("d17_observations")
+def d17_observations(spark, sf_dir):
+    """Observations that explain the distinct residues of each column."""
+    own = msa.column_entropy(cells(spark, sf_dir), msa.global_weights(cells(spark, sf_dir)))
+    expected = msa.expected_distinct()
+
+    @F.pandas_udf("double")
+    def inverse(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: msa.observations_of(v, expected))
+
+    return own.select("msa_id", "pos", r6(inverse("distinct")).alias("n_obs"))
+
+
+@query("d32_selection")
+def d32_selection(spark, sf_dir):
+    """Sequences and residues that the selection pipeline leaves of each alignment."""
+    own = msa.select_sequences(cells(spark, sf_dir), 0.15)
+    return own.groupBy("msa_id").agg(F.count_distinct("seq_id").alias("n_seqs"), F.count_if(F.col("code") < N_RESIDUES).alias("n_residues"))
+
+
 # ----------------------------------------------------------------- profiles
 
 
@@ -413,6 +453,33 @@ def h13_statistics(spark, sf_dir):
     return out.select(*keys, *(r6(F.col(c)).alias(c) for c in ("lambda", "h", "k")))
 
 
+@query("h19_scaling")
+def h19_scaling(spark, sf_dir):
+    """Factor that brings each pair's scores to the reference lambda."""
+    hist = h9_histogram(spark, sf_dir)
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        _, factor = sig.scaled_scores(group["bin"].to_numpy() / sig.SCALE, group["n"].to_numpy() / group["n"].sum())
+        return pd.DataFrame([[group["q_id"].iloc[0], group["t_id"].iloc[0], round(factor, 6)]], columns=["q_id", "t_id", "factor"])
+
+    return hist.groupBy("q_id", "t_id").applyInPandas(one, "q_id long, t_id long, factor double")
+
+
+@query("h21_network")
+def h21_network(spark, sf_dir):
+    """Predictions of a two-layer network with weights by a rule, for all pairs of profiles."""
+    hidden = np.cos(np.arange(20)).reshape(4, 5)
+    output = np.sin(np.arange(5) + 1).reshape(1, 5)
+    rows = h23_network_inputs(spark, sf_dir)
+
+    def predicted(batches):
+        for b in batches:
+            out = sig.network(b[["x1", "x2", "x3", "x4"]].to_numpy(), hidden, output) if len(b) else np.zeros((0, 1))
+            yield b[["q_id", "t_id"]].assign(mu=np.round(out[:, 0], 6))
+
+    return rows.mapInPandas(predicted, "q_id long, t_id long, mu double")
+
+
 @query("g20_segment_pairs", f"""WITH {_SCORES_SQL}, p AS (SELECT *, j - i AS d, i - row_number() OVER (PARTITION BY q_id, t_id, j - i ORDER BY i) AS run FROM sc WHERE round(score, 6) > 0.2)
 SELECT q_id, t_id, d, min(i) AS i, count(*) AS length, round(sum(round(score, 6)), 4) + 0.0 AS total FROM p GROUP BY q_id, t_id, d, run HAVING count(*) >= 3""")
 def g20_segment_pairs(spark, sf_dir):

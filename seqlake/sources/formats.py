@@ -179,3 +179,61 @@ def plain_results(found: DataFrame, width: int = 60) -> DataFrame:
     line = F.format_string("%d. target %d  score %.2f  E-value %.3g  identities %d/%d", "rank", "target_id", "score", "evalue", "n_ident", "aln_len")
     rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"])
     return found.groupBy("query_id").agg(F.concat(F.format_string("Query %d\n", F.col("query_id")), F.array_join(rows, "\n"), F.lit("\n")).alias("value"))
+
+
+# ------------------------------------------------------------------- reports
+
+REPORT = "query_id string, round int, target string, score double, evalue double, q_from int, q_aln string, t_from int, t_aln string"
+
+
+def search_reports(texts: DataFrame, cutoff: float = 10.0) -> DataFrame:
+    """Hits of iterated search reports (blocks of Query / Sbjct lines under each > header), up to an E-value.
+
+    Rounds are counted by their headings; use ``last_round`` for the final one.
+    """
+    import re
+
+    names = [x.split()[0] for x in REPORT.split(", ")]
+    score = re.compile(r"Score\s*=\s*([\d.]+).*?Expect(?:\(\d+\))?\s*=\s*([\d.eE+-]+)")
+    line = re.compile(r"^(Query|Sbjct):?\s+(\d+)\s+(\S+)\s+(\d+)")
+
+    def parsed(batches):
+        for batch in batches:
+            rows = []
+            for name, value in zip(batch["name"], batch["value"]):
+                turn, target, hit = 1, None, None
+                for text in (value or "").splitlines():
+                    if text.startswith("Results from round"):
+                        turn = int(text.split()[-1])
+                    elif text.startswith(">"):
+                        target = text[1:].strip()
+                    elif m := score.search(text):
+                        e = m[2]
+                        hit = [name, turn, target, float(m[1]), float("1" + e if e.startswith("e") else e), None, "", None, ""]
+                        rows.append(hit)
+                    elif hit and (m := line.match(text)):
+                        at = 5 if m[1] == "Query" else 7
+                        hit[at] = hit[at] or int(m[2])
+                        hit[at + 1] += m[3]
+            yield pd.DataFrame([r for r in rows if r[4] <= cutoff], columns=names)
+
+    return texts.select("name", "value").mapInPandas(parsed, REPORT)
+
+
+def last_round(hits: DataFrame) -> DataFrame:
+    """Hits of each query's last round."""
+    last = hits.groupBy("query_id").agg(F.max("round").alias("round"))
+    return hits.join(last, ["query_id", "round"], "left_semi")
+
+
+def json_hits(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Hits of JSON results, one row each."""
+    docs = spark.read.json(paths)
+    return docs.select("query_id", F.explode("search_hits").alias("h")).select("query_id", "h.*")
+
+
+def covariance_text(rows: DataFrame) -> DataFrame:
+    """(msa_id, value): a line for each pair of columns: i, j and the values, three digits."""
+    line = F.concat_ws(" ", "i", "j", F.array_join(F.transform("values", lambda v: F.format_string("%.3g", v)), " "))
+    made = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", line.alias("l")))), lambda r: r["l"])
+    return rows.groupBy("msa_id").agg(F.array_join(made, "\n").alias("value"))

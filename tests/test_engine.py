@@ -249,3 +249,57 @@ def test_alignment_invariant_to_partitions(spark, sf_dir):
     one = {tuple(r) for r in search.hits(own, own.coalesce(1)).select("query_id", "target_id", "score").collect()}
     many = {tuple(r) for r in search.hits(own, own.repartition(5)).select("query_id", "target_id", "score").collect()}
     assert one == many
+
+
+def test_state_weights_are_normalised(five):
+    sums: dict = {}
+    for r in msa.state_weights(five).collect():
+        sums[r.pos] = sums.get(r.pos, 0) + r.weight
+        assert 0 < r.n_obs <= 20
+    assert all(v == pytest.approx(1.0) for v in sums.values())
+
+
+def test_expected_distinct_inverts():
+    table = msa.expected_distinct()
+    assert table[0] == pytest.approx(1.0) and table == sorted(table)
+    assert msa.observations_of(table[6], table) == pytest.approx(7.0)
+
+
+def test_low_complexity_is_masked(spark):
+    texts = spark.createDataFrame([("m", ">a\n" + "A" * 14 + "RNDCQEGHILKMFP" + "\n")], "name string, value string")
+    own = msa.without_low_complexity(formats.cells(formats.fasta_sequences(texts)))
+    codes = [r.code for r in own.orderBy("pos").collect()]
+    assert codes[:12] == [23] * 12 and 23 not in codes[-8:]
+
+
+def test_scaling_reaches_reference():
+    s, p = np.array([-2.0, -1.0, 1.0, 3.0]), np.array([0.5, 0.3, 0.15, 0.05])
+    scaled, factor = sig.scaled_scores(s, p)
+    assert sig.solve_lambda(scaled, p) == pytest.approx(sig.LAMBDA_REF, rel=1e-6) and factor > 0
+
+
+def test_search_reports(spark):
+    text = "Results from round 1\n>t1 first\n Score = 50.1 bits (118), Expect = 2e-10\nQuery: 3 AC-D 5\nSbjct: 7 ACWD 10\nQuery: 6 EF 7\nSbjct: 11 EF 12\nResults from round 2\n>t1 first\n Score = 60 bits, Expect = e-20\nQuery 1 AC 2\nSbjct 5 AC 6\n>t2\n Score = 9 bits, Expect = 50\nQuery 1 AC 2\nSbjct 5 AC 6\n"
+    got = formats.search_reports(spark.createDataFrame([("q", text)], "name string, value string"))
+    rows = {(r["round"], r.target): r for r in got.collect()}
+    assert set(rows) == {(1, "t1 first"), (2, "t1 first")}
+    assert rows[1, "t1 first"].q_aln == "AC-DEF" and rows[1, "t1 first"].t_aln == "ACWDEF" and rows[1, "t1 first"].q_from == 3
+    assert formats.last_round(got).count() == 1
+
+
+def test_results_round_trip(spark, sf_dir, tmp_path):
+    from seqlake.plans.queries import b13_json_results, g3_search
+
+    b13_json_results(spark, sf_dir).select("value").write.text(str(tmp_path / "json"))
+    found = g3_search(spark, sf_dir).cache()
+    assert formats.json_hits(spark, str(tmp_path / "json")).count() == found.count()
+    assert formats.plain_results(found.withColumn("evalue", found.score)).count() == found.select("query_id").distinct().count()
+
+
+def test_lambda_residuals():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n = rng.integers(2, 40)
+        s, p = np.sort(rng.normal(-0.5, rng.choice([0.1, 1, 3]), n)), rng.dirichlet(np.ones(n) * rng.choice([0.2, 1]))
+        lam = sig.solve_lambda(s, p)
+        assert lam < 0 or abs((p * np.exp(lam * s)).sum() - 1) < 1e-10
