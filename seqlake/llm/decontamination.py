@@ -31,6 +31,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +46,11 @@ BATCH_BYTES = 2 << 20
 BLOCK = 16
 #: Passages with fewer weighted words aren't rows of the matrix and no candidates.
 LEAST_WORDS = 4
+#: Share of the weighted words of an item (the one with the fewest, of those of its length) that a passage must number.
+WEIGHTED_SHARE = 0.4
 #: Words in more than this share of the passages, and in more than so many, carry no weight.
 COMMON_SHARE, COMMON_LEAST = 0.005, 50
-RANK, OVERSAMPLING, SEED = 192, 16, 20
+RANK, OVERSAMPLING, SEED = 112, 16, 20
 #: Passages that each item counts as in the matrix, so that its direction is part of the space.
 ITEM_ROWS = 50
 COSINE = 0.25
@@ -162,9 +166,29 @@ class Passages:
 
     def sums(self, starts: np.ndarray, blocks: int, of_block: np.ndarray) -> np.ndarray:
         """Sums over the blocks of each passage, cut at the end of its text."""
-        total = np.concatenate([np.zeros((1, *of_block.shape[1:])), np.cumsum(of_block, axis=0, dtype=np.float64)])
-        ends = np.minimum(starts + blocks, self.first_block[self.row_of_block[starts] + 1])
-        return total[ends] - total[starts]
+        ends = self.first_block[self.row_of_block[starts] + 1]
+        total = of_block[starts].copy()
+        for i in range(1, blocks):
+            inside = np.flatnonzero(starts + i < ends)
+            total[inside] += of_block[starts[inside] + i]
+        return total
+
+    def within(self, starts: np.ndarray, blocks: int) -> np.ndarray:
+        """Which of the words lie in a block of these passages."""
+        wanted = np.zeros(self.n_blocks + blocks, dtype=bool)
+        for i in range(blocks):
+            wanted[starts + i] = True
+        return np.flatnonzero(wanted[self.block])
+
+    def by_block_of(self, values: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Sums over blocks of the vectors (rows of ``values``) of some of the words."""
+        out = np.zeros((self.n_blocks, values.shape[1]), dtype=np.float32)
+        block, word = self.block[some], self.words[some]
+        place = np.arange(len(some)) - np.maximum.accumulate(np.where(np.diff(block, prepend=-1) != 0, np.arange(len(some)), 0))
+        for k in range(int(place.max(initial=-1)) + 1):  # the k-th words of all blocks, BLOCK at most
+            own = np.flatnonzero(place == k)
+            out[block[own]] += values[word[own]]
+        return out
 
 
 def _frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -227,9 +251,9 @@ def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, scratch:
         for _, _, words, counts in _word_batches(batches):
             own = Passages(words, counts, weighted)
             starts = own.starts(2, 2)
-            enough = own.sums(starts, 2, own.by_block(np.ones(len(own.words)))) >= LEAST_WORDS
-            rows = own.sums(starts[enough], 2, own.by_block(basis[own.words]))
-            yield own, starts[enough], rows
+            starts = starts[own.sums(starts, 2, own.by_block(np.ones(len(own.words)))) >= LEAST_WORDS]
+            rows = own.sums(starts, 2, own.by_block_of(basis, own.within(starts, 2)))
+            yield own, starts, rows
 
     def rows_of(matrix):
         kept = np.flatnonzero(matrix.any(axis=1))
@@ -292,6 +316,8 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
     for i, words in enumerate(items.words):
         if len(words):
             by_blocks.setdefault(items.passage_blocks(i), []).append(i)
+    # passages with too few weighted words for any of the items are passed over
+    least = {n: max(LEAST_WORDS, math.ceil(WEIGHTED_SHARE * min(int(weighted[items.words[i]].sum()) for i in own))) for n, own in by_blocks.items()}
     queries = {n: _unit(np.array([vectors[items.words[i]].sum(axis=0) for i in own])) for n, own in by_blocks.items()}
 
     def confirmed(item: int, region: list[int]):
@@ -307,12 +333,12 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
         for batch, base, words, counts in _word_batches(batches):
             own = Passages(words, counts, weighted)
             n_weighted = own.by_block(np.ones(len(own.words)))
-            projected = own.by_block(vectors[own.words])
             first_word = np.cumsum(counts) - counts
             best: dict[tuple[int, int], tuple] = {}
             for blocks, query in queries.items():
                 starts = own.starts(blocks, blocks // 2)
-                starts = starts[own.sums(starts, blocks, n_weighted) >= LEAST_WORDS]
+                starts = starts[own.sums(starts, blocks, n_weighted) >= least[blocks]]
+                projected = own.by_block_of(vectors, own.within(starts, blocks))
                 for at in range(0, len(starts), 8192):
                     some = starts[at : at + 8192]
                     cosine = _unit(own.sums(some, blocks, projected)) @ query.T
