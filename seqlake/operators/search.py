@@ -91,6 +91,9 @@ def hits(queries: DataFrame, database: DataFrame, threshold: float = 0.0, realig
     spark = database.sparkSession
     size = queries.agg(F.sum(F.col("len") * 160 + 1600).alias("b"), F.count("*").alias("n")).first()
     blocks = max(1, -(-int(size["b"] or 0) // QUERY_BYTES))
+    # aligning costs far more than moving a profile: deal them out over all cores, whatever their number
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    database = database.repartition(parts, "profile_id")
     names = [x.split()[0] for x in HIT.split(", ")]
     out = None
     for block in range(blocks):
