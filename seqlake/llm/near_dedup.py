@@ -8,10 +8,12 @@
 2. Equal sets form a class; only its smallest id goes on.
 3. Signatures are cut into bands of rows; classes that share a band are
    candidates. A bucket isn't expanded into pairs: all its members are held
-   against its smallest one, and what then still lies in different components
-   is held against further pivots, and at last pairwise. A pair is skipped
-   only where both are known to be in one component, so no link between
-   components is lost.
+   against its smallest one and then, of buckets that still lie in several
+   components, against the member with the fewest shingles of its own.
+   Members with too many shingles that no other such member has can't be
+   similar to any, and leave. What then still lies in different components is
+   compared in blocks, a pair of blocks to a group, which returns the
+   components it joins. No link between components is lost.
 4. Candidates are verified on the full shingle sets of their whole texts.
 5. Links become components by union-find forests on each partition, which are
    merged by hooking and pointer jumping over written tables.
@@ -22,8 +24,9 @@ probability (1 - 0.75**4)**32, about 5e-6.
 Defined cases: a null or empty text, or one of white space only, has no
 shingles and is its own component; a text with fewer than five words has one
 shingle; repeated rows are one class; a null id gives a row with a null
-component, unless an equal set has an id; an empty table gives an empty
-result; other columns are ignored.
+component, unless an equal set has an id; where an id repeats with different
+texts, the smallest text stands for it when links are verified; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +43,8 @@ BANDS, ROWS = 32, 4
 #: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 BATCH_BYTES = 1 << 20
-#: Pivots that a bucket is held against before what is left is compared pairwise,
-#: and the members a bucket may have to be compared pairwise at once.
-PIVOT_ROUNDS, SMALL_BUCKET = 4, 16
+#: Members to a block, where what is left of a cluster is compared.
+BLOCK_IDS = 128
 
 
 # ---------------------------------------------------------------- signatures
@@ -135,7 +137,7 @@ def signed(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = RO
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+    """(a, b, both, linked) of every pair: shared shingles of the whole texts, and whether they are enough.
 
     ``texts`` has (id, text) for each id of the pairs.
     """
@@ -143,9 +145,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, w
     def similar(batches):
         known: dict = {}  # sets of the left ids, which come in runs
         for batch in batches:
-            left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left = batch.column(0).to_pylist()
             _, offsets = text_bytes(batch.column(3))
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            shared, linked = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=bool)
             for a, b in runs_by_bytes(offsets, BATCH_BYTES):
                 owner, hashes = shingle_hashes(*text_bytes(batch.column(3).slice(a, b - a)), width)
                 edges = np.searchsorted(owner, np.arange(b - a + 1))
@@ -155,17 +157,43 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, w
                             known.clear()
                         known[left[i]] = shingle_hashes(*text_bytes(batch.column(2).slice(i, 1)), width)[1]
                     x, y = known[left[i]], hashes[edges[i - a] : edges[i - a + 1]]
-                    least, most = sorted((len(x), len(y)))
-                    if 100 * least < similarity * most:
-                        continue
-                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                    keep[i] = 100 * both >= similarity * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+                    if len(x):
+                        shared[i] = both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                        linked[i] = 100 * both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(linked)], names=["a", "b", "both", "linked"])
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(similar, "a long, b long")
+    return joined.mapInArrow(similar, "a long, b long, both long, linked boolean")
+
+
+def shingle_rows(texts: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, n, shingle): a row for each shingle of the ids' texts."""
+
+    def made(batches):
+        for batch in batches:
+            _, offsets = text_bytes(batch.column(1))
+            for a, b in runs_by_bytes(offsets, BATCH_BYTES):
+                owner, hashes = shingle_hashes(*text_bytes(batch.column(1).slice(a, b - a)), width)
+                edges = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "shingles"])
+
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(made, "id long, shingles array<long>")
+    return sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+
+
+def reaches(rows: DataFrame) -> DataFrame:
+    """(id, n, c): shingles of each id, and how many of them another id has, too.
+
+    Two ids can't share more than the smaller c, which bounds their
+    similarity: copies with many changes of their own link with nothing.
+    """
+    single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("k"))
+    own = single.filter("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = rows.groupBy("id").agg(F.min("n").alias("n"))
+    return sizes.join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
 
 
 # ---------------------------------------------------------------- union-find
@@ -224,6 +252,59 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 # ------------------------------------------------------------------ operator
 
 
+def _left(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, id, root): the members of buckets that lie in several components."""
+    placed = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return placed.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _rest(left: DataFrame, texts: DataFrame, scratch: Scratch, similarity: int, width: int) -> DataFrame:
+    """Links (a, b) between components, of all pairs that still lie in different ones.
+
+    Buckets that share members form clusters. A cluster's members are dealt
+    to blocks of about BLOCK_IDS; each pair of blocks is one group, in which
+    the sets are compared all at once, as a product of incidence matrices.
+    No pair is a row: a group returns the components that it joins.
+    """
+
+    def joined(group: pa.Table) -> pa.Table:
+        owner, hashes = shingle_hashes(*text_bytes(group.column("text")), width)
+        n = group.num_rows
+        sizes = np.bincount(owner, minlength=n)
+        _, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        both = np.zeros((n, n), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for low in range(0, int(column.max(initial=-1)) + 1, 8192):
+            a, b = np.searchsorted(column, (low, low + 8192))
+            incidence = np.zeros((n, 8192), dtype=np.float32)
+            incidence[owner[a:b], column[a:b] - low] = 1
+            both += incidence @ incidence.T
+        root, block = group.column("root").to_numpy(), group.column("block").to_numpy()
+        linked = 100 * both.astype(np.int64) >= similarity * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+        linked &= (root[:, None] > root[None, :]) & (sizes[:, None] > 0)
+        if group.column("low")[0].as_py() != group.column("high")[0].as_py():
+            linked &= block[:, None] != block[None, :]
+        i, j = np.nonzero(linked)
+        pairs = np.unique(np.stack([root[i], root[j]], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    first = scratch.keep(left.groupBy("bucket").agg(F.min("id").alias("first")), "firsts")
+    edges = left.join(first, "bucket").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    clusters = components(scratch.keep(edges, "cluster-edges"), scratch, "clusters").toDF("id", "cluster")
+    members = left.select("id", "root").distinct().join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    members = scratch.keep(members, "cluster-members")
+    sizes = scratch.keep(members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_IDS).cast("int").alias("blocks")), "cluster-sizes")
+    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "root", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    full = dealt.join(texts, "id").select("cluster", "low", "high", "block", "root", "text")
+    return full.groupBy("cluster", "low", "high").applyInArrow(joined, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for every row."""
     scratch = Scratch(df.sparkSession, "near")
@@ -244,34 +325,24 @@ def near_duplicates(df: DataFrame, similarity: int = SIMILARITY, bands: int = BA
 
     # all members of a bucket against its smallest one
     pairs = members.join(shared, "bucket").filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    tested = scratch.keep(pairs.distinct(), "pairs0")
-    links = scratch.keep(verified(tested, texts, similarity, width), "links0")
+    links = scratch.keep(verified(pairs.distinct(), texts, similarity, width), "tests0").filter("linked").select("a", "b")
     roots = components(links, scratch, "roots0")
-    active = members.join(shared.select("bucket", "pivot"), "bucket").filter("id <> pivot").select("bucket", "id")
-    for turn in range(1, PIVOT_ROUNDS + 2):
-        # what is left: buckets whose members, past pivots aside, lie in several components
-        placed = active.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        placed = scratch.keep(placed.select("bucket", "id", F.coalesce("root", "id").alias("root")), f"placed{turn}")
-        split = placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        split = scratch.keep(split.filter("low <> high").select("bucket", "pivot", "n"), f"split{turn}")
-        if split.isEmpty():
-            break
-        last = turn > PIVOT_ROUNDS
-        active = placed.join(split, "bucket")
-        whole = F.lit(True) if last else F.col("n") <= SMALL_BUCKET
-        other = placed.select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"))
-        small = active.filter(whole).select("bucket", F.col("id").alias("b"), "root").join(other, "bucket").filter("a < b AND root <> root_a")
-        star = active.filter(~whole).join(other.withColumnRenamed("a", "pivot"), ["bucket", "pivot"]).filter("pivot <> id AND root <> root_a")
-        pairs = small.select("a", "b").unionByName(star.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct()
-        pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{turn}")
-        tested = tested.unionByName(pairs)
-        fresh = scratch.keep(verified(pairs, texts, similarity, width), f"links{turn}")
-        if not fresh.isEmpty():
-            roots = components(roots.toDF("a", "b").unionByName(fresh), scratch, f"roots{turn}")
-        active = active.filter(~whole & (F.col("id") != F.col("pivot"))).select("bucket", "id")
-        if last:
-            break
-    scratch.drop("members", "texts", "shared", "ids")
+    left = scratch.keep(_left(members, roots), "left0")
+    if not left.isEmpty():
+        # the same with the member that has the fewest shingles of its own, without members that can't link
+        ids = left.select("id").distinct()
+        reach = scratch.keep(reaches(scratch.keep(shingle_rows(texts, ids, width), "rows1")), "reach")
+        left = scratch.keep(left.drop("root").join(reach.filter(F.col("c") * 100 >= F.col("n") * similarity), "id"), "left1")
+        pivots = left.groupBy("bucket").agg(F.min(F.struct((1 - F.col("c") / F.col("n")).alias("own"), F.col("id").alias("pivot"))).alias("p"), F.count("*").alias("k"))
+        pivots = scratch.keep(pivots.filter("k > 1").select("bucket", "p.pivot"), "pivots1")
+        pairs = left.join(pivots, "bucket").filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        tests = scratch.keep(verified(pairs, texts, similarity, width), "tests1")
+        roots = components(roots.toDF("a", "b").unionByName(tests.filter("linked").select("a", "b")), scratch, "roots1")
+        left = scratch.keep(_left(left.select("bucket", "id"), roots), "left2")
+        if not left.isEmpty():
+            fresh = scratch.keep(_rest(left, texts, scratch, similarity, width), "links2")
+            roots = components(roots.toDF("a", "b").unionByName(fresh), scratch, "roots2")
+    scratch.drop("members", "texts", "shared", "ids", "rows1")
     groups = classes.select("set_a", "set_b", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     groups = scratch.keep(groups.select("set_a", "set_b", F.coalesce("root", "rep").alias("root")), "groups")
     alone = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
