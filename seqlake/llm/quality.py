@@ -323,6 +323,7 @@ def scores(df: DataFrame, labels: DataFrame, scratch: Scratch, model_rows: int =
     rows = rows.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
     unseen = F.pmod(F.xxhash64("uid"), F.lit(HELD_OUT)) == 0
     rows = rows.withColumn("label", F.when((F.col("label") == 2) & unseen, F.lit(3)).otherwise(F.col("label")))
+    rows = spread(rows)  # after the shards are named, which takes the splits of the files
     needed = scratch.keep(_gathered(rows), "needed")
     counts = needed.groupBy("gram").agg(F.sum("trusted").alias("trusted"), F.sum("decent").alias("decent"))
     counts = scratch.keep(counts, "counts")
