@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.functions import special
@@ -610,9 +610,6 @@ def o9_secondary_structure(spark, sf_dir):
     return convert.with_ss(own.select("profile_id", "pos", "aa"), own.select("profile_id", "pos", "aa", letter.alias("state"), *parts)).drop("aa")
 
 
-_LOG = "greatest(o_totalprice / 50000, 0.01)"
-
-
 @query("h27_evalues", f"""WITH s AS (SELECT o_orderkey, o_totalprice / 20000 AS score, 1e6::DOUBLE AS space FROM orders), e AS (SELECT *, ln({sig.K_GAPPED} * space) - {sig.LAMBDA_GAPPED} * score AS le FROM s)
 SELECT o_orderkey, round(le, 6) + 0.0 AS log_evalue, round((ln(space) - le) / ln(2), 6) + 0.0 AS bit_score, round(exp(le), 6) + 0.0 AS evalue, round(CASE WHEN exp(le) < 0.01 THEN exp(le) ELSE 1 - exp(-exp(le)) END, 6) + 0.0 AS pvalue FROM e""")
 def h27_evalues(spark, sf_dir):
@@ -631,7 +628,7 @@ def h29_pair_evalues(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", r6(le).alias("log_evalue"), r6(sig.gapped_lambda(F.col("lam"))).alias("lambda_gapped"), r6(sig.gapped_k(F.col("k"))).alias("k_gapped"))
 
 
-@query("h33_score_threshold", f"""SELECT doc_id, round(greatest(-ln(100.0::DOUBLE / {sig.K_GAPPED} / ((n_chars + 1)::DOUBLE * 1000000)) / {sig.LAMBDA_GAPPED}, 0), 6) + 0.0 AS many, round(greatest(-ln(0.1::DOUBLE * 1 / {sig.K_GAPPED} / ((n_chars + 1)::DOUBLE * 1000000)) / {sig.LAMBDA_GAPPED}, 0), 6) + 0.0 AS few FROM documents""".replace("100.0::DOUBLE", "30.0::DOUBLE"))
+@query("h33_score_threshold", f"""SELECT doc_id, round(greatest(-ln(30.0::DOUBLE / {sig.K_GAPPED} / ((n_chars + 1)::DOUBLE * 1000000)) / {sig.LAMBDA_GAPPED}, 0), 6) + 0.0 AS many, round(greatest(-ln(0.1::DOUBLE * 1 / {sig.K_GAPPED} / ((n_chars + 1)::DOUBLE * 1000000)) / {sig.LAMBDA_GAPPED}, 0), 6) + 0.0 AS few FROM documents""")
 def h33_score_threshold(spark, sf_dir):
     m, n = F.col("n_chars") + 1, F.lit(1000000)
     return table(spark, sf_dir, "documents").select("doc_id", r6(sig.score_threshold(10.0, m, n)).alias("many"), r6(sig.score_threshold(0.01, m, n)).alias("few"))
