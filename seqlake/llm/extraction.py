@@ -40,7 +40,6 @@ TRAINING_PAGES, TRAINING_SEED = 400, 11
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 24
 
 # Element names of the HTML standard, by the part they play here.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video map select textarea button datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -68,14 +67,13 @@ _SPACE = re.compile(r"[\s]+")
 class Node:
     """A block element. ``parts`` holds its text blocks and its block children, in page order."""
 
-    __slots__ = ("tag", "parent", "parts", "tokens", "hidden", "depth", "links", "open", "chars", "linked", "blocks", "nodes", "marks")
+    __slots__ = ("tag", "parent", "parts", "tokens", "hidden", "depth", "links", "chars", "linked", "blocks", "nodes", "marks")
 
     def __init__(self, tag: str, parent: Node | None, tokens=frozenset(), hidden: bool = False):
         self.tag, self.parent, self.tokens = tag, parent, tokens
         self.hidden = hidden
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []
-        self.open: list[str] = []
 
 
 class Block:
