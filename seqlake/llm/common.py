@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset (tests, local sessions) a temporary folder of this
     machine is set as the checkpoint folder.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
