@@ -240,7 +240,7 @@ def _summed(parts: DataFrame, n_rows: int, width: int, scratch: Scratch, name: s
 
 
 def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, scratch: Scratch, rank: int = RANK) -> np.ndarray:
-    """Weighted words in the latent space: a randomised SVD of the passages' TF-IDF matrix, by two passes over it.
+    """Weighted words in the latent space: a randomised SVD of the passages' TF-IDF matrix, by one pass over it.
 
     The items are passages too, each of them ITEM_ROWS times.
     """
@@ -259,7 +259,8 @@ def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, scratch:
         kept = np.flatnonzero(matrix.any(axis=1))
         return pa.RecordBatch.from_arrays([pa.array(kept), pa.array([matrix[i].tobytes() for i in kept], pa.binary())], names=["row", "raw"])
 
-    omega = np.random.default_rng(SEED).standard_normal((size, wide)) * weight[:, None]
+    plain = np.random.default_rng(SEED).standard_normal((size, wide))
+    omega = plain * weight[:, None]
 
     def ranged(batches):
         total = np.zeros((size, wide))
@@ -287,19 +288,13 @@ def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, scratch:
     found = _summed(spread_rows.mapInArrow(ranged, "row long, raw binary"), size, wide, scratch, "range")
     for words in items.words:
         np.add.at(found, words, ITEM_ROWS * weight[words, None] * omega[words].sum(axis=0))
-    basis = np.linalg.qr(found)[0] * weight[:, None]
-
-    def squared(batches):
-        total = np.zeros((wide, wide))
-        for _, _, rows in passages_of(batches, basis.astype(np.float32)):
-            total += rows.T @ rows
-        yield rows_of(total)
-
-    gram = _summed(spread_rows.mapInArrow(squared, "row long, raw binary"), wide, wide, scratch, "gram")
-    asked = np.array([basis[words].sum(axis=0) for words in items.words])
-    gram += ITEM_ROWS * asked.T @ asked
-    _, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    return (basis @ vectors[:, ::-1][:, :rank]).astype(np.float32)
+    # the Nystrom form of the factorisation needs no second pass: A'A is about S (Omega' S)^-1 S'
+    core = plain.T @ found
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    some = values > 1e-10 * max(values.max(), 1e-300)
+    factor = found @ (vectors[:, some] / np.sqrt(values[some]))
+    directions = np.linalg.svd(factor, full_matrices=False)[0]
+    return (directions[:, :rank] * weight[:, None]).astype(np.float32)
 
 
 # -------------------------------------------------------------------- search
@@ -320,10 +315,21 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
     least = {n: max(LEAST_WORDS, math.ceil(WEIGHTED_SHARE * min(int(weighted[items.words[i]].sum()) for i in own))) for n, own in by_blocks.items()}
     queries = {n: _unit(np.array([vectors[items.words[i]].sum(axis=0) for i in own])) for n, own in by_blocks.items()}
 
-    def confirmed(item: int, region: list[int]):
-        words = items.words[item].tolist()
+    members: dict[int, np.ndarray] = {}  # of the items last met, which vocabulary numbers they have
+
+    def confirmed(item: int, region: np.ndarray):
+        own = members.get(item)
+        if own is None:
+            if len(members) >= 256:
+                members.clear()
+            own = members[item] = np.zeros(len(items.vocabulary) + 1, dtype=bool)
+            own[items.words[item]] = True  # the last entry stands for other words (-1)
+        needed = max(LCS_SHARE * len(items.words[item]), min(LCS_LEAST, len(items.words[item])))
+        if np.count_nonzero(own[region]) < needed:  # a common subsequence has no more words than that
+            return None
+        words, region = items.words[item].tolist(), region.tolist()
         common = lcs(words, region)
-        if common < max(LCS_SHARE * len(words), min(LCS_LEAST, len(words))):
+        if common < needed:
             return None
         answer = words[-max(1, -(-len(words) // 3)) :]
         held = lcs(answer, region)
@@ -353,7 +359,7 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
                         old = best.get((row, item))
                         if old is not None and old[0] == length:
                             continue
-                        found = confirmed(item, region.tolist())
+                        found = confirmed(item, region)
                         if found and (old is None or found[0] > old[0]):
                             best[row, item] = (found[0], found[1], float(cosine[p, q]), begin)
             if best:
@@ -393,7 +399,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
         weight = _weights(frequency, passages)
         vectors = latent_words(encoded, items, weight, own)
         matched = scratch.keep(_matches(encoded, items, vectors, weight > 0), f"matches{part}")
-        own.drop("encoded", "range", "gram")
+        own.drop("encoded", "range")
         found = matched if found is None else found.unionByName(matched)
     if found is None:
         schema = "uid long, doc_id long, item_id long, passage_word long, lcs long, lcs_share double, answer_share double, cosine double"
