@@ -31,12 +31,16 @@ def prior_parameters(data: np.ndarray, kappa: float = 0.1) -> tuple[np.ndarray,
 
 def dish_parameters(members: np.ndarray, mu0: np.ndarray, s0: np.ndarray, kappa0: float, nu0: float):
     """Posterior mu, scale, kappa and nu of a dish with those members."""
-    n = len(members)
     mean = members.mean(axis=0)
     centred = members - mean
+    return posterior(len(members), mean, centred.T @ centred, mu0, s0, kappa0, nu0)
+
+
+def posterior(n: int, mean: np.ndarray, scatter: np.ndarray, mu0: np.ndarray, s0: np.ndarray, kappa0: float, nu0: float):
+    """The same from the number, mean and scatter matrix of the members."""
     shift = (mean - mu0)[:, None]
     kappa, nu = kappa0 + n, nu0 + n
-    return (kappa0 * mu0 + n * mean) / kappa, s0 + centred.T @ centred + kappa0 * n / kappa * (shift @ shift.T), kappa, nu
+    return (kappa0 * mu0 + n * mean) / kappa, s0 + scatter + kappa0 * n / kappa * (shift @ shift.T), kappa, nu
 
 
 def predictive(x: np.ndarray, mu: np.ndarray, scale: np.ndarray, kappa: float, nu: float) -> np.ndarray:

@@ -332,22 +332,25 @@ def n5_cholesky(spark, sf_dir):
 def k1_mixture(spark, sf_dir):
     """Most probable cluster of each position's context vector under a mixture with a dish for each profile."""
     own = profiles(spark, sf_dir).select("profile_id", "pos", "cv")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(group["cv"].to_numpy())
+        centred = x - x.mean(axis=0)
+        return pd.DataFrame({"profile_id": [group["profile_id"].iloc[0]], "n": [len(x)], "mean": [x.mean(axis=0)], "scatter": [(centred.T @ centred).ravel()]})
+
     # a dish's parameters are sums over its members: one row a profile
-    parts = own.groupBy("profile_id").agg(F.count("*").alias("n"), *(F.avg(F.element_at("cv", i + 1)).alias(f"m{i}") for i in range(4)), *(F.var_pop(F.element_at("cv", i + 1)).alias(f"v{i}") for i in range(4)))
+    parts = own.groupBy("profile_id").applyInPandas(one, "profile_id long, n long, mean array<double>, scatter array<double>")
     rows = parts.orderBy("profile_id").collect()
-    mu0, s0 = np.mean([[r[f"m{i}"] for i in range(4)] for r in rows], axis=0), np.eye(4)
-    dishes, tables = [], []
-    for r in rows:
-        n, mean = r["n"], np.array([r[f"m{i}"] for i in range(4)])
-        shift = (mean - mu0)[:, None]
-        dishes.append(((0.1 * mu0 + n * mean) / (0.1 + n), s0 + n * np.diag([r[f"v{i}"] for i in range(4)]) + 0.1 * n / (0.1 + n) * shift @ shift.T, 0.1 + n, 6.0 + n))
-        tables.append(float(n))
-    prior = (mu0, s0, 0.1, 6.0)
+    means = np.array([r["mean"] for r in rows])
+    d = means.shape[-1]
+    prior = (mu0, s0, kappa0, nu0) = (means.mean(axis=0), np.eye(d), 0.1, float(d + 2))
+    dishes = [hdp.posterior(r["n"], mean, np.reshape(r["scatter"], (d, d)), mu0, s0, kappa0, nu0) for r, mean in zip(rows, means)]
+    tables = [float(r["n"]) for r in rows]
 
     def placed(batches):
         for b in batches:
             if len(b):
-                order, p = hdp.memberships(np.stack(b["cv"].to_numpy())[:, :4], dishes, tables, prior, top=1)
+                order, p = hdp.memberships(np.stack(b["cv"].to_numpy()), dishes, tables, prior, top=1)
                 yield pd.DataFrame({"profile_id": b["profile_id"], "pos": b["pos"], "dish": order[:, 0], "p": np.round(p[:, 0], 6)})
 
     return own.mapInPandas(placed, "profile_id long, pos int, dish long, p double")

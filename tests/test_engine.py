@@ -234,6 +234,20 @@ def test_mixture_prefers_own_dish():
     assert order[:, 0].tolist() == [0, 1] and (p.sum(axis=1) <= 1 + 1e-9).all()
 
 
+def test_mixture_takes_whole_vectors(spark, sf_dir):
+    from seqlake.plans import queries
+
+    own = queries.profiles(spark, sf_dir).select("profile_id", "pos", "cv").toPandas().sort_values(["profile_id", "pos"])
+    x, ids = np.stack(own["cv"].to_numpy()), own["profile_id"].to_numpy()
+    members = [x[ids == i] for i in np.unique(ids)]
+    d = x.shape[1]
+    prior = (np.mean([m.mean(axis=0) for m in members], axis=0), np.eye(d), 0.1, d + 2.0)
+    order, p = hdp.memberships(x, [hdp.dish_parameters(m, *prior) for m in members], [len(m) for m in members], prior, top=1)
+    got = queries.k1_mixture(spark, sf_dir).toPandas().sort_values(["profile_id", "pos"])
+    assert d == 19 and got["dish"].tolist() == order[:, 0].tolist()
+    assert np.allclose(got["p"], p[:, 0], atol=2e-6)
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     seen: list[int] = []
