@@ -3,7 +3,9 @@
 1. Words (runs of anything but white space and ASCII punctuation, A-Z folded)
    that occur in the benchmark are its vocabulary; texts become sequences of
    vocabulary numbers. Words in more than a share of all passages carry no
-   weight; the others are weighted by inverse passage frequency.
+   weight; the others are weighted by inverse passage frequency. An item that
+   keeps too few words by that, as one that leaks often does, has the rarer
+   half of its words weighted all the same.
 2. A randomised SVD of the TF-IDF matrix of all passages of all texts (those
    with at least LEAST_WORDS weighted words) gives a latent space. Each split
    sums A'(A Omega) over its passages, the sums are added up by word, and a
@@ -11,7 +13,9 @@
    directions.
 3. Every passage is projected and held against every item by cosine, in
    blocks. Passages overlap by half, and each item meets passages of about its
-   own length.
+   own length. Besides, every run of RUN words of an item (of all its words, if
+   it has fewer) is looked up in the texts by its hash, so that verbatim leaks
+   are candidates whatever their words weigh.
 4. Candidates are confirmed on the words around the passage: the longest
    common subsequence must hold a share of the item's words, and also a share
    of its answer part, its last third. Word order, insertions, deletions and
@@ -22,7 +26,8 @@ what the driver holds (a block's items, its vocabulary and the word vectors of
 that vocabulary) is bounded; texts are never collected.
 
 Defined cases: a null or empty text, or an item without words, matches
-nothing; an item whose words all are too common matches nothing; a text
+nothing; an item of fewer than LEAST_WORDS words keeps no common words, and is met
+only in passages that have so many weighted words; a text
 shorter than a passage is one passage; repeated rows and repeated items each
 get their rows; a null id stays null; an empty documents or benchmark table
 gives an empty result; very long texts are searched whole; other columns are
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import IS_MARK, Scratch, documents, runs_by_bytes, spread, text_bytes, word_hashes
+from seqlake.llm.common import IS_MARK, Scratch, documents, mix, runs_by_bytes, spread, text_bytes, word_hashes
 
 ITEMS_PER_BLOCK = 4096
 BATCH_BYTES = 2 << 20
@@ -50,6 +55,10 @@ LEAST_WORDS = 4
 WEIGHTED_SHARE = 0.4
 #: Words in more than this share of the passages, and in more than so many, carry no weight.
 COMMON_SHARE, COMMON_LEAST = 0.005, 50
+#: An item with a smaller share of weighted words, or fewer than so many, keeps the rarer half of its words.
+KEPT_SHARE, KEPT_LEAST = 0.25, 2 * LEAST_WORDS
+#: Words of a verbatim run that is looked up exactly.
+RUN = 13
 RANK, OVERSAMPLING, SEED = 112, 16, 20
 #: Passages that each item counts as in the matrix, so that its direction is part of the space.
 ITEM_ROWS = 50
@@ -61,6 +70,17 @@ LCS_SHARE, ANSWER_SHARE, LCS_LEAST = 0.6, 0.5, 5
 # ---------------------------------------------------------------- vocabulary
 
 
+def run_hashes(words: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
+    """Hashes of the runs of so many words that start at each word."""
+    word = mix(words.astype(np.int64).view(np.uint64) + np.uint64(1))
+    out, held = {}, np.zeros(len(word), dtype=np.uint64)
+    for n in range(1, max(lengths, default=0) + 1):
+        held = held[: max(0, len(word) - n + 1)] * np.uint64(0x9E3779B97F4A7C15) + word[n - 1 :]
+        if n in lengths:
+            out[n] = held
+    return out
+
+
 class Items:
     """A block of benchmark items as vocabulary numbers."""
 
@@ -70,6 +90,7 @@ class Items:
         self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
         self.ids = item_ids
         self.words = np.split(numbers.astype(np.int32), np.cumsum(counts)[:-1])
+        self.runs = self._runs()
         self.maybe = np.zeros(1 << 16, dtype=bool)
         self.maybe[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -83,6 +104,43 @@ class Items:
         out[some[hit]] = at[hit]
         return out
 
+    def _runs(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Hashes of the runs of the items, sorted, and their items, by the number of words of a run."""
+        found: dict[int, list] = {}
+        for item, words in enumerate(self.words):
+            n = min(RUN, len(words))
+            if n >= LEAST_WORDS:
+                own = np.unique(run_hashes(words, {n})[n])
+                found.setdefault(n, []).append((own, np.full(len(own), item)))
+        out = {}
+        for n, parts in found.items():
+            hashes, owners = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            out[n] = hashes[order], owners[order]
+        return out
+
+    def verbatim(self, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, first word in the batch) of each stretch of a text whose runs of words are an item's."""
+        row = np.repeat(np.arange(len(counts)), counts)
+        end = np.repeat(np.cumsum(counts), counts)
+        # words from each on without one that isn't in the vocabulary, within the text
+        other = np.append(np.flatnonzero(words < 0), len(words))
+        reach = np.minimum(other[np.searchsorted(other, np.arange(len(words)))], end) - np.arange(len(words))
+        found = []
+        hashed = run_hashes(words, set(self.runs))
+        for n, (hashes, owners) in self.runs.items():
+            at = np.flatnonzero(reach[: len(hashed[n])] >= n)
+            low, high = np.searchsorted(hashes, hashed[n][at], "left"), np.searchsorted(hashes, hashed[n][at], "right")
+            times = high - low
+            at, first = np.repeat(at, times), np.repeat(low, times)
+            item = owners[first + np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times)]
+            order = np.lexsort((at, item))
+            at, item = at[order], item[order]
+            fresh = np.ones(len(at), dtype=bool)
+            fresh[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
+            found += zip(row[at[fresh]].tolist(), item[fresh].tolist(), at[fresh].tolist())
+        return found
+
     def passage_blocks(self, item: int) -> int:
         """Blocks of the passages that an item is held against."""
         blocks = 2
@@ -214,11 +272,16 @@ def _frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def _weights(frequency: np.ndarray, passages: int) -> np.ndarray:
-    """Inverse passage frequency; 0 for words that are too common or never seen outside the benchmark."""
-    weight = np.log1p(passages / np.maximum(frequency, 1))
-    weight[frequency > max(COMMON_LEAST, COMMON_SHARE * passages)] = 0.0
-    return weight
+def _weights(frequency: np.ndarray, passages: int, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse passage frequency, 0 for words that are too common unless an item would keep too few words; and which words are too common."""
+    limit = max(COMMON_LEAST, COMMON_SHARE * passages)
+    common = frequency > limit
+    kept = ~common
+    for words in items.words:
+        if np.count_nonzero(~common[words]) < min(len(words), max(KEPT_LEAST, KEPT_SHARE * len(words))) and len(words) >= LEAST_WORDS:
+            half = max(-(-len(words) // 2), min(KEPT_LEAST, len(words)))
+            kept[words[frequency[words] <= np.sort(frequency[words])[half - 1]]] = True
+    return np.where(kept, np.log1p(passages / np.maximum(frequency, 1)), 0.0), common
 
 
 def _summed(parts: DataFrame, n_rows: int, width: int, scratch: Scratch, name: str) -> np.ndarray:
@@ -305,7 +368,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.where(size > 1e-6, x / np.maximum(size, 1e-6), 0.0).astype(np.float32)
 
 
-def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np.ndarray) -> DataFrame:
+def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np.ndarray, common: np.ndarray) -> DataFrame:
     """Confirmed matches: one row for each text and item, with the best passage."""
     by_blocks: dict[int, list[int]] = {}
     for i, words in enumerate(items.words):
@@ -313,19 +376,26 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
             by_blocks.setdefault(items.passage_blocks(i), []).append(i)
     # passages with too few weighted words for any of the items are passed over
     least = {n: max(LEAST_WORDS, math.ceil(WEIGHTED_SHARE * min(int(weighted[items.words[i]].sum()) for i in own))) for n, own in by_blocks.items()}
-    queries = {n: _unit(np.array([vectors[items.words[i]].sum(axis=0) for i in own])) for n, own in by_blocks.items()}
+    # common words that other items keep don't count for an item that is too short to keep any
+    asked = [words if len(words) >= LEAST_WORDS else words[~common[words]] for words in items.words]
+    queries = {n: _unit(np.array([vectors[asked[i]].sum(axis=0) for i in own])) for n, own in by_blocks.items()}
 
-    members: dict[int, np.ndarray] = {}  # of the items last met, which vocabulary numbers they have
+    members: dict[int, tuple] = {}  # of the items last met, the place of each vocabulary number among theirs, and how often they have it
 
     def confirmed(item: int, region: np.ndarray):
         own = members.get(item)
         if own is None:
             if len(members) >= 256:
                 members.clear()
-            own = members[item] = np.zeros(len(items.vocabulary) + 1, dtype=bool)
-            own[items.words[item]] = True  # the last entry stands for other words (-1)
-        needed = max(LCS_SHARE * len(items.words[item]), min(LCS_LEAST, len(items.words[item])))
-        if np.count_nonzero(own[region]) < needed:  # a common subsequence has no more words than that
+            numbers, times = np.unique(items.words[item], return_counts=True)
+            place = np.full(len(items.vocabulary) + 1, len(numbers), dtype=np.int32)  # the last entry stands for other words (-1)
+            place[numbers] = np.arange(len(numbers))
+            own = members[item] = place, times, max(LCS_SHARE * len(items.words[item]), min(LCS_LEAST, len(items.words[item])))
+        place, times, needed = own
+        # a common subsequence has no word more often than either side
+        at = place[region]
+        at = at[at < len(times)]
+        if len(at) < needed or np.minimum(np.bincount(at, minlength=len(times)), times).sum() < needed:
             return None
         words, region = items.words[item].tolist(), region.tolist()
         common = lcs(words, region)
@@ -362,6 +432,17 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
                         found = confirmed(item, region)
                         if found and (old is None or found[0] > old[0]):
                             best[row, item] = (found[0], found[1], float(cosine[p, q]), begin)
+            for row, item, at in items.verbatim(words, counts):
+                length = len(items.words[item])
+                old = best.get((row, item))
+                if old is not None and old[0] == length:
+                    continue
+                first, last = int(first_word[row]), int(first_word[row] + counts[row])
+                found = confirmed(item, words[max(first, at - length) : min(last, at + 2 * length)])
+                if found and (old is None or found[0] > old[0]):
+                    passage = words[at : min(last, at + length)]
+                    sums = _unit(np.array([vectors[passage[passage >= 0]].sum(axis=0), vectors[items.words[item]].sum(axis=0)]))
+                    best[row, item] = (found[0], found[1], float(sums[0] @ sums[1]), at - first)
             if best:
                 take = pa.array([base + row for row, _ in best])
                 rest = list(zip(*best.values()))
@@ -396,9 +477,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = Scratch(df.sparkSession, f"latent{part}")
         encoded = own.keep(_encoded(rows, items), "encoded")
         frequency, passages = _frequencies(encoded, len(items.vocabulary))
-        weight = _weights(frequency, passages)
+        weight, common = _weights(frequency, passages, items)
         vectors = latent_words(encoded, items, weight, own)
-        matched = scratch.keep(_matches(encoded, items, vectors, weight > 0), f"matches{part}")
+        matched = scratch.keep(_matches(encoded, items, vectors, weight > 0, common), f"matches{part}")
         own.drop("encoded", "range")
         found = matched if found is None else found.unionByName(matched)
     if found is None:

@@ -311,6 +311,27 @@ def test_decontamination(spark, docs, empty):
     assert dc.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_items_that_leak_often(spark):
+    """The more often an item leaks, verbatim or paraphrased, the more common its words are."""
+    rnd = random.Random(19)
+    word = lambda: "".join(rnd.choice("aeioubcdfglmnprst") for _ in range(rnd.randrange(3, 9)))
+    prose = lambda n: " ".join(rnd.choice(("the", "of", "and", word())) for _ in range(n))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((9, 24, 45))]
+    rows, want = [(i, prose(60)) for i in range(600)], set()
+    for item, text in items:
+        for k in range(200):
+            words = text.split()
+            if k % 2:
+                words[rnd.randrange(len(words))] = word()
+                words.insert(len(words) // 3, word())
+            rows.append((1000 * (item + 1) + k, f"{prose(rnd.randrange(60))} {' '.join(words)} {prose(30)}"))
+            want.add((1000 * (item + 1) + k, item))
+    bench = spark.createDataFrame([*items, (50, "the"), (51, " ".join(["the", "of", "and"] * 9))], "item_id long, text string")
+    got = dc.contaminated(table(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.item_id < 50} == want
+    assert not any(r.item_id == 50 for r in got)
+
+
 # ------------------------------------------------------------------------ op7
 
 
