@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm.common import IS_MARK, Scratch, documents, mix, runs_by_bytes, spread, text_bytes, word_hashes
 
-ITEMS_PER_BLOCK = 4096
+ITEMS_PER_BLOCK = 512
 BATCH_BYTES = 2 << 20
 #: Words to a block; passages of 2, 4, 8 ... blocks start at every half passage.
 BLOCK = 16
@@ -59,9 +59,10 @@ COMMON_SHARE, COMMON_LEAST = 0.005, 50
 KEPT_SHARE, KEPT_LEAST = 0.25, 2 * LEAST_WORDS
 #: Words of a verbatim run that is looked up exactly.
 RUN = 13
-RANK, OVERSAMPLING, SEED = 112, 16, 20
-#: Passages that each item counts as in the matrix, so that its direction is part of the space.
-ITEM_ROWS = 50
+#: Directions of the latent space: so many at least, and so many for each item of a block.
+RANK, ITEM_RANK, OVERSAMPLING, SEED = 112, 0.56, 16, 20
+#: Passages that each item counts as in the matrix, so that its direction is part of the space: so many at least, and this share of all.
+ITEM_ROWS, ITEM_SHARE = 50, 0.0004
 COSINE = 0.25
 #: Shares of the item's and of its answer's words in the longest common subsequence, and the least number of the former.
 LCS_SHARE, ANSWER_SHARE, LCS_LEAST = 0.6, 0.5, 5
@@ -302,11 +303,17 @@ def _summed(parts: DataFrame, n_rows: int, width: int, scratch: Scratch, name: s
     return out
 
 
-def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, scratch: Scratch, rank: int = RANK) -> np.ndarray:
+def space(n_items: int, passages: int) -> tuple[int, float]:
+    """Rank of the latent space, and the passages that each item counts as."""
+    return max(RANK, math.ceil(ITEM_RANK * n_items)), max(ITEM_ROWS, ITEM_SHARE * passages)
+
+
+def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, passages: int, scratch: Scratch) -> np.ndarray:
     """Weighted words in the latent space: a randomised SVD of the passages' TF-IDF matrix, by one pass over it.
 
-    The items are passages too, each of them ITEM_ROWS times.
+    The items are passages too, as often as ``space`` says.
     """
+    rank, item_rows = space(len(items.words), passages)
     size, wide = len(weight), min(rank + OVERSAMPLING, len(weight))
     weighted = weight > 0
 
@@ -350,7 +357,7 @@ def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, scratch:
     spread_rows = encoded.select("words")
     found = _summed(spread_rows.mapInArrow(ranged, "row long, raw binary"), size, wide, scratch, "range")
     for words in items.words:
-        np.add.at(found, words, ITEM_ROWS * weight[words, None] * omega[words].sum(axis=0))
+        np.add.at(found, words, item_rows * weight[words, None] * omega[words].sum(axis=0))
     # the Nystrom form of the factorisation needs no second pass: A'A is about S (Omega' S)^-1 S'
     core = plain.T @ found
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -478,7 +485,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
         encoded = own.keep(_encoded(rows, items), "encoded")
         frequency, passages = _frequencies(encoded, len(items.vocabulary))
         weight, common = _weights(frequency, passages, items)
-        vectors = latent_words(encoded, items, weight, own)
+        vectors = latent_words(encoded, items, weight, passages, own)
         matched = scratch.keep(_matches(encoded, items, vectors, weight > 0, common), f"matches{part}")
         own.drop("encoded", "range")
         found = matched if found is None else found.unionByName(matched)

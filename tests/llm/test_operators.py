@@ -332,6 +332,13 @@ def test_items_that_leak_often(spark):
     assert not any(r.item_id == 50 for r in got)
 
 
+def test_latent_space_grows():
+    """Items weigh alike in the matrix at every size, and have as many directions each in every block."""
+    ranks, rows = zip(*(dc.space(n, n * 10_000) for n in (200, 400, dc.ITEMS_PER_BLOCK)))
+    assert all(r >= 0.55 * n for r, n in zip(ranks, (200, 400, dc.ITEMS_PER_BLOCK)))
+    assert [r / (n * 10_000) for r, n in zip(rows, (200, 400, dc.ITEMS_PER_BLOCK))] == pytest.approx([dc.ITEM_SHARE] * 3)
+
+
 # ------------------------------------------------------------------------ op7
 
 
