@@ -20,6 +20,7 @@
    common subsequence must hold a share of the item's words, and also a share
    of its answer part, its last third. Word order, insertions, deletions and
    replacements are thus allowed for, common words by chance aren't enough.
+   RUN words in a row are a match without that, whatever share they hold.
 
 The benchmark is worked through in blocks of ITEMS_PER_BLOCK items, so that
 what the driver holds (a block's items, its vocabulary and the word vectors of
@@ -389,7 +390,7 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
 
     members: dict[int, tuple] = {}  # of the items last met, the place of each vocabulary number among theirs, and how often they have it
 
-    def confirmed(item: int, region: np.ndarray):
+    def confirmed(item: int, region: np.ndarray, verbatim: bool = False):
         own = members.get(item)
         if own is None:
             if len(members) >= 256:
@@ -402,15 +403,15 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
         # a common subsequence has no word more often than either side
         at = place[region]
         at = at[at < len(times)]
-        if len(at) < needed or np.minimum(np.bincount(at, minlength=len(times)), times).sum() < needed:
+        if not verbatim and (len(at) < needed or np.minimum(np.bincount(at, minlength=len(times)), times).sum() < needed):
             return None
         words, region = items.words[item].tolist(), region.tolist()
         common = lcs(words, region)
-        if common < needed:
+        if common < needed and not verbatim:
             return None
         answer = words[-max(1, -(-len(words) // 3)) :]
         held = lcs(answer, region)
-        return (common, held / len(answer)) if held >= ANSWER_SHARE * len(answer) else None
+        return (common, held / len(answer)) if verbatim or held >= ANSWER_SHARE * len(answer) else None
 
     def searched(batches):
         for batch, base, words, counts in _word_batches(batches):
@@ -445,7 +446,7 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
                 if old is not None and old[0] == length:
                     continue
                 first, last = int(first_word[row]), int(first_word[row] + counts[row])
-                found = confirmed(item, words[max(first, at - length) : min(last, at + 2 * length)])
+                found = confirmed(item, words[max(first, at - length) : min(last, at + 2 * length)], length >= RUN)
                 if found and (old is None or found[0] > old[0]):
                     passage = words[at : min(last, at + length)]
                     sums = _unit(np.array([vectors[passage[passage >= 0]].sum(axis=0), vectors[items.words[item]].sum(axis=0)]))

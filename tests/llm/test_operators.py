@@ -332,6 +332,19 @@ def test_items_that_leak_often(spark):
     assert not any(r.item_id == 50 for r in got)
 
 
+def test_verbatim_excerpts(spark):
+    """A long run of an item is a leak wherever in the item it lies; a phrase isn't."""
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choice("aeioubcdfglmnprst") for _ in range(rnd.randrange(4, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    item = [word() for _ in range(59)]
+    parts = [item[:45], item[:13], item[20:34], item[-13:], item[:12], item[30:42], item[5:10]]
+    rows = [(i, f"{prose(40)} {' '.join(p)} {prose(25)}") for i, p in enumerate(parts)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, prose(59))], "item_id long, text string")
+    got = dc.contaminated(table(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.lcs) for r in got} == {(0, 7, 45), (1, 7, 13), (2, 7, 14), (3, 7, 13)}
+
+
 def test_latent_space_grows():
     """Items weigh alike in the matrix at every size, and have as many directions each in every block."""
     ranks, rows = zip(*(dc.space(n, n * 10_000) for n in (200, 400, dc.ITEMS_PER_BLOCK)))
