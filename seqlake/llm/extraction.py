@@ -260,7 +260,7 @@ def blocks_of(root: Node) -> tuple[list[Block], np.ndarray]:
             words = p.text.count(" ") + 1
             marks = sum(p.text.count(c) for c in ".,!?")
             row = [
-                n, words, p.linked / n, p.links, marks / words, p.text[-1] in ".!?:…\"'”»)", sum(map(str.isdigit, p.text[:200])) / min(n, 200),
+                n, words, p.linked / n, p.links, marks / words, p.text[-1] in ".!?:…\"'”»)", sum(map(str.isdigit, p.text)) / n,
                 node.tag in _HEADINGS, good, min(bad, 3), article, shut, hidden, node.depth, count, texts, i / count,
                 node.chars / node.nodes, node.linked / max(1, node.chars), up.chars / up.nodes, up.linked / max(1, up.chars), up.marks / max(1, up.blocks),
                 len(up.parts), up.chars / total, len(node.tokens & BAD) > 0, len(up.tokens & BAD) > 0, "©" in p.text,

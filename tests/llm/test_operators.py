@@ -195,6 +195,13 @@ def test_pages_of_all_sorts(spark):
     assert ex.extract(df.limit(0)).count() == 0
 
 
+def test_digits_of_the_whole_block():
+    text = "a word " * 60 + "12345 " * 70 + "end"
+    blocks, features = ex.blocks_of(ex.parse(f"<html><body><p>{text}</p></body></html>"))
+    at = [b.text for b in blocks].index(text)
+    assert features[at, 6] == pytest.approx(sum(map(str.isdigit, text)) / len(text)) and features[at, 6] > 0.3
+
+
 # ------------------------------------------------------------------------ op5
 
 
