@@ -7,10 +7,11 @@
    keeps too few words by that, as one that leaks often does, has the rarer
    half of its words weighted all the same.
 2. A randomised SVD of the TF-IDF matrix of all passages of all texts (those
-   with at least LEAST_WORDS weighted words) gives a latent space. Each split
-   sums A'(A Omega) over its passages, the sums are added up by word, and a
-   second pass over the passages rotates the range found to its singular
-   directions.
+   with at least LEAST_WORDS weighted words) gives a latent space, by one pass.
+   Each split sums S = A'(A Omega) over its passages, and the sums are added up
+   by word; the directions are those of the Nystrom form of A'A,
+   S (Omega' S)^-1 S', made on the driver without a second pass. They are thus
+   near the singular directions, not equal to them.
 3. Every passage is projected and held against every item by cosine, in
    blocks. Passages overlap by half, and each item meets passages of about its
    own length. Besides, every run of RUN words of an item (of all its words, if
