@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 #: Rows to an Arrow batch, as rows hold whole texts.
 ARROW_ROWS = 2000
+#: Bytes of an Arrow batch after which no row is added to it.
+ARROW_BYTES = 16 << 20
 
 
 # --------------------------------------------------------------- scratch tables
@@ -22,22 +25,27 @@ ARROW_ROWS = 2000
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, local sessions) a temporary folder of this
-    machine is set as the checkpoint folder.
+    Where it is unset, a session on one machine (local[...], as in tests) gets
+    a temporary folder; on a cluster it is an error, as executors would write
+    to folders that nobody else reads.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scratch-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scratch-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small: ARROW_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keep Arrow batches of texts small: ARROW_ROWS rows and ARROW_BYTES bytes at most."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        own = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key).lower())
+        if own is None or not 0 < int(own[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -85,6 +93,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_ids(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, bool]:
+    """The table with a number that tells its rows apart, the name of that column, and whether ids repeat.
+
+    The number is the row's doc_id where no other row has that id; rows whose
+    id repeats or is null get a hash of id and text, which equal rows share.
+    """
+    name, doc_id, text = free_name(df, "uid"), F.col("doc_id").cast("long"), F.col("text").cast("string")
+    ids = df.select(doc_id.alias("again")).groupBy("again").agg(F.count("*").alias("n"))
+    again = scratch.keep(ids.filter("n > 1 OR again IS NULL").select("again"), "repeated-ids")
+    n = again.count()
+    if not n:
+        return df.withColumn(name, doc_id), name, False
+    columns = [f"c{i}" for i in range(len(df.columns))]  # names that can't clash in the join
+    own = df.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(df.columns, columns)), doc_id.alias("own"), F.xxhash64(doc_id, text, F.octet_length(text)).alias("hash"))
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    marked = own.join(again.withColumn("twice", F.lit(True)), F.col("own").eqNullSafe(F.col("again")), "left")
+    uid = F.when(F.col("twice").isNull(), F.col("own")).otherwise(F.col("hash"))
+    return marked.select(*(F.col(x).alias(c) for c, x in zip(df.columns, columns)), uid.alias(name)), name, True
+
+
 def only_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose key is in ids (distinct), broadcast only while ids are few."""
     few = ids.count() <= BROADCAST_IDS

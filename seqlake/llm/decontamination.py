@@ -7,11 +7,11 @@
    keeps too few words by that, as one that leaks often does, has the rarer
    half of its words weighted all the same.
 2. A randomised SVD of the TF-IDF matrix of all passages of all texts (those
-   with at least LEAST_WORDS weighted words) gives a latent space, by one pass.
-   Each split sums S = A'(A Omega) over its passages, and the sums are added up
-   by word; the directions are those of the Nystrom form of A'A,
-   S (Omega' S)^-1 S', made on the driver without a second pass. They are thus
-   near the singular directions, not equal to them.
+   with at least LEAST_WORDS weighted words) gives a latent space, by two
+   passes. In the first each split sums A'(A Omega) over its passages; the
+   sums are added up by word and made an orthonormal basis Q. In the second
+   each split sums (A Q)'(A Q), whose eigenvectors turn Q to the singular
+   directions, of which the first ones are kept.
 3. Every passage is projected and held against every item by cosine, in
    blocks. Passages overlap by half, and each item meets passages of about its
    own length. Besides, every run of RUN words of an item (of all its words, if
@@ -28,8 +28,8 @@ what the driver holds (a block's items, its vocabulary and the word vectors of
 that vocabulary) is bounded; texts are never collected.
 
 Defined cases: a null or empty text, or an item without words, matches
-nothing; an item of fewer than LEAST_WORDS words keeps no common words, and is met
-only in passages that have so many weighted words; a text
+nothing; an item of fewer than LEAST_WORDS words is found in texts that
+consist of just its words, in its order; a text
 shorter than a passage is one passage; repeated rows and repeated items each
 get their rows; a null id stays null; an empty documents or benchmark table
 gives an empty result; very long texts are searched whole; other columns are
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import IS_MARK, Scratch, documents, mix, runs_by_bytes, spread, text_bytes, word_hashes
+from seqlake.llm.common import IS_MARK, Scratch, documents, mix, runs_by_bytes, spread, text_bytes, with_row_ids, word_hashes
 
 ITEMS_PER_BLOCK = 512
 BATCH_BYTES = 2 << 20
@@ -112,7 +112,7 @@ class Items:
         found: dict[int, list] = {}
         for item, words in enumerate(self.words):
             n = min(RUN, len(words))
-            if n >= LEAST_WORDS:
+            if n:
                 own = np.unique(run_hashes(words, {n})[n])
                 found.setdefault(n, []).append((own, np.full(len(own), item)))
         out = {}
@@ -133,6 +133,8 @@ class Items:
         hashed = run_hashes(words, set(self.runs))
         for n, (hashes, owners) in self.runs.items():
             at = np.flatnonzero(reach[: len(hashed[n])] >= n)
+            if n < LEAST_WORDS:  # so few words are a leak only where they are the whole text
+                at = at[(counts[row[at]] == n) & (end[at] - at == n)]
             low, high = np.searchsorted(hashes, hashed[n][at], "left"), np.searchsorted(hashes, hashed[n][at], "right")
             times = high - low
             at, first = np.repeat(at, times), np.repeat(low, times)
@@ -275,8 +277,8 @@ def _frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def _weights(frequency: np.ndarray, passages: int, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse passage frequency, 0 for words that are too common unless an item would keep too few words; and which words are too common."""
+def _weights(frequency: np.ndarray, passages: int, items: Items) -> np.ndarray:
+    """Inverse passage frequency, 0 for words that are too common unless an item would keep too few words."""
     limit = max(COMMON_LEAST, COMMON_SHARE * passages)
     common = frequency > limit
     kept = ~common
@@ -284,7 +286,7 @@ def _weights(frequency: np.ndarray, passages: int, items: Items) -> tuple[np.nda
         if np.count_nonzero(~common[words]) < min(len(words), max(KEPT_LEAST, KEPT_SHARE * len(words))) and len(words) >= LEAST_WORDS:
             half = max(-(-len(words) // 2), min(KEPT_LEAST, len(words)))
             kept[words[frequency[words] <= np.sort(frequency[words])[half - 1]]] = True
-    return np.where(kept, np.log1p(passages / np.maximum(frequency, 1)), 0.0), common
+    return np.where(kept, np.log1p(passages / np.maximum(frequency, 1)), 0.0)
 
 
 def _summed(parts: DataFrame, n_rows: int, width: int, scratch: Scratch, name: str) -> np.ndarray:
@@ -311,7 +313,7 @@ def space(n_items: int, passages: int) -> tuple[int, float]:
 
 
 def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, passages: int, scratch: Scratch) -> np.ndarray:
-    """Weighted words in the latent space: a randomised SVD of the passages' TF-IDF matrix, by one pass over it.
+    """Weighted words in the latent space: a randomised SVD of the passages' TF-IDF matrix, by two passes over it.
 
     The items are passages too, as often as ``space`` says.
     """
@@ -360,13 +362,22 @@ def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, passages:
     found = _summed(spread_rows.mapInArrow(ranged, "row long, raw binary"), size, wide, scratch, "range")
     for words in items.words:
         np.add.at(found, words, item_rows * weight[words, None] * omega[words].sum(axis=0))
-    # the Nystrom form of the factorisation needs no second pass: A'A is about S (Omega' S)^-1 S'
-    core = plain.T @ found
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    some = values > 1e-10 * max(values.max(), 1e-300)
-    factor = found @ (vectors[:, some] / np.sqrt(values[some]))
-    directions = np.linalg.svd(factor, full_matrices=False)[0]
-    return (directions[:, :rank] * weight[:, None]).astype(np.float32)
+    basis = np.linalg.qr(found)[0]
+    weighted_basis = (basis * weight[:, None]).astype(np.float32)
+
+    def turned(batches):
+        total = np.zeros((basis.shape[1],) * 2)
+        for _, _, rows in passages_of(batches, weighted_basis):
+            total += rows.T @ rows
+        yield rows_of(total)
+
+    inner = _summed(spread_rows.mapInArrow(turned, "row long, raw binary"), basis.shape[1], basis.shape[1], scratch, "inner")
+    for words in items.words:
+        row = (basis[words] * weight[words, None]).sum(axis=0)
+        inner += item_rows * np.outer(row, row)
+    values, vectors = np.linalg.eigh(inner)
+    directions = basis @ vectors[:, np.argsort(-values, kind="stable")[:rank]]
+    return (directions * weight[:, None]).astype(np.float32)
 
 
 # -------------------------------------------------------------------- search
@@ -377,17 +388,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.where(size > 1e-6, x / np.maximum(size, 1e-6), 0.0).astype(np.float32)
 
 
-def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np.ndarray, common: np.ndarray) -> DataFrame:
+def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np.ndarray) -> DataFrame:
     """Confirmed matches: one row for each text and item, with the best passage."""
     by_blocks: dict[int, list[int]] = {}
     for i, words in enumerate(items.words):
-        if len(words):
+        if len(words) >= LEAST_WORDS:
             by_blocks.setdefault(items.passage_blocks(i), []).append(i)
     # passages with too few weighted words for any of the items are passed over
     least = {n: max(LEAST_WORDS, math.ceil(WEIGHTED_SHARE * min(int(weighted[items.words[i]].sum()) for i in own))) for n, own in by_blocks.items()}
-    # common words that other items keep don't count for an item that is too short to keep any
-    asked = [words if len(words) >= LEAST_WORDS else words[~common[words]] for words in items.words]
-    queries = {n: _unit(np.array([vectors[asked[i]].sum(axis=0) for i in own])) for n, own in by_blocks.items()}
+    queries = {n: _unit(np.array([vectors[items.words[i]].sum(axis=0) for i in own])) for n, own in by_blocks.items()}
 
     members: dict[int, tuple] = {}  # of the items last met, the place of each vocabulary number among theirs, and how often they have it
 
@@ -466,11 +475,15 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
     return encoded.select("uid", "doc_id", "words").mapInArrow(searched, schema)
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each text that holds a benchmark item, exactly or paraphrased, and the item."""
+def contaminated(df: DataFrame, benchmark: DataFrame, key: str | None = None) -> DataFrame:
+    """A row for each text that holds a benchmark item, exactly or paraphrased, and the item.
+
+    ``key`` names a column of numbers that tell rows apart.
+    """
     scratch = Scratch(df.sparkSession, "latent")
-    text = F.col("text").cast("string")
-    rows = df.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    if key is None:
+        df, key, _ = with_row_ids(df, scratch)
+    rows = df.select(F.col(key).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = spread(rows)
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = -(-asked.count() // ITEMS_PER_BLOCK) or 1
@@ -486,10 +499,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = Scratch(df.sparkSession, f"latent{part}")
         encoded = own.keep(_encoded(rows, items), "encoded")
         frequency, passages = _frequencies(encoded, len(items.vocabulary))
-        weight, common = _weights(frequency, passages, items)
+        weight = _weights(frequency, passages, items)
         vectors = latent_words(encoded, items, weight, passages, own)
-        matched = scratch.keep(_matches(encoded, items, vectors, weight > 0, common), f"matches{part}")
-        own.drop("encoded", "range")
+        matched = scratch.keep(_matches(encoded, items, vectors, weight > 0), f"matches{part}")
+        own.drop("encoded", "range", "inner")
         found = matched if found is None else found.unionByName(matched)
     if found is None:
         schema = "uid long, doc_id long, item_id long, passage_word long, lcs long, lcs_share double, answer_share double, cosine double"

@@ -17,7 +17,8 @@ one space, blocks are trimmed and joined in page order by one line break.
 
 Defined cases: a null or empty page, or one without article text, gives an
 empty text; unclosed, crossed and unknown tags are read as a browser would,
-as far as blocks are concerned; text outside any element is a block of its
+as far as blocks are concerned, but for hidden elements that are never closed,
+which end with the block around them (scripts and styles with the page); text outside any element is a block of its
 body; repeated rows give equal texts; a null id or url stays null; an empty
 table gives an empty result; very long pages are read whole; other columns
 are ignored.
@@ -57,9 +58,15 @@ BAD = frozenset(
     "header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related reply respond share sharing "
     "sidebar side signup social sponsor sponsored subscribe tags teaser toolbar widget alert".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: A quote opens a value only after an equals sign; elsewhere it is a character of the tag.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(id|class|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Parts of a name that take back what the rest of it says: "advert-free", "no-sidebar", "has-sidebar".
+_TAKEN_BACK = re.compile(r"(?:^|[-_])(?:no|non|free|without|has|with|hide)(?:$|[-_])", re.I)
+_OPENS = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in HIDDEN}
+#: Hidden elements that may hold others of their name, or page blocks.
+_NESTING = frozenset(("svg", "math", "object", "template", "map", "head"))
 _RAW_END = {name: re.compile(rf"</{name}\s*/?>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _SPACE = re.compile(r"[\s]+")
 
@@ -67,12 +74,11 @@ _SPACE = re.compile(r"[\s]+")
 class Node:
     """A block element. ``parts`` holds its text blocks and its block children, in page order."""
 
-    __slots__ = ("tag", "parent", "parts", "tokens", "hidden", "depth", "links", "chars", "linked", "blocks", "nodes", "marks")
+    __slots__ = ("tag", "parent", "parts", "tokens", "hidden", "links", "chars", "linked", "blocks", "nodes", "marks")
 
     def __init__(self, tag: str, parent: Node | None, tokens=frozenset(), hidden: bool = False):
         self.tag, self.parent, self.tokens = tag, parent, tokens
         self.hidden = hidden
-        self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []
 
 
@@ -92,6 +98,19 @@ def parse(page: str) -> Node:
     links = linked = 0
     in_link = False
     skip: list[str] = []  # open elements whose text isn't shown
+    inside: list[str] = []  # blocks opened in them
+    ends: dict[str, tuple[int, bool]] = {}  # by name, the next tag of a hidden element, and whether it closes one
+
+    def closes(name: str, at: int) -> bool:
+        """Whether a hidden element that opens before ``at`` is ever closed, and not only another one after it."""
+        place, closing = ends.get(name, (-1, False))
+        if place < at:
+            tag = _OPENS[name].search(page, at)
+            if name in _NESTING:
+                while tag and not tag[1]:
+                    tag = _OPENS[name].search(page, tag.end())
+            place, closing = ends[name] = (tag.start(), bool(tag[1])) if tag else (len(page), False)
+        return closing
 
     def flush() -> None:
         nonlocal links, linked
@@ -116,19 +135,35 @@ def parse(page: str) -> Node:
         if not found[2]:
             continue
         name, closing = found[2].lower(), bool(found[1])
-        if not closing and name in _RAW_END:
+        if not closing and name in _RAW_END and "svg" not in skip:
             end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            elif name in ("title", "textarea"):  # never closed: its text ends at the next tag
+                at = page.find("<", at) if "<" in page[at:] else len(page)
             continue
         if name in HIDDEN:
             if closing:
                 if name in skip:
                     del skip[len(skip) - 1 - skip[::-1].index(name) :]
-            elif not found[3].rstrip().endswith("/"):
+            elif not found[3].rstrip().endswith("/") and closes(name, at):
                 skip.append(name)
+            if not skip:
+                inside.clear()
             continue
-        if name == "body" and not closing:
-            skip.clear()  # a head that was never closed ends here
+        if skip and name == "foreignobject":
+            inside.append(name) if not closing else inside and inside.pop()
+        if skip and name in BLOCK:
+            # a hidden element that was never closed ends with the block around it, a drawing at the first block in it
+            if closing and name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+            elif closing and any(True for _ in _upwards(node, name)) or not closing and (name == "body" or skip[-1] in ("svg", "math") and "foreignobject" not in inside):
+                skip.clear()
+                inside.clear()
+            elif not closing:
+                inside.append(name)
         if skip:
             continue
         if name == "a":
@@ -191,7 +226,9 @@ def _attributes(raw: str) -> tuple[frozenset, bool]:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
         elif key in ("id", "class", "role", "itemprop"):
-            tokens.update(t.lower() for t in _TOKEN.findall(value))
+            for word in value.split():
+                own = {t.lower() for t in _TOKEN.findall(word)}
+                tokens.update(own - BAD if _TAKEN_BACK.search(word) else own)
     return frozenset(tokens), hidden
 
 
@@ -234,7 +271,9 @@ def blocks_of(root: Node) -> tuple[list[Block], np.ndarray]:
     _measure(root)
     blocks: list[Block] = []
     rows: list[list[float]] = []
-    stack: list = [(root, 0, 0, 0, 0, 0)]  # node, good and bad tokens above, article above, shutting tag above, hidden
+    # node, good and bad tokens above, article above, shutting tag above, hidden, depth, and the nearest node above that
+    # has other parts, too: an element around a single other one changes nothing
+    stack: list = [(root, 0, 0, 0, 0, 0, 0, root)]
     total = max(1, root.chars)
     while stack:
         item = stack.pop()
@@ -242,26 +281,26 @@ def blocks_of(root: Node) -> tuple[list[Block], np.ndarray]:
             rows.append(item[1])
             blocks.append(item[0])
             continue
-        node, good, bad, article, shut, hidden = item
+        node, good, bad, article, shut, hidden, depth, up = item
         good += len(node.tokens & GOOD)
         bad += len(node.tokens & BAD)
         article += node.tag in ("article", "main")
         shut += node.tag in _SHUT
         hidden += node.hidden
-        up = node.parent or node
         count = len(node.parts)
+        deeper, above = (depth + 1, node) if count > 1 else (depth, up)
         texts = sum(isinstance(p, Block) for p in node.parts)
         todo = []
         for i, p in enumerate(node.parts):
             if isinstance(p, Node):
-                todo.append((p, good, bad, article, shut, hidden))
+                todo.append((p, good, bad, article, shut, hidden, deeper, above))
                 continue
             n = len(p.text)
             words = p.text.count(" ") + 1
             marks = sum(p.text.count(c) for c in ".,!?")
             row = [
                 n, words, p.linked / n, p.links, marks / words, p.text[-1] in ".!?:…\"'”»)", sum(map(str.isdigit, p.text)) / n,
-                node.tag in _HEADINGS, good, min(bad, 3), article, shut, hidden, node.depth, count, texts, i / count,
+                node.tag in _HEADINGS, good, bad, article, shut, hidden, depth, count, texts, i / count,
                 node.chars / node.nodes, node.linked / max(1, node.chars), up.chars / up.nodes, up.linked / max(1, up.chars), up.marks / max(1, up.blocks),
                 len(up.parts), up.chars / total, len(node.tokens & BAD) > 0, len(up.tokens & BAD) > 0, "©" in p.text,
                 *(node.tag == t for t in _TAGS), *(up.tag == t for t in _TAGS),
@@ -439,7 +478,7 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> list[t
             if rnd.random() < 0.06:
                 body.append(rnd.choice((advert, notice, form))())
         tag = rnd.choice(("article", "article", "article", "main", "div", "section"))
-        name = attribute("article", "post", "content", "entry-content", "story") if tag not in ("div", "section") else f' class="{rnd.choice(("content", "post", "article-body", "main-text", "story"))}"'
+        name = attribute("article", "post", "content", "entry-content", "story") if tag not in ("div", "section") else rnd.choice(("", f' class="{word()}"', *(f' class="{x}"' for x in ("content", "post", "article-body", "main-text", "story"))))
         article = f"<{tag}{name}>{''.join(body)}</{tag}>"
         before = [f() for f in (header, menu, notice, advert, form, sidebar) if rnd.random() < 0.4]
         after = [f() for f in (comments, sidebar, advert, form, menu, notice) if rnd.random() < 0.35] + ([footer()] if rnd.random() < 0.85 else [])

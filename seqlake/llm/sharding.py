@@ -11,8 +11,9 @@ slices of bounded number, so no window holds a hot cell as a whole;
 the counts that are summed in order are a table of cells and slices.
 
 Defined cases: a null text has size 16 and the checksum of no bytes; null
-metadata falls into cell 0; ties on the curve are ordered by checksum, id
-and size; repeated rows each get a slot of their own (which of two equal
+metadata falls into cell 0; ties on the curve are ordered by a hash slice,
+then checksum, id and size, so equal texts of a cell aren't neighbours
+beyond a slice; repeated rows each get a slot of their own (which of two equal
 rows has which is immaterial); fewer rows than shards leave shards empty;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -20,6 +21,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,21 +76,38 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
     return F.conv(F.substring(F.lit(table), cell * F.lit(digits) + F.lit(1), F.lit(digits)), 16, 10).cast("int")
 
 
-def quantised(bits: int = BITS) -> list[Column]:
+def _name_code(name: Column, skipped: int) -> Column:
+    """Seven bytes of a name from ``skipped`` on as a number, in the order of the names; 0 for null."""
+    part = F.substring(name.cast("binary"), skipped + 1, 7)
+    return F.coalesce(F.conv(F.rpad(F.hex(part), 14, "0"), 16, 10).cast("long"), F.lit(0))
+
+
+def quantised(rows: DataFrame, bits: int = BITS) -> list[Column]:
     """Cells of the document metadata: language, source and size.
 
-    Names go to cells by hash; the size cell is its number of binary digits,
-    kept within range, so cells need no pass over the data and stay put as
-    the table grows.
+    Names go to cells in their order, cut where the rows of a cell are about
+    equal (a name is never cut), so that a shard's least and largest name
+    exclude the others. What all names begin with doesn't count. The size
+    cell is its number of binary digits, kept within range. Two passes that
+    return one row each find the names' common beginning and the cuts.
     """
-    cells = 1 << bits
-    named = [F.coalesce(F.pmod(F.crc32(F.col(c).cast("binary")), F.lit(cells)), F.lit(0)) for c in ("lang", "source")]
+    names, cells = ("lang", "source"), 1 << bits
+    ends = rows.agg(*(f(c).alias(f"{c}{f.__name__}") for c in names for f in (F.min, F.max))).first()
+    known = {c: [(ends[f"{c}{f}"] or "").encode() for f in ("min", "max")] for c in names}
+    codes = {c: _name_code(F.col(c), len(commonprefix(known[c])) if known[c][0] else 0) for c in names}
+    cuts = rows.agg(*(F.percentile_approx(codes[c], [i / cells for i in range(1, cells)], 10_000).alias(c) for c in names)).first()
+    named = [reduce(lambda a, b: a + b, ((codes[c] > F.lit(x)).cast("int") for x in cuts[c] or [0])) for c in names]
     digits = F.length(F.bin(F.col("size"))) - F.lit(5)
-    return [named[0], named[1], F.least(F.greatest(digits, F.lit(0)), F.lit(cells - 1))]
+    return [*named, F.least(F.greatest(digits, F.lit(0)), F.lit(cells - 1))]
+
+
+def write_shards(df: DataFrame, path: str, n_shards: int = N_SHARDS, bits: int = BITS) -> None:
+    """Store the rows' metadata by shard; the files' least and largest values then exclude most files of a filtered read."""
+    hilbert_shards(df, n_shards, bits, ("lang", "source")).repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-def hilbert_shards(df: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:
-    """Shard and slot of every row, under the law of equal row counts."""
+def hilbert_shards(df: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Shard and slot of every row, under the law of equal row counts; ``extra`` names metadata to return, too."""
     missing = [F.lit(None).cast("string").alias(c) for c in ("lang", "source") if c not in df.columns]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = df.select("*", *missing).select(
@@ -98,7 +117,7 @@ def hilbert_shards(df: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) ->
         (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    rows = rows.select("doc_id", "size", "text_crc32", hilbert_index(quantised(bits), bits).alias("hilbert"))
+    rows = rows.select("doc_id", "size", "text_crc32", *extra, hilbert_index(quantised(rows.select("lang", "source"), bits), bits).alias("hilbert"))
     cells = rows.groupBy("hilbert").agg(F.count("*").alias("cell_rows"))  # at most 2**(3 * bits) rows
     before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
@@ -120,7 +139,7 @@ def hilbert_shards(df: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) ->
     start = F.floor((F.col("shard") * F.col("total") + F.lit(n_shards - 1)) / F.lit(n_shards))
     return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert",
+        (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert", *extra,
     )
 
 

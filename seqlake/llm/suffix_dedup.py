@@ -20,14 +20,22 @@ for all its copies. Every pass is a grouping that is pre-aggregated, and a
 join of two written tables, whose hot keys Spark splits.
 
 Removal is judged on the input: every byte under a repeated window goes, in
-all its copies, overlaps included.
+all its copies, overlaps included. With ``keep_first`` the first copy of each
+window (by row number, then place) stays: of each class of equal runs all but
+the first are repeated and leave, and the first goes on alone.
+
+This is a sparse form of the sort: a suffix is a record of its own only where
+its neighbours' windows differ in copies. With a record for each suffix a
+pass moves at least twelve bytes (eight of a digit, four of a place) for each
+byte of text, three times the disk that the operator may use.
 
 Defined cases: a null or empty text has no bytes and keeps the checksum of
 none; texts shorter than the threshold keep all; repeated rows are
-occurrences of one another; ids may repeat or be null, as rows are told
-apart by a hash of id and text; very long texts are read in overlapping
-segments; an empty table gives an empty result; other columns are ignored.
-Digits are 64-bit hashes, a group is told by two of them.
+occurrences of one another (with ``keep_first`` they count as one row); ids
+may repeat or be null (see ``with_row_ids``); very long texts are read in
+overlapping segments; an empty table gives an empty result; other columns are
+ignored, or kept as they are by ``without_repeats``. Digits are 64-bit hashes,
+a group is told by two of them.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import BROADCAST_IDS, Rolling, Scratch, documents, mix, only_ids, runs_by_bytes, spread, text_bytes
+from seqlake.llm.common import BROADCAST_IDS, Rolling, Scratch, documents, free_name, mix, only_ids, runs_by_bytes, spread, text_bytes, with_row_ids
 
 THRESHOLD = 400
 #: Bytes of an anchor piece, and the offsets of a run in each later pass.
@@ -117,11 +125,6 @@ def _segments(texts, threshold: int):
             yield a, at, part, np.array([0, len(part)], dtype=np.int64)
 
 
-def _with_uid(df: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.withColumn("uid", F.xxhash64(F.col("doc_id"), text, F.octet_length(text)))
-
-
 def _records(rows: DataFrame, threshold: int) -> DataFrame:
     names = ["uid", "m", "lo", "hi", "core", "union"]
 
@@ -168,11 +171,12 @@ def _split(texts: DataFrame, items: DataFrame, cell: int, threshold: int) -> Dat
     )
 
 
-def _pass(runs: DataFrame, scratch: Scratch, name: str, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _pass(runs: DataFrame, scratch: Scratch, name: str, threshold: int, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """One digit: the spans it finds repeated, and the runs that must be split further.
 
     ``runs`` has uid, m, lo, hi, done, core and union; a done run is known to
-    be repeated and only serves as a partner.
+    be repeated and only serves as a partner. With ``keep_first`` no run is
+    ever done: the first of a class goes on like any other.
     """
     groups = runs.groupBy("core").agg(F.count("*").alias("n"), F.min("done").alias("all_done"), F.min("union").alias("low"), F.max("union").alias("high"))
     groups = scratch.keep(groups.filter("n > 1 AND NOT all_done").select("core", (F.col("low") != F.col("high")).alias("mixed")), f"{name}-groups")
@@ -181,10 +185,15 @@ def _pass(runs: DataFrame, scratch: Scratch, name: str, threshold: int) -> tuple
         (F.max("done") | (F.count("*") > 1)).alias("done"), F.max("mixed").alias("mixed"), F.min(F.struct("uid", "m", "lo", "hi")).alias("rep")
     )
     classes = scratch.keep(classes, f"{name}-classes")
+    span = ["uid", (F.col("m") - F.col("hi")).alias("start"), (F.col("m") - F.col("lo") + F.lit(threshold)).alias("end")]
+    if keep_first:
+        later = alive.join(classes.filter("done").select("core", "union", "rep"), ["core", "union"]).filter(F.struct("uid", "m", "lo", "hi") != F.col("rep"))
+        found = scratch.keep(later.select(*span), f"{name}-found")
+        left = scratch.keep(classes.filter("mixed").select("rep.*", F.lit(False).alias("done")), f"{name}-left")
+        scratch.drop(f"{name}-groups", f"{name}-alive", f"{name}-classes")
+        return found, left
     found = alive.filter("NOT done").join(classes.filter("done").select("core", "union"), ["core", "union"])
-    found = scratch.keep(
-        found.select("uid", (F.col("m") - F.col("hi")).alias("start"), (F.col("m") - F.col("lo") + F.lit(threshold)).alias("end")), f"{name}-found"
-    )
+    found = scratch.keep(found.select(*span), f"{name}-found")
     mixed = classes.filter("mixed")
     open_groups = scratch.keep(mixed.groupBy("core").agg(F.min("done").alias("all_done")).filter("NOT all_done").select("core"), f"{name}-open")
     left = scratch.keep(mixed.join(open_groups, "core").select("rep.*", "done"), f"{name}-left")
@@ -192,16 +201,16 @@ def _pass(runs: DataFrame, scratch: Scratch, name: str, threshold: int) -> tuple
     return found, left
 
 
-def repeated_spans(rows: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+def repeated_spans(rows: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, keep_first: bool = False) -> DataFrame:
     """(uid, spans) of every row (uid, text) with repeated windows; spans may overlap."""
     runs = scratch.keep(_records(rows, threshold), "records").withColumn("done", F.lit(False))
-    found, left = _pass(runs, scratch, "anchor", threshold)
+    found, left = _pass(runs, scratch, "anchor", threshold, keep_first)
     scratch.drop("records")
     uids = scratch.keep(left.select("uid").distinct(), "uids")
     texts = scratch.keep(only_ids(rows.select("uid", "text"), "uid", uids).dropDuplicates(["uid"]), "texts")
     for cell in CELLS:
         runs = scratch.keep(_split(texts, left, cell, threshold), f"runs{cell}")
-        more, left = _pass(runs, scratch, f"cell{cell}", threshold)
+        more, left = _pass(runs, scratch, f"cell{cell}", threshold, keep_first)
         scratch.drop(f"runs{cell}")
         found = found.unionByName(more)
     scratch.drop("texts", "uids")
@@ -230,20 +239,23 @@ def _cut(raw: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), int((b - a).sum()), len(a)
 
 
-def _parts(df: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Rows without repeated windows, and rows with them and their ``spans``."""
+def _parts(df: DataFrame, threshold: int, key: str | None, keep_first: bool = False) -> tuple[DataFrame, DataFrame, str]:
+    """Rows without repeated windows, rows with them and a column of their spans, and that column's name."""
     scratch = Scratch(df.sparkSession, "suffix")
-    rows = _with_uid(df)
-    spans = repeated_spans(spread(rows), scratch, threshold)
-    uids = spans.select("uid")
+    if key is None:
+        df, key, _ = with_row_ids(df, scratch)
+    name = free_name(df, "spans")
+    rows = df.select(F.col(key).alias("uid"), F.col("text").cast("string").alias("text"))
+    spans = repeated_spans(spread(rows), scratch, threshold, keep_first).select(F.col("uid").alias(key), F.col("spans").alias(name))
+    uids = spans.select(key)
     uids = F.broadcast(uids) if uids.count() <= BROADCAST_IDS else uids
-    return rows.join(uids, "uid", "left_anti"), rows.join(uids, "uid", "left_semi").join(spans, "uid")
+    return df.join(uids, key, "left_anti"), df.join(uids, key, "left_semi").join(spans, key), name
 
 
 def removal_digest(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Bytes, bytes and runs removed, and the checksum of what is kept, for every row."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole, cut = _parts(rows, threshold)
+    whole, cut, _ = _parts(rows, threshold, None)
 
     def digests(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -266,9 +278,13 @@ def removal_digest(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return same.unionByName(cut.select("doc_id", "text", "spans").mapInArrow(digests, schema))
 
 
-def without_repeats(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows with repeated windows cut out of their texts; characters cut in half go too."""
-    whole, cut = _parts(df, threshold)
+def without_repeats(df: DataFrame, threshold: int = THRESHOLD, keep_first: bool = False, key: str | None = None) -> DataFrame:
+    """The rows with repeated windows cut out of their texts, in all places or all but the first; characters cut in half go too.
+
+    ``key`` names a column of numbers that tell rows apart, which isn't returned.
+    """
+    whole, cut, spans = _parts(df, threshold, key, keep_first)
+    columns = [F.col(f"`{c}`") for c in df.columns if c != key]
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -278,10 +294,10 @@ def without_repeats(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             out.append(_cut(t.encode(), pairs)[0].decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    shorter = cut.withColumn("text", rest("text", "spans"))
+    shorter = cut.withColumn("text", rest("text", spans))
     if "n_chars" in df.columns:
         shorter = shorter.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return whole.select(df.columns).unionByName(shorter.select(df.columns))
+    return whole.select(*columns).unionByName(shorter.select(*columns))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

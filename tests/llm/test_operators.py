@@ -149,6 +149,28 @@ def test_suffix_dedup(spark, docs, empty, threshold):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_first_copies_stay(spark):
+    """With keep_first a window goes unless it is its first occurrence, by id and place."""
+    threshold, rnd = 40, random.Random(31)
+    base = ["".join(rnd.choice("abcd \n") for _ in range(300)) for _ in range(5)]
+    texts = [*base, base[1], "x" * 200, "y" + "x" * 150, base[2][50:200] + base[3][10:90], base[0][:120] + "-" + base[0][100:260], None, "", "ab" * 90]
+    for _ in range(20):
+        a, b = rnd.choice(base), rnd.choice(base)
+        i, j = rnd.randrange(200), rnd.randrange(200)
+        texts.append(a[i : i + rnd.choice((39, 40, 41, 90))] + b[j : j + rnd.choice((20, 60, 100))])
+    seen, want = set(), []
+    for t in texts:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), dtype=bool)
+        for x in range(len(raw) - threshold + 1):
+            if raw[x : x + threshold] in seen:
+                gone[x : x + threshold] = True
+            seen.add(raw[x : x + threshold])
+        want.append(None if t is None else np.frombuffer(raw, np.uint8)[~gone].tobytes().decode())
+    got = {r.doc_id: r.text for r in sd.without_repeats(table(spark, list(enumerate(texts))), threshold, keep_first=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_long_texts_are_read_in_segments(monkeypatch):
     import pyarrow as pa
 
@@ -195,6 +217,31 @@ def test_pages_of_all_sorts(spark):
     assert ex.extract(df.limit(0)).count() == 0
 
 
+ARTICLE = "<p>The river rose quickly in the night, and by the morning, three streets were under water.</p><p>Repairs will take months, officials said.</p>"
+HEAD = '<html><head><title>t</title></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+FOOT = "<footer>&copy; 2020 site</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "middle",
+    [
+        f"<div><button>Menu</div><article>{ARTICLE}</article>", f"<div><svg><path d='x'></div><article>{ARTICLE}</article>", f"<article><svg>{ARTICLE}</article>",
+        f"<article><video src=x>{ARTICLE}</article>", f"<noscript><article>{ARTICLE}</article>", f"<svg><title>icon</svg><article>{ARTICLE}</article>",
+        f"{'<div>' * 2000}{ARTICLE}{'</div>' * 2000}", f"<article class='blog-post advert-free'>{ARTICLE}</article>", f"<article><button>Share <b>this</b></button>{ARTICLE}<button>Print</button></article>",
+        f"<title>late<article>{ARTICLE}</article>", f"<article><p></p><select><option>a{ARTICLE}</article>", f"<article><template><p>no</p></template>{ARTICLE}</article>",
+    ],
+)
+def test_odd_markup_keeps_the_article(trees, middle):
+    want = ["The river rose quickly in the night, and by the morning, three streets were under water.", "Repairs will take months, officials said."]
+    got = ex.main_text(HEAD + middle + FOOT, trees).split("\n")
+    assert [x for x in got if x in want] == want and len(got) <= 3
+
+
+def test_stray_quotes_are_no_text(trees):
+    page = f'{HEAD}<article><p title="5"" x>One and two are numbers, as everybody knows.</p>{ARTICLE}</article>{FOOT}'
+    assert ex.main_text(page, trees).startswith("One and two are numbers") and '"' not in ex.main_text(page, trees)
+
+
 def test_digits_of_the_whole_block():
     text = "a word " * 60 + "12345 " * 70 + "end"
     blocks, features = ex.blocks_of(ex.parse(f"<html><body><p>{text}</p></body></html>"))
@@ -318,6 +365,15 @@ def test_decontamination(spark, docs, empty):
     assert dc.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    """Items of any number of words are found where a text is the item; longer ones also inside a text."""
+    rows = [(0, "What is the capital of Kazakhstan"), (1, "Paris, France"), (2, "we went to Paris France today"), (3, "so what is the capital of Kazakhstan? ask"), (4, "the of and"), (5, "the of and the")]
+    rows += [(10 + i, "the of and " * 20) for i in range(60)]
+    bench = spark.createDataFrame([(1, "what is the capital of kazakhstan"), (2, "Paris France"), (3, "the of and"), (4, " ".join(["the", "of", "and"] * 8))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(table(spark, rows), bench).collect()}
+    assert got == {(0, 1), (3, 1), (1, 2), (4, 3), *((10 + i, 4) for i in range(60))}
+
+
 def test_items_that_leak_often(spark):
     """The more often an item leaks, verbatim or paraphrased, the more common its words are."""
     rnd = random.Random(19)
@@ -369,7 +425,7 @@ def test_kneser_ney_is_a_distribution(spark):
     from seqlake.llm.common import text_bytes
 
     texts = ["the cat sat on the mat", "the rat sat on the hat and the cat", "a cat and a rat"] * 3
-    _, _, grams, _ = ql.word_grams(*text_bytes(pa.array([" ".join(texts)])))
+    grams, _, _ = ql.symbol_grams(*text_bytes(pa.array([" ".join(texts)])))
     counts = Counter(grams.tolist())
     own = spark.createDataFrame([(g, n, n) for g, n in counts.items()], "gram long, trusted long, decent long")
     scratch = Scratch(spark, "kn")
@@ -377,7 +433,7 @@ def test_kneser_ney_is_a_distribution(spark):
     some = sorted(counts)[:6]
     every = [(g >> 8 << 8) | b for g in some for b in range(256)]
     asked = spark.createDataFrame([(g,) for g in set(every)], "gram long")
-    p = {r.gram: r.trusted for r in ql.probabilities(asked, alpha, gamma).collect()}
+    p = {r.gram: r.trusted for r in ql.probabilities(asked, alpha, gamma, scratch).collect()}
     for g in some:
         assert sum(p[(g >> 8 << 8) | b] for b in range(256)) == pytest.approx(1.0, abs=1e-6)
     assert all(p[g] > p[(g >> 8 << 8) | 200] for g in some)
@@ -413,13 +469,76 @@ def test_quality(spark, docs, empty):
     assert all(r.kept for r in ql.judged(docs, known.limit(0)).collect())
 
 
-def test_shards_score_like_broadcast(spark):
-    rows, labels = corpus(n=60)
+def plain_symbols(text):
+    """Symbols of a text one by one."""
+    out, before = [], None
+    for word in re.findall(rb"[^ \t-\r]+", (text or "").encode()):
+        word = re.sub(rb"[0-9]", b"0", word)
+        out += [ql.AGAIN] if word == before else list(word)
+        out.append(ql.END)
+        before = word
+    return out
+
+
+def plain_kneser_ney(texts):
+    """Probability of a symbol after a context, by the textbook's recursion on dictionaries."""
+    n = ql.ORDER
+    full = Counter()
+    for t in texts:
+        padded = [ql.START] * (n - 1) + plain_symbols(t)
+        full.update(tuple(padded[i : i + n]) for i in range(len(padded) - n + 1))
+    counts = {n: full}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[-k:] for g in {g[-k - 1 :] for g in full})
+    found, follows = {}, {}
+    for k, own in counts.items():
+        n1, n2, n3, n4 = (max(1, sum(c == i for c in own.values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        found[k] = [min(max(d, 0.1), i - 0.05) for i, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
+        follows[k] = {}
+        for g, c in own.items():
+            follows[k].setdefault(g[:-1], []).append(c)
+
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else ql.FLOOR
+        after = follows[k].get(gram[:-1])
+        if not after:
+            return lower
+        d = found[k]
+        c = counts[k].get(gram, 0)
+        return (c - (d[min(c, 3) - 1] if c else 0)) / sum(after) + sum(d[min(x, 3) - 1] for x in after) / sum(after) * lower
+
+    return p
+
+
+def test_scores_are_the_plain_models(spark):
+    """Scores by shards, which have the same text in several blocks, equal a model on dictionaries."""
+    rows, labels = corpus(n=40)
+    rows += [(900, "the  the\nthe and 12 and 345 é\t"), (901, None), (902, " \n"), (903, "x")]
     df, known = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    one, two = (
-        {r.doc_id: (r.symbols, round(r.nll, 2), round(r.peak, 3)) for r in ql.scores(df, known, Scratch(spark, "s"), most).collect()} for most in (ql.MODEL_ROWS, 0)
-    )
-    assert one == two
+    got = {r.doc_id: r for r in ql.scores(df, known, Scratch(spark, "s")).collect()}
+    texts = dict(rows)
+    trusted, decent = (plain_kneser_ney([texts[i] for i in texts if got[i].label in want]) for want in ((2,), (1, 2)))
+    assert len({r.label for r in got.values()}) == 4
+    for i, text in texts.items():
+        own = plain_symbols(text)
+        padded = [ql.START] * (ql.ORDER - 1) + own
+        one, two = ([math.log(m(tuple(padded[k : k + ql.ORDER]))) for k in range(len(own))] for m in (trusted, decent))
+        assert got[i].symbols == len(own) and got[i].nll == pytest.approx(-sum(one), rel=1e-4, abs=1e-4)
+        words = np.split(np.array(two) - np.array(one), np.flatnonzero(np.array(own) == ql.END)[:-1] + 1) if own else []
+        assert got[i].peak == pytest.approx(max((w.sum() for w in words), default=0.0), abs=1e-3)
+
+
+def test_word_order_counts(spark):
+    rnd = random.Random(8)
+    phrases = ["one two three four", "red green blue", "over the hills and far away", "once upon a time"]
+    rows = [(i, " ".join(rnd.choice(phrases) for _ in range(40))) for i in range(80)]
+    words = " ".join(phrases).split()
+    rows += [(100 + i, " ".join(rnd.choice(words) for _ in range(140))) for i in range(10)]
+    known = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in ql.judged(table(spark, rows), known).collect()}
+    assert not any(got[100 + i] for i in range(10)) and sum(got[i] for i in range(80)) >= 78
 
 
 # ------------------------------------------------------------------------ op8
@@ -487,9 +606,69 @@ def test_sharding(spark, docs, empty):
     assert len(sizes) == 40 and sizes.max() - sizes.min() <= 1
 
 
+def test_shards_prune_files(spark, tmp_path):
+    rnd = random.Random(4)
+    sources = [f"https://site{i:03}.example/" for i in range(60)]
+    rows = [(i, "x" * rnd.choice((5, 60, 900, 9000)), rnd.choice(("de", "en", "en", "fr", None)), rnd.choice(sources)) for i in range(3000)]
+    sh.write_shards(table(spark, rows), str(tmp_path / "s"))
+    got = spark.read.parquet(str(tmp_path / "s")).toPandas()
+    assert len(got) == 3000 and got["shard"].nunique() == 40
+    for column, some in (("source", sources[7]), ("lang", "de"), ("size", 16 + 9000)):
+        own = got.dropna(subset=[column]).groupby("shard")[column].agg(["min", "max"])
+        assert ((own["min"] <= some) & (own["max"] >= some)).sum() <= 24, column
+
+
 # ----------------------------------------------------------------------- op10
 
 
+def plain_root(placed, fanout, levels):
+    """The root of an archive, level by level on lists."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    nodes = {p: digest(f"leaf:{o}:{n}:{hashlib.sha256(raw).hexdigest()}") for p, o, n, raw in placed}
+    for _ in range(levels):
+        above = {}
+        for p in sorted(nodes):
+            above.setdefault(p // fanout, []).append(f"{p}={nodes[p]}")
+        nodes = {p: digest(",".join(own)) for p, own in above.items()}
+    return digest(",".join(nodes[p] for p in sorted(nodes)))
+
+
+def test_roots_are_the_plain_trees(spark):
+    placed = Scratch(spark, "w").keep(warc.records(pages(spark), 40), "placed")
+    by_archive = {}
+    for r in placed.collect():
+        by_archive.setdefault(r.archive, []).append((r.position, r.offset, r.length, bytes(r.record)))
+    for levels in (warc.LEVELS, 1):  # one level is too few, so that several top nodes remain
+        found = warc.audit(placed, placed, Scratch(spark, "w"), 4, levels).collect()
+        assert {r.state for r in found} == {"intact"} and len(found) == 92
+        assert {(r.archive, r.root) for r in found} == {(a, plain_root(own, 4, levels)) for a, own in by_archive.items()}
+
+
+def test_audit_of_shifted_and_extra_records(spark):
+    from pyspark.sql import functions as F
+
+    placed = Scratch(spark, "w").keep(warc.records(pages(spark), 1000), "placed")
+    more = placed.filter("position = 5").withColumn("position", F.col("position") + 500)
+    other = placed.withColumn("offset", F.when(F.col("position") == 9, F.col("offset") + 1).otherwise(F.col("offset"))).unionByName(more)
+    state = {(r.position, r.state) for r in warc.audit(placed, other, Scratch(spark, "w")).collect() if r.state != "intact"}
+    assert state == {(9, "altered"), (505, "extra")}
+    state = {(r.position, r.state) for r in warc.audit(other, placed, Scratch(spark, "w")).collect() if r.state != "intact"}
+    assert state == {(9, "altered"), (505, "missing")}
+
+
+def test_audit_query(spark, sf_dir):
+    """The whole query against the records made one by one."""
+    got = {r.page_id: r for r in warc.op10_merkle_audit(spark, sf_dir).collect()}
+    want = {r.page_id: bytes(r.record) for r in warc.records(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    assert set(got) == set(want)
+    for i, raw in want.items():
+        other = raw[:-5] + b"\x00\r\n\r\n" if zlib.crc32(raw) % warc.DAMAGE_ONE_IN == 0 else raw
+        assert (got[i].record_sha256, got[i].replica_sha256) == (hashlib.sha256(raw).hexdigest(), hashlib.sha256(other).hexdigest())
+        assert (got[i].state == "intact") == (raw == other)
+
+
+
+
 def pages(spark, n=90):
     rows = [(i, f"http://x/{i}", f"<p>page {i} é</p>" * (i % 7 + 1), "t") for i in range(n)] + [(None, None, None, "t"), (1, "http://x/1", "<p>page 1 é</p>" * 2, "t")]
     return spark.createDataFrame(rows, "page_id long, url string, html string, hash string")
