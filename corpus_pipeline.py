@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.llm import decontamination, near_dedup, packing, quality, suffix_dedup
-from seqlake.llm.common import BROADCAST_IDS, Scratch, documents
+from seqlake.llm.common import BROADCAST_IDS, Scratch, documents, with_row_ids
 from seqlake.llm.tokens import default_path
 
 #: Bytes of a repeated passage that the pipeline removes: about fifty short words.
@@ -21,46 +21,77 @@ PASSAGE_BYTES = 250
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """Documents whose row key isn't among ``gone``; a broadcast only while those are few."""
-    gone = scratch.keep(gone.distinct(), "gone")
+def _without(docs: DataFrame, key: str, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows whose number isn't among ``gone``; a broadcast only while those are few. The number's column goes."""
+    gone = scratch.keep(gone.select(F.col("uid").alias(key)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.withColumn("uid", quality.row_key()).join(gone, "uid", "left_anti").select(docs.columns)
+    return docs.join(gone, key, "left_anti").drop(key)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.filter("NOT kept").select("uid"), Scratch(spark, "stage7"))
+    """Documents that the classifier rejects go.
+
+    Null and empty texts stay; equal rows are judged alike; rows that share an
+    id but not the text are judged each; an empty table stays one; other
+    columns are kept, whatever their names.
+    """
+    scratch = Scratch(spark, "stage7")
+    rows, key, _ = with_row_ids(docs, scratch)
+    judged = quality.judged(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), key)
+    return _without(rows, key, judged.filter("NOT kept"), scratch)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id; of equal rows, one."""
+    """One document of each near-duplicate group stays: the one with the smallest id.
+
+    Texts without words are groups of their own; of equal rows (id and text)
+    one stays; rows that share an id but not the text are documents of their
+    own, and where such a row is in a group any one of the group stays; an
+    empty table stays one; other columns are kept, whatever their names.
+    """
     scratch = Scratch(spark, "stage5")
-    found = near_dedup.near_duplicates(docs)
-    gone = scratch.keep(found.filter("NOT kept AND component_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = scratch.keep(kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
+    rows, key, repeat = with_row_ids(docs, scratch)
+    found = near_dedup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("uid"))
+    if not repeat:
+        return _without(rows, key, gone, scratch)
+    again = scratch.keep(rows.groupBy(key).count().filter("count > 1").select(key), "again")
     again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    one = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
+    return _without(one, key, gone, scratch).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur more than once are cut out of the texts, in all their places."""
-    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES)
+    """Passages that occur more than once are cut out of the texts in all places but the first, by document id and place.
+
+    Null, empty and short texts stay as they are; texts of any length are
+    searched whole; equal rows count as one; an empty table stays one; other
+    columns are kept, whatever their names.
+    """
+    rows, key, _ = with_row_ids(docs, Scratch(spark, "stage3"))
+    return suffix_dedup.without_repeats(rows, PASSAGE_BYTES, keep_first=True, key=key)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("uid"), Scratch(spark, "stage6"))
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts stay; equal rows are judged alike; rows that share an
+    id but not the text are judged each; an empty table stays one; other
+    columns are kept, whatever their names.
+    """
+    scratch = Scratch(spark, "stage6")
+    rows, key, _ = with_row_ids(docs, scratch)
+    found = decontamination.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key)
+    return _without(rows, key, found, scratch)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, and their places in sequences."""
+    """The pieces of the documents, and their places in sequences.
+
+    A null text is an empty one; repeated rows are packed each; longer texts
+    than a sequence are cut; an empty table gives no piece; other columns
+    don't matter.
+    """
     return packing.pack(docs, default_path(packing.VOCABULARY))
 
 
