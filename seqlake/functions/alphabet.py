@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 ALPHABET = "ARNDCQEGHILKMFPSTWYVBZJX-"
 N_RESIDUES = 20
 X, GAP = 23, 24
+#: Ambiguity codes B, Z and J, and the residues each stands for.
+AMBIGUOUS = {20: (2, 3), 21: (5, 6), 22: (9, 10)}
 BACKGROUND = (
     0.078050, 0.051290, 0.044870, 0.053640, 0.019250, 0.042640, 0.062950, 0.073770, 0.021990, 0.051420,
     0.090190, 0.057440, 0.022430, 0.038560, 0.052030, 0.071200, 0.058410, 0.013300, 0.032160, 0.064410,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.functions.tables import written
+
 
 def anchored_cells(pairs: DataFrame) -> DataFrame:
     """Cells (query_id, target_id, q_pos, ins, residue) of pairwise alignments (query_id, target_id, q_from, q_aln, t_aln).
@@ -53,3 +55,42 @@ def with_ss(profiles: DataFrame, prediction: DataFrame, scale: int = 10000) -> D
     checked = F.when(agree, F.col("state")).otherwise(F.raise_error(F.lit("residues of profile and prediction differ")).cast("string"))
     cut = [F.floor(F.col(c) * scale).cast("int").alias(c) for c in ("pc", "pe", "ph")]
     return joined.select(*profiles.columns, checked.alias("state"), *cut)
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with their number in a total order, without a window over all rows.
+
+    Rows are dealt out by range, numbered within each partition, and raised by
+    the counts of the partitions before, a table of one row each.
+    """
+    part = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return part.withColumn("_own", own).join(F.broadcast(counts), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def with_query(aligned: DataFrame, queries: DataFrame) -> DataFrame:
+    """Cells of hits (query_id, target_id, q_pos, ins, residue) and of the whole query (query_id, residues) itself, as target -1."""
+    letters = queries.select("query_id", F.posexplode(F.split("residues", "")).alias("at", "residue"))
+    own = letters.select("query_id", F.lit(-1).cast("long").alias("target_id"), (F.col("at") + 1).alias("q_pos"), F.lit(0).alias("ins"), "residue")
+    return aligned.unionByName(own)
+
+
+def query_anchored(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Aligned strings of hits and, as target -1, of the whole query, over all query positions and the hits' insertions."""
+    cells = with_query(anchored_cells(pairs).withColumn("target_id", F.col("target_id").cast("long")), queries)
+    columns = cells.select("query_id", "q_pos", "ins").distinct()
+    grid = cells.select("query_id", "target_id").distinct().join(columns, "query_id").join(cells, ["query_id", "target_id", "q_pos", "ins"], "left")
+    row = F.struct("q_pos", "ins", F.coalesce("residue", F.lit("-")).alias("residue"))
+    return grid.groupBy("query_id", "target_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda c: c["residue"]), "").alias("aligned"))
+
+
+def aligned_text(rows: DataFrame, width: int = 60, style: str = "fasta") -> DataFrame:
+    """(query_id, value): aligned strings (query_id, target_id, aligned) as FASTA, lines of ``width``, or in the general style, a numbered line each; the query first."""
+    lines = F.regexp_replace("aligned", f"(.{{{width}}})(?=.)", "$1\n")
+    fasta = F.concat(F.lit(">"), F.when(F.col("target_id") < 0, "query").otherwise(F.col("target_id").cast("string")), F.lit("\n"), lines, F.lit("\n"))
+    plain = F.concat(F.format_string("%-10s ", F.when(F.col("target_id") < 0, "query").otherwise(F.col("target_id").cast("string"))), "aligned", F.lit("\n"))
+    entry = F.struct("target_id", (fasta if style == "fasta" else plain).alias("e"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda r: r["e"]), "").alias("value"))

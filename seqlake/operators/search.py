@@ -17,83 +17,160 @@ from pyspark.sql import functions as F
 
 from seqlake.operators import alignment as al
 from seqlake.operators import significance as sig
-from seqlake.operators.scoring import base_matrix
+from seqlake.operators.scoring import Terms, score_matrices
 
 #: Bytes of packed queries that may be sent to every worker; more go in blocks.
 QUERY_BYTES = 64 << 20
+#: Cells of the score matrices that are aligned together.
+BATCH_CELLS = 1 << 20
+#: Score of the cells that a shorter target lacks.
+ABSENT = -1e9
 
 HIT = (
-    "query_id long, target_id long, query_len int, target_len int, score double, positives double, bonus double, q_from int, q_to int, t_from int, t_to int, "
+    "query_id long, target_id long, query_len int, target_len int, score double, positives int, bonus double, q_from int, q_to int, t_from int, t_to int, "
     "aln_len int, n_ident int, n_gaps int, q_aln string, middle string, t_aln string, lambda double, k double, entropy double, expected double, "
-    "min_score double, max_score double, log_pair_evalue double"
+    "min_score double, max_score double, log_pair_evalue double, query_eno double, target_eno double"
 )
 
 
+#: Fields of a profile that some score terms need, packed by position where a profile has them.
+EXTRA = {"ss": 3, "cv": 19, "norm2": 1, "prior": 1, "cluster": 1, "cluster_p": 1}
+
+
 def packed(profiles: DataFrame) -> DataFrame:
-    """One row for each profile: (profile_id, len, residues, trg, bkg, trn), arrays in order of position.
+    """One row for each profile: profile_id, len, residues, trg, bkg, trn, eno and the fields of EXTRA, arrays in order of position.
 
-    ``trn`` has a row more than the profile: the begin state first.
+    ``trn`` has nine values for all positions, or a row more than the
+    profile: the begin state's (``begin_trn``) first. Fields that the input
+    lacks are null.
     """
-    row = F.struct("pos", "aa", "trg")
-    rows = profiles.groupBy("profile_id").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.first("bkg").alias("bkg"), F.first("trn").alias("trn"))
+    extra = [c for c in EXTRA if c in profiles.columns]
+    by_position = "begin_trn" in profiles.columns
+    row = F.struct("pos", "aa", "trg", *extra, *(["trn"] if by_position else []))
+    eno = F.first("eno_profile").alias("eno") if "eno_profile" in profiles.columns else F.lit(None).cast("double").alias("eno")
+    rows = profiles.groupBy("profile_id").agg(
+        F.array_sort(F.collect_list(row)).alias("rows"), F.first("bkg").alias("bkg"), F.first("begin_trn" if by_position else "trn").alias("trn"), eno
+    )
+
+    def field(c: str):
+        if c not in extra:
+            return F.lit(None).cast("array<double>").alias(c)
+        values = F.transform("rows", lambda r: r[c])
+        return (F.flatten(values) if EXTRA[c] > 1 else F.transform(values, lambda v: v.cast("double"))).alias(c)
+
+    trn = F.concat("trn", F.flatten(F.transform("rows", lambda r: r["trn"]))) if by_position else F.col("trn")
     return rows.select(
         "profile_id", F.size("rows").alias("len"), F.array_join(F.transform("rows", lambda r: r["aa"]), "").alias("residues"),
-        F.flatten(F.transform("rows", lambda r: r["trg"])).alias("trg"), "bkg", "trn",
+        F.flatten(F.transform("rows", lambda r: r["trg"])).alias("trg"), "bkg", trn.alias("trn"), "eno", *(field(c) for c in EXTRA),
     )
 
 
 def _unpacked(row) -> dict:
     n = int(row["len"])
     trn = np.array(row["trn"], dtype=float)
-    return {
+    out = {
         "id": int(row["profile_id"]), "len": n, "residues": row["residues"], "trg": np.array(row["trg"], dtype=float).reshape(n, 20),
-        "bkg": np.array(row["bkg"], dtype=float), "trn": np.tile(trn, (n + 1, 1)) if trn.size == 9 else trn.reshape(n + 1, 9),
+        "bkg": np.array(row["bkg"], dtype=float), "trn": np.tile(trn, (n + 1, 1)) if trn.size == 9 else trn.reshape(n + 1, 9), "eno": row["eno"],
     }
+    for c, width in EXTRA.items():
+        value = row[c]
+        if value is not None:
+            value = np.array(value, dtype=float)
+            out[c] = value.reshape(n, width) if width > 1 else value.astype(int) if c == "cluster" else value
+    return out
 
 
-def pair_hit(q: dict, t: dict, threshold: float, realign: bool = True, least: float = 0.28):
-    """The hit of one pair, or None: score, statistics, alignment."""
-    scores = base_matrix(q["trg"], t["trg"], q["bkg"], t["bkg"])
-    top, end, back = al.local(scores, q["trn"], t["trn"])
-    if top <= threshold:
-        return None
-    path = al.trace(back, end)
-    matched = [float(scores[y, x]) for y, x, step in path if step == al.DIAGONAL]
-    extra, positives = al.bonus(matched), al.positives(matched)
-    if top + extra <= threshold:
-        return None
-    clamped = np.clip(scores, -sig.SCORE_LIMIT, sig.SCORE_LIMIT)
-    bins, counts = np.unique(np.rint(clamped * sig.SCALE).astype(int), return_counts=True)
-    s, p = bins / sig.SCALE, counts / counts.sum()
+def pair_statistics(scores: np.ndarray, q: str, t: str) -> tuple[float, float, float, float, float, float]:
+    """lambda, K, relative entropy, expected, least and largest score of a pair; cells with an unknown residue (X) on either side don't count."""
+    known = (np.frombuffer(q.encode(), "S1") != b"X")[:, None] & (np.frombuffer(t.encode(), "S1") != b"X")[None, :]
+    clamped = np.clip(scores[known] if not known.all() else scores, -sig.SCORE_LIMIT, sig.SCORE_LIMIT)
+    if not clamped.size:
+        return -1.0, -1.0, -1.0, 0.0, 0.0, 0.0
+    bins = np.rint(clamped * sig.SCALE).astype(int).ravel()
+    low = int(bins.min())
+    counts = np.bincount(bins - low)
+    some = np.flatnonzero(counts)
+    s, p = (some + low) / sig.SCALE, counts[some] / counts.sum()
     lam = sig.solve_lambda(s, p)
     h = sig.relative_entropy(s, p, lam)
     unit, back_to = np.unique(np.rint(s).astype(int), return_inverse=True)
     k = sig.solve_k(unit, np.bincount(back_to, p), lam, h)
-    area = q["len"] * t["len"]
-    good = lam > 0 and k > 0
-    pair = math.log(k * area) - lam * (top + extra) if good else math.log(sig.K_REF * area) - sig.LAMBDA_REF * (top + extra)
-    steps = path[::-1]
-    if realign:
-        dynamic = al.dynamic_scores(scores, np.zeros_like(scores), pair)
-        steps = al.maximum_accuracy(dynamic, q["trn"], t["trn"], least)[1]
-    lines = al.strings(steps, q["residues"], t["residues"], scores)
-    ys, xs = [y for y, _, _ in steps], [x for _, x, _ in steps]
-    same = sum(a == b != "-" for a, b in zip(lines[0], lines[2]))
-    gaps = lines[0].count("-") + lines[2].count("-")
-    return (
-        q["id"], t["id"], q["len"], t["len"], top + extra, positives, extra, min(ys, default=-1) + 1, max(ys, default=-1) + 1, min(xs, default=-1) + 1, max(xs, default=-1) + 1,
-        len(steps), same, gaps, *lines, lam, k, h, float((s * p).sum()), float(s.min()), float(s.max()), pair,
-    )
+    return lam, k, h, float((s * p).sum()), float(s.min()), float(s.max())
+
+
+def batch_hits(q: dict, targets: list[dict], threshold: float, terms: Terms = Terms(), least: float = 0.28) -> list[tuple]:
+    """Hits of one query among some targets: score, statistics, alignment.
+
+    All targets go through the recurrence together; only those whose score
+    passes the threshold, before the bonus and with it, are realigned.
+    """
+    m, wide = q["len"], max(t["len"] for t in targets)
+    made = [score_matrices(q, t, terms) for t in targets]
+    scores = np.full((len(targets), m, wide), ABSENT)
+    trn = np.full((len(targets), wide + 1, 9), 0.0)
+    for i, t in enumerate(targets):
+        scores[i, :, : t["len"]] = np.where(al.corners(m, t["len"]), al.CLOSED, made[i][0])
+        trn[i, : t["len"] + 1] = t["trn"]
+    tops, ends, back = al.local_batch(scores, q["trn"], trn)
+    found = []
+    for i, t in enumerate(targets):
+        if tops[i] <= threshold:
+            continue
+        own = made[i][0]
+        path = al.trace(back[i], ends[i])
+        matched = [float(own[y, x]) for y, x, step in path if step == al.DIAGONAL]
+        extra = al.bonus(matched)
+        score = float(tops[i]) + extra
+        if score <= threshold:
+            continue
+        stats = pair_statistics(own, q["residues"], t["residues"])
+        lam, k = stats[:2]
+        area = m * t["len"]
+        pair = math.log(k * area) - lam * score if lam > 0 and k > 0 else math.log(sig.K_REF * area) - sig.LAMBDA_REF * score
+        found.append((i, score, extra, al.positives(matched), stats, pair, path[::-1]))
+    if terms.realign and found:
+        dynamic = np.full((len(found), m, wide), ABSENT)
+        for j, (i, *_, pair, _) in enumerate(found):
+            dynamic[j, :, : targets[i]["len"]] = al.dynamic_scores(*made[i], pair)
+        some = [f[0] for f in found]
+        paths = al.accuracy_batch(dynamic, q["trn"], trn[some], np.array([targets[i]["len"] for i in some]), least)[1]
+    out = []
+    for j, (i, score, extra, n_positive, stats, pair, path) in enumerate(found):
+        t, own = targets[i], made[i][0]
+        steps = paths[j] if terms.realign else path
+        lines = al.strings(steps, q["residues"], t["residues"], own)
+        same = sum(a == b != "-" for a, b in zip(lines[0], lines[2]))
+        if terms.realign:  # the realigned path's: cells above 0 of unlike residues
+            n_positive = lines[1].count("+")
+        ys, xs = [y for y, _, _ in steps], [x for _, x, _ in steps]
+        lam, k, h, mean, low, high = stats
+        out.append((
+            q["id"], t["id"], m, t["len"], score, n_positive, extra, min(ys, default=-1) + 1, max(ys, default=-1) + 1, min(xs, default=-1) + 1, max(xs, default=-1) + 1,
+            len(steps), same, lines[0].count("-") + lines[2].count("-"), *lines, lam, k, h, mean, low, high, pair,
+            float(q["eno"]) if q["eno"] is not None else None, float(t["eno"]) if t["eno"] is not None else None,
+        ))
+    return out
+
+
+def pair_hit(q: dict, t: dict, threshold: float, terms: Terms = Terms(), least: float = 0.28):
+    """The hit of one pair, or None."""
+    return next(iter(batch_hits(q, [t], threshold, terms, least)), None)
 
 
-def hits(queries: DataFrame, database: DataFrame, threshold: float = 0.0, realign: bool = True) -> DataFrame:
-    """Hits of all pairs above the score threshold (both sides packed)."""
+def hits(queries: DataFrame, database: DataFrame, threshold: float = 0.0, terms: Terms = Terms(), cutoff: float | None = None, n_positions: int = 0, least: float = 0.28) -> DataFrame:
+    """Hits of all pairs above the score threshold (both sides packed).
+
+    With a ``cutoff`` E-value and the database's ``n_positions`` each query
+    has a threshold of its own, by its length. Queries are sent to the
+    executors in blocks of bounded size; within a partition of the database
+    targets of like length are aligned together.
+    """
     spark = database.sparkSession
-    size = queries.agg(F.sum(F.col("len") * 160 + 1600).alias("b"), F.count("*").alias("n")).first()
+    size = queries.agg(F.sum(F.col("len") * 400 + 1600).alias("b"), F.count("*").alias("n")).first()
     blocks = max(1, -(-int(size["b"] or 0) // QUERY_BYTES))
     # aligning costs far more than moving a profile: deal them out over all cores, whatever their number
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    database = database.repartition(parts, "profile_id")
+    database = database.repartition(parts)
     names = [x.split()[0] for x in HIT.split(", ")]
     out = None
     for block in range(blocks):
@@ -102,10 +179,17 @@ def hits(queries: DataFrame, database: DataFrame, threshold: float = 0.0, realig
 
         def search(batches, held=held):
             for batch in batches:
+                targets = sorted((_unpacked(r) for r in batch.to_dict("records")), key=lambda t: t["len"])
                 rows = []
-                for row in batch.to_dict("records"):
-                    t = _unpacked(row)
-                    rows += [h for q in held.value if (h := pair_hit(q, t, threshold, realign)) is not None]
+                for q in held.value:
+                    own = max(threshold, sig.threshold_of(cutoff, q["len"], n_positions)) if cutoff is not None else threshold
+                    at = 0
+                    while at < len(targets):
+                        to = at + 1
+                        while to < len(targets) and (to + 1 - at) * q["len"] * targets[to]["len"] <= BATCH_CELLS:
+                            to += 1
+                        rows += batch_hits(q, targets[at:to], own, terms, least)
+                        at = to
                 yield pd.DataFrame(rows, columns=names)
 
         found = database.mapInPandas(search, HIT)
@@ -113,12 +197,29 @@ def hits(queries: DataFrame, database: DataFrame, threshold: float = 0.0, realig
     return out
 
 
-def with_evalues(found: DataFrame, n_positions: int, n_profiles: int) -> DataFrame:
-    """Log E-value, E-value, p-value and bit score against a database of that size."""
-    lens = [r["query_len"] for r in found.select("query_len").distinct().collect()]  # lengths of queries
-    spaces = found.sparkSession.createDataFrame([(n, sig.search_space(n, n_positions, n_profiles)) for n in lens], "query_len int, space double")
-    log_e = sig.log_evalue(F.col("score"), F.col("space"))
-    scored = found.join(F.broadcast(spaces), "query_len").withColumn("log_evalue", log_e)
+def search_spaces(queries: DataFrame, n_positions: int, n_profiles: int) -> DataFrame:
+    """(query_len, space) of the queries' distinct lengths."""
+
+    @F.pandas_udf("double")
+    def space(n: pd.Series) -> pd.Series:
+        return pd.Series([sig.search_space(int(x), n_positions, n_profiles) for x in n], dtype=float)
+
+    return queries.select(F.col("len").cast("int").alias("query_len")).distinct().withColumn("space", space("query_len"))
+
+
+def with_evalues(found: DataFrame, queries: DataFrame, n_positions: int, n_profiles: int, model: sig.ScoreModel | None = None) -> DataFrame:
+    """Log E-value, E-value, p-value and bit score against a database of that size.
+
+    Without a model (0) by the gapped reference statistics; with one (1 or 2)
+    by its extreme-value parameters, combined with the number of positives.
+    """
+    scored = found.join(search_spaces(queries, n_positions, n_profiles), "query_len")
+    if model is None:
+        scored = scored.withColumn("log_evalue", sig.log_evalue(F.col("score"), F.col("space")))
+    else:
+        scored = sig.with_parameters(scored, model)
+        log_e = sig.combined_column(*(F.col(c).cast("double") for c in ("score", "positives", "query_len", "target_len", "space", "k", "mu", "scale")), variant=model.variant)
+        scored = scored.withColumn("log_evalue", log_e)
     return scored.withColumn("evalue", sig.evalue(F.col("log_evalue"))).withColumn("pvalue", sig.pvalue(F.col("evalue"))).withColumn(
         "bit_score", sig.bit_score(F.col("log_evalue"), F.col("space"))
     )

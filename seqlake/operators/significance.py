@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,11 @@ def histogram(scores: DataFrame, keys: list[str], score: str = "score", scale: i
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
+def masked_histogram(scores: DataFrame, keys: list[str], q_residue: str, t_residue: str, score: str = "score") -> DataFrame:
+    """The same without the cells where either residue is unknown (X)."""
+    return histogram(scores.filter((F.col(q_residue) != "X") & (F.col(t_residue) != "X")), keys, score)
+
+
 def expected(hist: DataFrame, keys: list[str], scale: int = SCALE) -> DataFrame:
     """Expected, least and largest score."""
     s = F.col("bin") / scale
@@ -151,27 +157,46 @@ def score_threshold(cutoff: float, m: Column, n: Column, lam: float = LAMBDA_GAP
     return F.greatest(-F.log(F.lit(factor * cutoff / k) / (m.cast("double") * n)) / lam, F.lit(0.0))
 
 
+def threshold_of(cutoff: float, m: int, n: int, lam: float = LAMBDA_GAPPED, k: float = K_GAPPED) -> float:
+    """The same for one query."""
+    if cutoff <= 0:
+        return 999.0
+    return max(0.0, -math.log((10.0 if cutoff < 1 else 3.0) * cutoff / k / (m * n)) / lam)
+
+
 def length_adjustment(m: int, n_db: int, n_profiles: int, lam: float = LAMBDA_GAPPED, k: float = K_GAPPED, alpha: float = ALPHA, beta: float = BETA, rounds: int = 20) -> int:
-    """Largest l with l <= alpha / lambda ln(K (m - l)(n - N l)) + beta that leaves both lengths positive."""
-    a = n_profiles
-    b = -(m * n_profiles + n_db)
-    c = n_db * m - max(m, n_db) / k
-    low, high = 0.0, 0.0 if c < 0 else 2 * c / (-b + math.sqrt(max(0.0, b * b - 4 * a * c)))
-    if high <= 0:
+    """Expected alignment length: the fixed point of l -> alpha / lambda ln(K (m - l)(n - N l)) + beta, in whole numbers.
+
+    The right side falls with l, so the fixed point is the largest l that it
+    isn't below. The search keeps a bracket of it: [low, high] with low
+    feasible. High starts where K (m - l)(n - N l) falls to max(m, n); the
+    iteration steps to the right side's value while that lies in the
+    bracket, otherwise to its middle, and ends within one of the fixed point.
+    The next whole number is then taken if it is feasible, too.
+    """
+    if lam <= 0 or k <= 0 or n_profiles < 1 or m * n_db < max(m, n_db) / k:
         return 0
-    length, best = 0.0, 0.0
-    for i in range(1, rounds + 1):
-        value = alpha / lam * (math.log(k) + math.log(max(1e-300, (m - length) * (n_db - n_profiles * length)))) + beta
-        if value >= length:
-            best = low = length
-            if value - length <= 1.0:
+
+    def mapped(length: float) -> float:
+        space = (m - length) * (n_db - n_profiles * length)
+        return alpha / lam * (math.log(k) + math.log(space)) + beta if space > 0 else -math.inf
+
+    total, spare = n_db + m * n_profiles, m * n_db - max(m, n_db) / k
+    low, high = 0.0, 2 * spare / (total + math.sqrt(total * total - 4 * n_profiles * spare))
+    at, near = 0.0, False
+    for turn in range(rounds):
+        value = mapped(at)
+        if value >= at:
+            low, near = at, value - at <= 1
+            if near or low == high:
                 break
         else:
-            high = length
-        if low == high:
-            break
-        length = value if low <= value <= high else high if i == 1 else (low + high) / 2
-    return int(best)
+            high = at
+        inside = low <= value <= high
+        at = value if inside else (low + high) / 2 if turn else high
+    if near and math.ceil(low) <= min(high, mapped(math.ceil(low))):
+        low = math.ceil(low)
+    return int(low)
 
 
 def search_space(m: int, n_db: int, n_profiles: int, **how) -> float:
@@ -186,10 +211,12 @@ def search_space(m: int, n_db: int, n_profiles: int, **how) -> float:
 NBD_FACTOR, NBD_EXPONENT, NBD_SHAPE, NBD_PROBABILITY = 100000.0, 1.5, 0.1, 0.757213
 BROWN_HALF_DF, BROWN_SCALE = 1.346206, 1.485656
 LOG_PAIRS = -9.210340372
+#: The product of lengths that positives are normalised by is at least this.
+LEAST_AREA = 625.0
 
 
-def combined_log_evalue(score: float, positives: float, m: int, n: int, space: float, k: float, mu: float, scale: float, variant: int = 2, least_product: float = 1.0) -> float:
-    """E-value from the extreme-value p-value of the score and the p-value of the normalised positives.
+def combined_log_evalue(score: float, positives: float, m: int, n: int, space: float, k: float, mu: float, scale: float, variant: int = 2, least_product: float = LEAST_AREA) -> float:
+    """Log E-value from the extreme-value p-value of the score and the p-value of the normalised number of positives.
 
     The two are combined by the empirical Brown method. Without usable
     parameters it is ln(K space) - lambda score.
@@ -214,6 +241,13 @@ def combined_log_evalue(score: float, positives: float, m: int, n: int, space: f
     return log_c + math.log(space / area)
 
 
+def dynamic_parameters(log_pair_evalue: Column) -> tuple[Column, Column]:
+    """Offset and multiplier of the modular part for realignment, from the pair's E-value."""
+    z = log_pair_evalue + 22.0
+    e = F.exp(F.least(z, F.lit(0.0)))
+    return 0.05 * e, F.when(z < 0, 0.9 * (1 - e)).otherwise(0.0)
+
+
 def network(x: np.ndarray, hidden: np.ndarray, output: np.ndarray, factor: float = 30.0) -> np.ndarray:
     """Two-layer network with bias inputs and activation 2 / (1 + exp(-x)) - 1: rows of inputs to rows of outputs."""
     act = lambda v: 2 / (1 + np.exp(-v)) - 1
@@ -221,6 +255,74 @@ def network(x: np.ndarray, hidden: np.ndarray, output: np.ndarray, factor: float
     return factor * act(np.hstack([one, act(np.hstack([one, x]) @ hidden.T)]) @ output.T)
 
 
+# What the networks' outputs are multiplied by, and the bounds of the predictions.
+MU_FACTOR, SCALE_FACTOR = 30.0, 5.0
+LEAST_MU, LEAST_SCALE, MOST_SCALE = 3.0, 0.1, 5.0
+
+
+@dataclass
+class ScoreModel:
+    """Networks and adjustments of the extreme-value parameters; all come from the caller.
+
+    Each network is (hidden, output) with the bias first: ``by_profile``
+    takes four inputs, ``by_scores_mu`` and ``by_scores_scale`` three and a
+    dummy. ``adjust`` has mu_e, mu_s and scale_e as (slope, intercept), and
+    the numbers scale_s, alpha and beta.
+    """
+
+    by_profile: tuple[np.ndarray, np.ndarray]
+    by_scores_mu: tuple[np.ndarray, np.ndarray]
+    by_scores_scale: tuple[np.ndarray, np.ndarray]
+    adjust: dict
+    variant: int = 2
+
+
+def score_inputs(lam: Column, len1: Column, len2: Column) -> Column:
+    """Inputs (0.2 lambda, ln len / ln 1000 of the longer and of the shorter profile, 0); lambda in steps of 0.1 from 0.1 to 10."""
+    stepped = F.rint(lam * 10) / 10
+    stepped = F.when(stepped <= 0, 0.1).when(stepped > 10, 10.0).otherwise(stepped)
+    part = lambda n: F.log(n) / math.log(1000.0)
+    return F.array(stepped * 0.2, part(F.greatest(len1, len2)), part(F.least(len1, len2)), F.lit(0.0))
+
+
+def extreme_value_parameters(e_mu, s_mu, s_scale, lam, adjust: dict):
+    """(mu, scale) from the three networks' outputs (columns): affine adjustments, and a mean whose weights depend on 1 / lambda."""
+    e_mu, s_mu = F.greatest(e_mu, F.lit(LEAST_MU)), F.greatest(s_mu, F.lit(LEAST_MU))
+    bounded = lambda x: F.least(F.greatest(x, F.lit(LEAST_SCALE)), F.lit(MOST_SCALE))
+    by_scores = bounded(adjust["scale_s"] * (F.exp(F.greatest(s_scale, F.lit(LEAST_SCALE))) - 1))
+    by_profile = bounded(adjust["scale_e"][0] * e_mu + adjust["scale_e"][1])
+    mu_e, mu_s = (adjust[k][0] * x + adjust[k][1] for k, x in (("mu_e", e_mu), ("mu_s", s_mu)))
+    share = F.when(lam > 0, F.least(1 / lam, F.lit(10.0)) * 0.1).otherwise(0.0)
+    alpha = adjust["alpha"] - adjust["alpha"] * share
+    beta = adjust["beta"] + (1 - adjust["beta"]) * share
+    return alpha * mu_e + (1 - alpha) * mu_s, (1 - beta) * by_profile + beta * by_scores
+
+
+def with_parameters(pairs: DataFrame, model: ScoreModel, eno: tuple[str, str] = ("query_eno", "target_eno"), length: tuple[str, str] = ("query_len", "target_len"), lam: str = "lambda") -> DataFrame:
+    """Pairs with the ``mu`` and ``scale`` that the model predicts."""
+    e1, e2, n1, n2 = (F.col(c) for c in (*eno, *length))
+
+    @F.pandas_udf("struct<e_mu:double,s_mu:double,s_scale:double>")
+    def predicted(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        a, b = (np.stack(v.to_numpy()) if len(v) else np.zeros((0, 4)) for v in (x, y))
+        out = [network(a, *model.by_profile, MU_FACTOR), network(b, *model.by_scores_mu, MU_FACTOR), network(b, *model.by_scores_scale, SCALE_FACTOR)]
+        return pd.DataFrame({c: v[:, 0] for c, v in zip(("e_mu", "s_mu", "s_scale"), out)})
+
+    rows = pairs.withColumn("nn", predicted(network_inputs(e1, n1, e2, n2), score_inputs(F.col(lam), n1, n2)))
+    mu, scale = extreme_value_parameters(F.col("nn.e_mu"), F.col("nn.s_mu"), F.col("nn.s_scale"), F.col(lam), model.adjust)
+    return rows.withColumn("mu", mu).withColumn("scale", scale).drop("nn")
+
+
+def combined_column(score: Column, positives: Column, m: Column, n: Column, space: Column, k: Column, mu: Column, scale: Column, variant: int = 2) -> Column:
+    """``combined_log_evalue`` of each row."""
+
+    @F.pandas_udf("double")
+    def combined(s: pd.Series, p: pd.Series, a: pd.Series, b: pd.Series, v: pd.Series, kk: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([combined_log_evalue(*row, variant=variant) for row in zip(s, p, a, b, v, kk, x, y)], dtype=float)
+
+    return combined(score, positives, m, n, space, k, mu, scale)
+
+
 def network_inputs(eno1: Column, len1: Column, eno2: Column, len2: Column) -> Column:
     """Inputs (0.05 eno, ln len / ln 1000) of both profiles, ordered by effective number, then length."""
     swap = (eno1 < eno2) | ((eno1 == eno2) & (len1 < len2))
@@ -243,12 +345,51 @@ def pair_probabilities(sizes: DataFrame, eno: str = "eno", length: str = "len")
     return pairs.select(F.col("bin").alias("bin_a"), "bin_b", both.alias("p"))
 
 
-def scaled_scores(scores: np.ndarray, p: np.ndarray, target: float = LAMBDA_REF) -> tuple[np.ndarray, float]:
-    """Scores times the factor that gives them the reference lambda; unchanged where lambda doesn't exist.
+def scaled_scores(scores: np.ndarray, p: np.ndarray, target: float = LAMBDA_REF, rounds: int = 10, unit: float = 1.0 / SCALE) -> tuple[np.ndarray, float]:
+    """Scores in steps of ``unit`` whose lambda is near ``target``, and the factor they were multiplied by; unchanged where lambda doesn't exist.
 
-    Scores aren't rounded here, so the factor is their own lambda over the
-    reference, and no search is needed.
+    Rounding makes lambda jump, so the factor is searched for: between the
+    scores' own lambda over the target, halved and doubled, by bisection.
     """
+    def own(factor: float) -> tuple[np.ndarray, float]:
+        stepped = np.rint(scores * factor / unit) * unit
+        values, at = np.unique(stepped, return_inverse=True)
+        return stepped, solve_lambda(values, np.bincount(at, p))
+
     lam = solve_lambda(scores, p)
-    factor = lam / target if lam > 0 else 1.0
-    return scores * factor, factor
+    if lam <= 0:
+        return scores, 1.0
+    low, high, best = lam / target / 2, lam / target * 2, (math.inf, 1.0)
+    at = lam / target
+    for _ in range(rounds):
+        found = own(at)[1]
+        if found > 0:
+            best = min(best, (abs(found - target), at))
+        if found > target:  # larger scores have a smaller lambda
+            low = at
+        else:
+            high = at
+        at = (low + high) / 2
+    return own(best[1])[0], best[1]
+
+
+def profile_score_probabilities(profiles: DataFrame, priors: tuple[float, ...], scale: float = 1.0) -> DataFrame:
+    """(profile_id, score, p): probabilities of the whole-number scores of a profile against the background, over its positions.
+
+    ``profiles`` has an array ``score`` of twenty; scores of LOG_ZERO don't count.
+    """
+    base = F.array(*(F.lit(x) for x in priors))
+    long = profiles.select("profile_id", F.posexplode("score").alias("code", "s")).filter("s > -30000")
+    n = profiles.groupBy("profile_id").agg(F.count("*").alias("n"))
+    sums = long.groupBy("profile_id", F.rint(F.col("s") * scale).cast("int").alias("score")).agg(F.sum(F.element_at(base, F.col("code") + 1)).alias("w"))
+    return sums.join(n, "profile_id").select("profile_id", "score", (F.col("w") / F.col("n")).alias("p"))
+
+
+def lattice_statistics(scores: np.ndarray, p: np.ndarray) -> tuple[float, float, float]:
+    """lambda, relative entropy and K of whole-number scores whose steps may have a common divisor: solved in units of it."""
+    some = p > 0
+    scores, p = scores[some].astype(int), p[some]
+    step = int(np.gcd.reduce(np.abs(scores))) or 1
+    lam = solve_lambda(scores / step, p)
+    h = relative_entropy(scores / step, p, lam)
+    return (lam / step if lam > 0 else lam), h, solve_k(scores // step, p, lam, h)

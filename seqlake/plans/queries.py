@@ -76,7 +76,10 @@ pair AS (SELECT a.msa_id, a.seq_id AS i, b.seq_id AS j, count(*) AS matches FROM
 ident AS (SELECT pair.*, matches / least(x.n, y.n)::DOUBLE AS identity FROM pair JOIN len x ON x.msa_id = pair.msa_id AND x.seq_id = i JOIN len y ON y.msa_id = pair.msa_id AND y.seq_id = j)"""
 
 
-@query("e22_identities", f"WITH {_IDENTITY_SQL} SELECT msa_id, i, j, matches, round(identity, 6) + 0.0 AS identity FROM ident")
+@query("e22_identities", f"""WITH {CELLS_SQL}, q AS (SELECT msa_id, pos FROM cell JOIN (SELECT msa_id, min(seq_id) AS seq_id FROM cell GROUP BY 1) USING (msa_id, seq_id) WHERE code <= 23),
+res AS (SELECT cell.* FROM cell JOIN q USING (msa_id, pos) WHERE code < 20),
+pair AS (SELECT a.msa_id, a.seq_id AS i, b.seq_id AS j, count(*) AS overlap, count(*) FILTER (a.code = b.code) AS matches FROM res a JOIN res b ON a.msa_id = b.msa_id AND a.pos = b.pos AND a.seq_id < b.seq_id GROUP BY ALL)
+SELECT msa_id, i, j, matches, overlap, round(matches / overlap::DOUBLE, 6) + 0.0 AS identity FROM pair WHERE matches > 0""")
 def e22_identities(spark, sf_dir):
     return msa.identities(cells(spark, sf_dir)).withColumn("identity", r6(F.col("identity")))
 
@@ -125,44 +128,64 @@ def d20_median(spark, sf_dir):
     return msa.histogram_median(table(spark, sf_dir, "documents"), "lang", "n_chars", 1.0)
 
 
-@query("d18_neff_median")
+@query("d18_neff_median", f"""WITH {PROFILES_SQL}, h AS (SELECT profile_id, round_even(n_obs * 1000, 0)::BIGINT AS bin, count(*) AS n FROM prof GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY profile_id ORDER BY bin) AS cum, lead(bin) OVER (PARTITION BY profile_id ORDER BY bin) AS nxt, sum(n) OVER (PARTITION BY profile_id) AS total FROM h)
+SELECT profile_id, round(CASE WHEN total % 2 = 0 AND cum * 2 = total AND nxt IS NOT NULL THEN (bin + nxt) / 2.0 ELSE bin END / 1000, 6) + 0.0 AS median FROM c WHERE cum * 2 >= total AND (cum - n) * 2 < total""")
 def d18_neff_median(spark, sf_dir):
     """Effective number of sequences of each profile: the median of its observations."""
     return msa.histogram_median(profiles(spark, sf_dir), "profile_id", "n_obs").withColumn("median", r6(F.col("median")))
 
 
-@query("d8_extents", f"""WITH {CELLS_SQL}, e AS (SELECT msa_id, seq_id, min(pos) FILTER (code <= 23) AS f, max(pos) FILTER (code <= 23) AS l FROM cell GROUP BY ALL),
-q AS (SELECT msa_id, min(seq_id) AS qid, max(pos) AS n_cols FROM cell GROUP BY 1),
-s AS (SELECT msa_id, seq_id, f, l, n_cols, unnest(generate_series(f, l))::INT AS pos FROM e JOIN q USING (msa_id) WHERE f IS NOT NULL),
-c AS (SELECT *, f <= greatest(pos - 5, 1) AND l >= least(pos + 5, n_cols) AS covers FROM s)
-SELECT msa_id, pos, count(*) AS n_seqs, coalesce(max(f) FILTER (covers), pos) AS "left", coalesce(min(l) FILTER (covers), pos) AS "right" FROM c GROUP BY msa_id, pos""")
+_SPAN_SQL = """e AS (SELECT msa_id, seq_id, min(pos) FILTER (code <= 23) AS f, max(pos) FILTER (code <= 23) AS l FROM cell GROUP BY ALL),
+qid AS (SELECT msa_id, min(seq_id) AS qid, max(pos) AS n_cols FROM cell GROUP BY 1),
+col AS (SELECT cell.msa_id, pos, (code <= 23)::INT AS m, sum((code <= 23)::INT) OVER (PARTITION BY cell.msa_id ORDER BY pos) AS ms FROM cell JOIN qid ON qid.msa_id = cell.msa_id AND cell.seq_id = qid),
+bnd AS (SELECT msa_id, min(pos) FILTER (m = 1) AS mb, max(pos) FILTER (m = 1) AS me FROM col GROUP BY 1),
+pth AS (SELECT cell.msa_id, cell.seq_id, cell.pos, m, ms, (code <= 23 AND m = 1)::INT AS held, sum((code <= 23 AND m = 1)::INT) OVER (PARTITION BY cell.msa_id, cell.seq_id ORDER BY cell.pos) AS mp, f, l, mb, me, cell.seq_id = qid AS is_q
+  FROM cell JOIN col ON col.msa_id = cell.msa_id AND col.pos = cell.pos JOIN e ON e.msa_id = cell.msa_id AND e.seq_id = cell.seq_id JOIN bnd ON bnd.msa_id = cell.msa_id JOIN qid ON qid.msa_id = cell.msa_id WHERE f IS NOT NULL),
+pe AS (SELECT *, greatest(f, mb) AS lft, least(l, me) AS rgt, max(mp) FILTER (pos = mb) OVER s AS mp_b, max(held) FILTER (pos = mb) OVER s AS sres_b, max(mp) FILTER (pos = me) OVER s AS mp_e, max(ms) FILTER (pos = mb) OVER s AS ms_b, max(ms) FILTER (pos = me) OVER s AS ms_e FROM pth WINDOW s AS (PARTITION BY msa_id, seq_id)),
+pr AS (SELECT *, max(mp) FILTER (pos = rgt) OVER s AS mp_r, max(mp - held) FILTER (pos = lft) OVER s AS mp_l0 FROM pe WINDOW s AS (PARTITION BY msa_id, seq_id)),
+bord AS (SELECT *, CASE WHEN ms_e - 1 < ms - 1 + 5 THEN mp_e - 1 + (ms_e - ms + 1) - (mp_e - mp + held) - 10 + 1 WHEN ms - 1 - 4 < 0 THEN mp_b - sres_b + (mp - mp_b + sres_b) - (ms - ms_b + 1) ELSE mp - 1 - 4 END AS lo,
+  CASE WHEN ms_e - 1 < ms - 1 + 5 THEN mp_e - 1 + (ms_e - ms + 1) - (mp_e - mp + held) WHEN ms - 1 - 4 < 0 THEN mp_b - sres_b + (mp - mp_b + sres_b) - (ms - ms_b + 1) + 10 - 1 ELSE mp - 1 + 5 END AS hi FROM pr WHERE m = 1 AND (is_q OR pos BETWEEN f AND l)),
+cov AS (SELECT *, CASE WHEN 10 <= ms_e - ms_b + 1 THEN mp_l0 <= lo AND hi <= mp_r - 1 ELSE pos BETWEEN lft AND rgt END AS covers FROM bord),
+ext0 AS (SELECT msa_id, pos, count(*) FILTER (pos BETWEEN lft AND rgt) AS n_seqs, max(lft) FILTER (covers) AS "left", min(rgt) FILTER (covers) AS "right" FROM cov GROUP BY ALL),
+ext AS (SELECT ext0.*, b.ms - a.ms + 1 AS "interval" FROM ext0 JOIN col a ON a.msa_id = ext0.msa_id AND a.pos = "left" JOIN col b ON b.msa_id = ext0.msa_id AND b.pos = "right")"""
+
+
+@query("d8_extents", f"WITH {CELLS_SQL}, {_SPAN_SQL} SELECT msa_id, pos, n_seqs, \"left\", \"right\", \"interval\" FROM ext")
 def d8_extents(spark, sf_dir):
     return msa.extents(cells(spark, sf_dir))
 
 
-_STEPS_SQL = f"""{WEIGHTS_SQL}, q AS (SELECT msa_id, pos FROM cell JOIN (SELECT msa_id, min(seq_id) AS seq_id FROM cell GROUP BY 1) USING (msa_id, seq_id) WHERE code <= 23),
-st AS (SELECT cell.msa_id, seq_id, cell.pos, CASE WHEN q.pos IS NOT NULL AND code <= 23 THEN 'M' WHEN q.pos IS NOT NULL THEN 'D' WHEN code <= 23 THEN 'I' END AS state FROM cell LEFT JOIN q ON q.msa_id = cell.msa_id AND q.pos = cell.pos),
-lg AS (SELECT *, lag(state) OVER (PARTITION BY msa_id, seq_id ORDER BY pos) AS before FROM st WHERE state IS NOT NULL),
-w AS (SELECT msa_id, before || state AS step, sum(weight) AS w FROM lg JOIN weights USING (msa_id, seq_id) WHERE before IS NOT NULL GROUP BY ALL),
-steps AS (SELECT msa_id, step, w, w / sum(w) OVER (PARTITION BY msa_id, substr(step, 1, 1)) AS frequency FROM w)"""
+_STEPS_SQL = f"""{WEIGHTS_SQL}, {_SPAN_SQL}, own AS (SELECT cell.msa_id, cell.seq_id, cell.pos, code <= 23 AS valid, m, ms - m AS k, CASE WHEN cell.seq_id = qid THEN 1 ELSE f END AS f, CASE WHEN cell.seq_id = qid THEN n_cols ELSE l END AS l, weight
+  FROM cell JOIN col ON col.msa_id = cell.msa_id AND col.pos = cell.pos JOIN e ON e.msa_id = cell.msa_id AND e.seq_id = cell.seq_id JOIN qid ON qid.msa_id = cell.msa_id JOIN weights w ON w.msa_id = cell.msa_id AND w.seq_id = cell.seq_id),
+used AS (SELECT * FROM own WHERE pos BETWEEN f AND l),
+prv AS (SELECT msa_id, seq_id, k + 1 AS k, pos AS ppm, valid AS ppm_valid FROM own WHERE m = 1),
+wp AS (SELECT used.*, coalesce(ppm_valid, true) AS before_valid FROM used LEFT JOIN prv ON prv.msa_id = used.msa_id AND prv.seq_id = used.seq_id AND prv.k = used.k WHERE ppm IS NULL OR ppm BETWEEN f AND l),
+num AS (SELECT *, sum((m = 0 AND valid)::INT) OVER (PARTITION BY msa_id, seq_id, k ORDER BY pos) AS inserts FROM wp),
+st AS (SELECT msa_id, k, weight, CASE WHEN inserts > 0 THEN 'I' WHEN before_valid THEN 'M' ELSE 'D' END || CASE WHEN valid THEN 'M' ELSE 'D' END AS step FROM num WHERE m = 1
+  UNION ALL SELECT msa_id, k, weight, CASE WHEN inserts > 1 THEN 'II' WHEN before_valid THEN 'MI' ELSE 'DI' END FROM num WHERE m = 0 AND valid
+  UNION ALL SELECT used.msa_id, k + 1, weight, CASE WHEN valid THEN 'MM' ELSE 'DM' END FROM used JOIN bnd ON bnd.msa_id = used.msa_id AND pos = me),
+sw AS (SELECT msa_id, k, step, sum(weight) AS w FROM st GROUP BY ALL),
+steps AS (SELECT msa_id, k, step, w, w / sum(w) OVER (PARTITION BY msa_id, k, substr(step, 1, 1)) AS frequency FROM sw)"""
 
 
-@query("d14_transitions", f"WITH {_STEPS_SQL} SELECT msa_id, step, round(w, 6) + 0.0 AS w, round(frequency, 6) + 0.0 AS frequency FROM steps")
+@query("d14_transitions", f"WITH {_STEPS_SQL} SELECT msa_id, k, step, round(w, 6) + 0.0 AS w, round(frequency, 6) + 0.0 AS frequency FROM steps")
 def d14_transitions(spark, sf_dir):
     own = cells(spark, sf_dir)
-    return msa.transition_counts(own, msa.global_weights(own)).select("msa_id", "step", r6(F.col("w")).alias("w"), r6(F.col("frequency")).alias("frequency"))
+    return msa.transition_counts(own, msa.global_weights(own)).select("msa_id", "k", "step", r6(F.col("w")).alias("w"), r6(F.col("frequency")).alias("frequency"))
 
 
 _ALPHA_ROWS = "(VALUES " + ", ".join(f"('{s}', {a!r}::DOUBLE)" for s, a in pr.TRANSITION_ALPHAS.items()) + ") AS a(step, alpha)"
 
 
-@query("h1_dirichlet", f"""WITH {_STEPS_SQL}, g AS (SELECT m.msa_id, a.step, a.alpha, coalesce(s.frequency, 0) AS f FROM (SELECT DISTINCT msa_id FROM steps) m CROSS JOIN {_ALPHA_ROWS} LEFT JOIN steps s ON s.msa_id = m.msa_id AND s.step = a.step),
-p AS (SELECT msa_id, step, (f * 5 + alpha) / sum(f * 5 + alpha) OVER (PARTITION BY msa_id, substr(step, 1, 1)) AS p FROM g)
-SELECT msa_id, step, round(p, 6) + 0.0 AS p, round(CASE WHEN p > 0 THEN ln(p) * CASE WHEN step[1] = 'M' THEN 1 ELSE 0.4 END ELSE -32768 END, 6) + 0.0 AS log_p FROM p""")
+@query("h1_dirichlet", f"""WITH {_STEPS_SQL}, g AS (SELECT m.msa_id, m.k, a.step, a.alpha, coalesce(s.frequency, 0) AS f FROM (SELECT DISTINCT msa_id, k FROM steps) m CROSS JOIN {_ALPHA_ROWS} LEFT JOIN steps s ON s.msa_id = m.msa_id AND s.k = m.k AND s.step = a.step),
+p AS (SELECT msa_id, k, step, (f * 5 + alpha) / sum(f * 5 + alpha) OVER (PARTITION BY msa_id, k, substr(step, 1, 1)) AS p FROM g)
+SELECT msa_id, k, step, round(p, 6) + 0.0 AS p, round(CASE WHEN p > 0 THEN ln(p) * CASE WHEN step[1] = 'M' THEN 1 ELSE 0.4 END ELSE -32768 END, 6) + 0.0 AS log_p, round(CASE WHEN p > 0 THEN pow(p, CASE WHEN step[1] = 'M' THEN 1 ELSE 0.4 END) ELSE 0 END, 6) + 0.0 AS powered FROM p""")
 def h1_dirichlet(spark, sf_dir):
     own = cells(spark, sf_dir)
     p = pr.transition_posteriors(msa.transition_counts(own, msa.global_weights(own)), 5.0)
-    return p.select("msa_id", "step", r6(F.col("p")).alias("p"), r6(pr.log_transition(F.col("p"), F.col("step"))).alias("log_p"))
+    log_p, powered = pr.log_transition(F.col("p"), F.col("step")), pr.reevaluated(F.col("p"), F.col("step"))
+    return p.select("msa_id", "k", "step", r6(F.col("p")).alias("p"), r6(log_p).alias("log_p"), r6(powered).alias("powered"))
 
 
 @query("d29_consensus", f"""WITH {CELLS_SQL}, c AS (SELECT msa_id, pos, code, count(*) AS n FROM cell WHERE code < 20 GROUP BY ALL)
@@ -219,14 +242,36 @@ def d5_refined_columns(spark, sf_dir):
     return own.groupBy("msa_id", "pos").agg(F.count_if(F.col("code") == 23).alias("n_masked"))
 
 
-@query("d11_state_weights")
+_LOCAL_SQL = f"""{WEIGHTS_SQL}, {_SPAN_SQL}, mem AS (SELECT msa_id, pos, seq_id FROM cov WHERE pos BETWEEN lft AND rgt),
+mcell AS (SELECT cell.* FROM cell JOIN col ON col.msa_id = cell.msa_id AND col.pos = cell.pos WHERE m = 1 AND code < 23),
+lw AS (SELECT mem.msa_id, mem.pos, c.pos AS k, c.seq_id, c.code FROM mem JOIN ext ON ext.msa_id = mem.msa_id AND ext.pos = mem.pos JOIN mcell c ON c.msa_id = mem.msa_id AND c.seq_id = mem.seq_id AND c.pos BETWEEN "left" AND "right"),
+lk AS (SELECT lw.msa_id, lw.pos, k FROM lw JOIN ext ON ext.msa_id = lw.msa_id AND ext.pos = lw.pos GROUP BY ALL HAVING count(*) >= floor(any_value(n_seqs) * 0.5)),
+lc AS (SELECT lw.msa_id, lw.pos, lw.k, code, count(*) AS copies FROM lw JOIN lk USING (msa_id, pos, k) GROUP BY ALL), ld AS (SELECT *, count(*) OVER (PARTITION BY msa_id, pos, k) AS dist FROM lc),
+lsum AS (SELECT lw.msa_id, lw.pos, seq_id, sum(1.0::DOUBLE / (copies * dist)) AS w FROM lw JOIN ld ON ld.msa_id = lw.msa_id AND ld.pos = lw.pos AND ld.k = lw.k AND ld.code = lw.code GROUP BY ALL),
+lnorm AS (SELECT msa_id, pos, seq_id, w / sum(w) OVER (PARTITION BY msa_id, pos) AS w FROM lsum),
+ln0 AS (SELECT msa_id, pos, count(*) AS n FROM lk GROUP BY ALL),
+mode AS (SELECT ext.msa_id, ext.pos, "interval" >= 10 AND coalesce(n, 0) >= 10 AS is_local FROM ext LEFT JOIN ln0 USING (msa_id, pos)),
+mw AS (SELECT c.msa_id, c.pos, c.code, sum(CASE WHEN is_local THEN coalesce(x.w, 0) ELSE g.weight END) AS w FROM mcell c JOIN mode USING (msa_id, pos) JOIN weights g ON g.msa_id = c.msa_id AND g.seq_id = c.seq_id LEFT JOIN lnorm x ON x.msa_id = c.msa_id AND x.pos = c.pos AND x.seq_id = c.seq_id GROUP BY ALL),
+sw0 AS (SELECT msa_id, pos, code, w / sum(w) OVER (PARTITION BY msa_id, pos) AS weight FROM mw),
+reach AS (SELECT msa_id, pos, seq_id FROM cov), nreach AS (SELECT msa_id, pos, count(*) AS n FROM reach GROUP BY ALL),
+gk AS (SELECT r.msa_id, r.pos, c.pos AS k, c.code, sum(weight) AS w, count(*) AS n FROM reach r JOIN mcell c ON c.msa_id = r.msa_id AND c.seq_id = r.seq_id JOIN weights g ON g.msa_id = r.msa_id AND g.seq_id = r.seq_id GROUP BY ALL),
+gp AS (SELECT *, w / sum(w) OVER (PARTITION BY msa_id, pos, k) AS p FROM gk),
+gh AS (SELECT gp.msa_id, gp.pos, gp.k, round_even(least(exp(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END)), 20), 0) AS bin FROM gp JOIN nreach nr ON nr.msa_id = gp.msa_id AND nr.pos = gp.pos GROUP BY ALL HAVING sum(gp.n) >= floor(any_value(nr.n) * 0.5)),
+med AS (SELECT msa_id, pos, greatest(median(bin), 1) AS e FROM gh GROUP BY ALL),
+wm AS (SELECT mem.msa_id, mem.pos, sum(weight) AS w FROM mem JOIN mcell c ON c.msa_id = mem.msa_id AND c.pos = mem.pos AND c.seq_id = mem.seq_id JOIN weights g ON g.msa_id = mem.msa_id AND g.seq_id = mem.seq_id GROUP BY ALL),
+obs AS (SELECT msa_id, pos, greatest(1, least(20, e * exp(0.5 * (1 - w) * ln(w)))) AS n_obs FROM wm JOIN med USING (msa_id, pos))"""
+
+
+@query("d11_state_weights", f"WITH {_LOCAL_SQL} SELECT msa_id, pos, code, round(weight, 6) + 0.0 AS weight, round(n_obs, 5) + 0.0 AS n_obs FROM sw0 JOIN obs USING (msa_id, pos) WHERE weight > 0")
 def d11_state_weights(spark, sf_dir):
-    """Residue weights and effective observations of every column, by the sequences of its extent."""
-    out = msa.state_weights(cells(spark, sf_dir))
-    return out.select("msa_id", "pos", "code", r6(F.col("weight")).alias("weight"), r6(F.col("n_obs")).alias("n_obs"))
+    """Residue weights and observations of every match column, by the sequences of its extent."""
+    out = msa.state_weights(cells(spark, sf_dir)).select("msa_id", F.col("pos").cast("long").alias("pos"), F.posexplode("weights").alias("code", "weight"), "n_symbols")
+    return out.filter("weight > 0").select("msa_id", "pos", "code", r6(F.col("weight")).alias("weight"), (F.round("n_symbols", 5) + F.lit(0.0)).alias("n_obs"))
 
 
-@query("d17_observations")
+@query("d17_observations", f"""WITH {_ENTROPY_SQL}, t AS (SELECT n, sum(1 - pow(1 - prior / {sum(BACKGROUND)!r}, n)) AS d FROM (SELECT unnest(generate_series(1, 400)) AS n) CROSS JOIN {BKG_ROWS} GROUP BY n),
+p AS (SELECT n, d, lead(d) OVER (ORDER BY n) AS up FROM t)
+SELECT msa_id, pos, round(CASE WHEN dist <= (SELECT min(d) FROM t) THEN 1 WHEN dist >= (SELECT max(d) FROM t) THEN 400 ELSE (SELECT n + (dist - d) / (up - d) FROM p WHERE d < dist AND dist <= up) END, 4) + 0.0 AS n_obs FROM kept""")
 def d17_observations(spark, sf_dir):
     """Observations that explain the distinct residues of each column."""
     own = msa.column_entropy(cells(spark, sf_dir), msa.global_weights(cells(spark, sf_dir)))
@@ -236,7 +281,7 @@ def d17_observations(spark, sf_dir):
     def inverse(x: pd.Series) -> pd.Series:
         return x.map(lambda v: msa.observations_of(v, expected))
 
-    return own.select("msa_id", "pos", r6(inverse("distinct")).alias("n_obs"))
+    return own.select("msa_id", "pos", (F.round(inverse("distinct"), 4) + F.lit(0.0)).alias("n_obs"))
 
 
 @query("d32_selection")
@@ -254,23 +299,12 @@ def d25_posteriors(spark, sf_dir):
     return pr.posteriors(profiles(spark, sf_dir)).withColumn("p", r6(F.col("p")))
 
 
-@query("d24_background", f"""WITH {PROFILES_SQL}, s AS (SELECT l.profile_id, l.code, sum(least(n_obs, 20) * q) AS s, sum(least(n_obs, 20)) AS w FROM longp l JOIN prof USING (profile_id, pos) GROUP BY ALL),
-r AS (SELECT profile_id, s.code, (prior * 4 + s) / (4 + w) AS raw FROM s JOIN {BKG_ROWS} ON b.code = s.code)
-SELECT profile_id, code, round(raw / sum(raw) OVER (PARTITION BY profile_id), 6) + 0.0 AS p FROM r""")
+@query("d24_background", f"""WITH {PROFILES_SQL}, x AS (SELECT l.profile_id, l.code, sum((4 * prior + least(n_obs, 20) * q) / (4 + least(n_obs, 20))) AS raw FROM longp l JOIN prof USING (profile_id, pos) JOIN {BKG_ROWS} ON b.code = l.code GROUP BY ALL)
+SELECT profile_id, code, round(raw / sum(raw) OVER (PARTITION BY profile_id), 6) + 0.0 AS p FROM x""")
 def d24_background(spark, sf_dir):
     return pr.recomputed_background(profiles(spark, sf_dir), 4.0).withColumn("p", r6(F.col("p")))
 
 
-@query("d23_targets", f"""WITH {PROFILES_SQL}, m AS (SELECT profile_id, pos, least(greatest(0.65 / pow(n_obs, 0.9), 0), 1) AS alpha, obs, trg FROM prof),
-t AS (SELECT profile_id, pos, list_transform(generate_series(1, 20), lambda i: (1 - alpha) * obs[i] + alpha * trg[i]) AS q FROM m)
-SELECT profile_id, pos, round(list_sum(q), 6) + 0.0 AS total, round(list_max(q), 6) + 0.0 AS largest, round(list_sum(list_transform(generate_series(1, 20), lambda i: q[i] * log2(q[i] / ({BKG_LIST})[i]))), 6) + 0.0 AS information FROM t""")
-def d23_targets(spark, sf_dir):
-    q = pr.targets(F.col("obs"), F.col("trg"), F.col("n_obs"))
-    rows = profiles(spark, sf_dir).select("profile_id", "pos", q.alias("q"))
-    bits = pr.information(F.col("q"), F.array(*(F.lit(p) for p in BACKGROUND)))
-    return rows.select("profile_id", "pos", r6(pr.array_sum(F.col("q"))).alias("total"), r6(F.array_max("q")).alias("largest"), r6(bits).alias("information"))
-
-
 @query("d26_pssm", f"""WITH {PROFILES_SQL} SELECT profile_id, pos, code, round(ln(q / prior) / 0.5, 6) + 0.0 AS score FROM longp JOIN {BKG_ROWS} USING (code)""")
 def d26_pssm(spark, sf_dir):
     score = pr.scores(F.col("trg"), F.array(*(F.lit(p) for p in BACKGROUND)), 0.5)
@@ -468,21 +502,6 @@ def h19_scaling(spark, sf_dir):
     return hist.groupBy("q_id", "t_id").applyInPandas(one, "q_id long, t_id long, factor double")
 
 
-@query("h21_network")
-def h21_network(spark, sf_dir):
-    """Predictions of a two-layer network with weights by a rule, for all pairs of profiles."""
-    hidden = np.cos(np.arange(20)).reshape(4, 5)
-    output = np.sin(np.arange(5) + 1).reshape(1, 5)
-    rows = h23_network_inputs(spark, sf_dir)
-
-    def predicted(batches):
-        for b in batches:
-            out = sig.network(b[["x1", "x2", "x3", "x4"]].to_numpy(), hidden, output) if len(b) else np.zeros((0, 1))
-            yield b[["q_id", "t_id"]].assign(mu=np.round(out[:, 0], 6))
-
-    return rows.mapInPandas(predicted, "q_id long, t_id long, mu double")
-
-
 @query("g20_segment_pairs", f"""WITH {_SCORES_SQL}, p AS (SELECT *, j - i AS d, i - row_number() OVER (PARTITION BY q_id, t_id, j - i ORDER BY i) AS run FROM sc WHERE round(score, 6) > 0.2)
 SELECT q_id, t_id, d, min(i) AS i, count(*) AS length, round(sum(round(score, 6)), 4) + 0.0 AS total FROM p GROUP BY q_id, t_id, d, run HAVING count(*) >= 3""")
 def g20_segment_pairs(spark, sf_dir):
@@ -502,12 +521,13 @@ def g7_bonus(spark, sf_dir):
 
 
 @query("e14_hdp_factor", f"""WITH {PROFILES_SQL}, m AS (SELECT profile_id, avg(eno) AS e, max(trg[1]) AS p FROM prof GROUP BY 1)
-SELECT x.profile_id AS q_id, y.profile_id AS t_id, round(exp(-pow((x.e - y.e) / 10, 2)) * sqrt(x.p * y.p), 6) + 0.0 AS factor FROM m x JOIN m y ON x.profile_id <= y.profile_id""")
+SELECT x.profile_id AS q_id, y.profile_id AS t_id, round((0.4 + 0.6 * exp(-1.5e-5 * (0.47 * pow(x.e - 23, 4) + 0.47 * pow(y.e - 23, 4) + 2 * 0.47 * pow(x.e - 23, 2) * pow(y.e - 23, 2))))
+  * exp(-7.5 * (0.37 * pow(x.p - 1, 2) + 0.37 * pow(y.p - 1, 2) + 2 * 1.17 * (x.p - 1) * (y.p - 1))), 9) + 0.0 AS factor FROM m x JOIN m y ON x.profile_id <= y.profile_id""")
 def e14_hdp_factor(spark, sf_dir):
     own = profiles(spark, sf_dir).groupBy("profile_id").agg(F.avg("eno").alias("e"), F.max(F.element_at("trg", 1)).alias("p"))
     one, two = (own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns)) for s in "qt")
     pairs = one.join(two, F.col("profile_id_q") <= F.col("profile_id_t"))
-    return pairs.select(F.col("profile_id_q").alias("q_id"), F.col("profile_id_t").alias("t_id"), r6(scoring.hdp_factor(F.col("e_q"), F.col("e_t"), F.col("p_q"), F.col("p_t"))).alias("factor"))
+    return pairs.select(F.col("profile_id_q").alias("q_id"), F.col("profile_id_t").alias("t_id"), (F.round(scoring.hdp_factor(F.col("e_q"), F.col("e_t"), F.col("p_q"), F.col("p_t")), 9) + F.lit(0.0)).alias("factor"))
 
 
 @query("e19_step_lookup", f"""WITH {PROFILES_SQL}, k AS (SELECT profile_id, pos, greatest(least(round_even(round(cv[1], 6) * 2, 0) / 2, 5), -5) AS key FROM prof) SELECT profile_id, pos, key + 0.0 AS key, round(key * key / 10, 6) + 0.0 AS value FROM k""")
@@ -518,10 +538,12 @@ def e19_step_lookup(spark, sf_dir):
     return rows.withColumn("key", F.col("key") + F.lit(0.0)).join(F.broadcast(keys), "key").select("profile_id", "pos", "key", "value")
 
 
-@query("e21_smoothing", """WITH d AS (SELECT date_trunc('day', ts) AS day, sum(value) AS v FROM events GROUP BY 1), w AS (SELECT day, v, count(*) OVER f AS n, avg(v) OVER f AS m FROM d WINDOW f AS (ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
-SELECT day, round(v, 4) + 0.0 AS v, round(CASE WHEN n = 5 THEN m ELSE v END, 4) + 0.0 AS smooth FROM w""")
+@query("e21_smoothing", """WITH d AS (SELECT date_trunc('day', ts) AS day, CASE WHEN count(*) % 7 <> 0 THEN sum(value) END AS v FROM events GROUP BY 1), p AS (SELECT day, v, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM d WHERE v IS NOT NULL),
+c AS (SELECT *, least(greatest(k, 3), n - 2) AS mid FROM p), s AS (SELECT c.day, avg(o.v) AS s FROM c JOIN p o ON o.k BETWEEN mid - 2 AND mid + 2 GROUP BY 1)
+SELECT d.day, round(v, 4) + 0.0 AS v, round(coalesce(s, (SELECT s.s FROM s WHERE s.day < d.day ORDER BY s.day DESC LIMIT 1)), 4) + 0.0 AS smooth FROM d LEFT JOIN s ON s.day = d.day""")
 def e21_smoothing(spark, sf_dir):
-    daily = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.sum("value").alias("v"))
+    """Daily sums, some of them left out as missing, smoothed as a score table is."""
+    daily = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.when(F.count("*") % 7 != 0, F.sum("value")).alias("v"))
     out = scoring.smoothed(daily, "day", "v")
     return out.select("day", (F.round("v", 4) + F.lit(0.0)).alias("v"), (F.round("smooth", 4) + F.lit(0.0)).alias("smooth"))
 
@@ -532,31 +554,6 @@ def e20_triangular(spark, sf_dir):
     return ids.select(F.col("profile_id").alias("a")).join(ids.select(F.col("profile_id").alias("b")), F.col("a") <= F.col("b")).select("a", "b", scoring.triangular_index(F.col("a"), F.col("b")).alias("at"))
 
 
-@query("e9_ss_scores")
-def e9_ss_scores(spark, sf_dir):
-    """Secondary-structure and context-vector scores of all pairs of profiles, summed; the state table follows a rule."""
-    own = profiles(spark, sf_dir).groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ss", "cv"))).alias("r"))
-    own = own.select("profile_id", F.transform("r", lambda x: x["ss"]).alias("ss"), F.transform("r", lambda x: x["cv"]).alias("cv"))
-    states = np.arange(30)
-    same = (states[:, None] // 10 == states[None, :] // 10) * 2.0 - 1.0
-    grid = same * (1 + np.minimum(states[:, None] % 10, states[None, :] % 10)) / 10
-
-    def scored(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_dict("records"):
-                q, t = np.array(r["ss_q"].tolist()), np.array(r["ss_t"].tolist())
-                a, c = np.array(r["cv_q"].tolist()), np.array(r["cv_t"].tolist())
-                s = scoring.ss_matrix(q, t, grid)
-                v = scoring.cv_statistic(a, c, (a * a).sum(1), (c * c).sum(1), -2.0 - 0.1 * (a * a).sum(1), -2.0 - 0.1 * (c * c).sum(1))
-                rows.append((r["q_id"], r["t_id"], round(float(s.sum()), 6), round(float(v.mean()), 6)))
-            yield pd.DataFrame(rows, columns=["q_id", "t_id", "ss_total", "cv_mean"])
-
-    one = own.select(F.col("profile_id").alias("q_id"), F.col("ss").alias("ss_q"), F.col("cv").alias("cv_q"))
-    two = own.select(F.col("profile_id").alias("t_id"), F.col("ss").alias("ss_t"), F.col("cv").alias("cv_t"))
-    return one.join(two, F.col("q_id") < F.col("t_id")).mapInPandas(scored, "q_id long, t_id long, ss_total double, cv_mean double")
-
-
 # ------------------------------------------------------------------- search
 
 
@@ -570,7 +567,7 @@ def g3_search(spark, sf_dir):
     """All profiles against all: score, alignment, statistics, E-values, ranked."""
     own = packed_profiles(spark, sf_dir)
     size = own.agg(F.sum("len").alias("n"), F.count("*").alias("k")).first()
-    found = search.with_evalues(search.hits(own, own), int(size["n"]), int(size["k"]))
+    found = search.with_evalues(search.hits(own, own), own, int(size["n"]), int(size["k"]))
     out = search.top_hits(found, cutoff=1e6)
     return out.select(
         "query_id", "target_id", "rank", *(F.round(c, 4).alias(c) for c in ("score", "positives", "log_evalue", "bit_score")), "q_from", "q_to", "t_from", "t_to",
@@ -637,16 +634,6 @@ def h33_score_threshold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", r6(sig.score_threshold(10.0, m, n)).alias("many"), r6(sig.score_threshold(0.01, m, n)).alias("few"))
 
 
-@query("h34_search_space")
-def h34_search_space(spark, sf_dir):
-    """Effective search space of every distinct profile length against all profiles."""
-    sizes = packed_profiles(spark, sf_dir).select("profile_id", "len")
-    total = sizes.agg(F.sum("len").alias("n"), F.count("*").alias("k")).first()
-    lens = [r["len"] for r in sizes.select("len").distinct().collect()]
-    spaces = spark.createDataFrame([(n, sig.length_adjustment(n, total["n"], total["k"]), sig.search_space(n, total["n"], total["k"])) for n in lens], "len int, adjustment int, space double")
-    return sizes.join(F.broadcast(spaces), "len")
-
-
 @query("h35_pair_probabilities", """WITH s AS (SELECT doc_id, length(text) - length(replace(lower(text), 'e', '')) AS e, n_chars AS len FROM documents),
 b AS (SELECT (CASE WHEN e / 40.0 >= 3 THEN 1 ELSE 0 END + CASE WHEN e / 40.0 >= 5 THEN 1 ELSE 0 END + CASE WHEN e / 40.0 >= 7 THEN 1 ELSE 0 END + CASE WHEN e / 40.0 >= 9 THEN 1 ELSE 0 END + CASE WHEN e / 40.0 >= 11 THEN 1 ELSE 0 END + CASE WHEN e / 40.0 >= 13 THEN 1 ELSE 0 END) * 6
  + CASE WHEN len >= 75 THEN 1 ELSE 0 END + CASE WHEN len >= 150 THEN 1 ELSE 0 END + CASE WHEN len >= 300 THEN 1 ELSE 0 END + CASE WHEN len >= 500 THEN 1 ELSE 0 END + CASE WHEN len >= 700 THEN 1 ELSE 0 END AS bin FROM s),
@@ -672,7 +659,7 @@ def h23_network_inputs(spark, sf_dir):
 def h26_combined_evalues(spark, sf_dir):
     """E-values from the extreme-value and the positives' p-values, combined, for all hits."""
     own = packed_profiles(spark, sf_dir)
-    found = search.hits(own, own, realign=False).select("query_id", "target_id", "query_len", "target_len", "score", "positives", "k")
+    found = search.hits(own, own, terms=scoring.Terms(realign=False)).select("query_id", "target_id", "query_len", "target_len", "score", "positives", "k")
 
     @F.pandas_udf("double")
     def combined(score: pd.Series, positives: pd.Series, m: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seqlake.plans import pairs  # noqa: F401 - registers its queries
 from seqlake.plans.queries import ORACLES, QUERIES
 
 

@@ -146,6 +146,28 @@ def database_header(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("name").alias("n_profiles"), F.count("*").alias("n_positions"))
 
 
+def chunked(rows: DataFrame, key: str, size: str, most_size: int, most_rows: int) -> DataFrame:
+    """Rows (one for each profile) with a ``chunk`` of bounded total size and number, longest first; rows larger than a chunk are left out.
+
+    Chunks are numbered by the size of all rows before, and split by number.
+    """
+    from pyspark.sql import Window
+
+    kept = rows.filter(F.col(size) <= most_size)
+    order = Window.orderBy(F.desc(size), key)  # a row for each profile of a database
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = kept.withColumn("part", F.floor(before / most_size))
+    turn = F.floor((F.row_number().over(Window.partitionBy("part").orderBy(F.desc(size), key)) - 1) / most_rows)
+    own = own.withColumn("turn", turn)
+    return own.withColumn("chunk", F.dense_rank().over(Window.orderBy("part", "turn")) - 1).drop("part", "turn")
+
+
+def described(text, most: int = 1024):
+    """A description on one line: leading white space off, runs of blanks one blank; cut to ``most`` characters, of which the last three are dots if it has as many."""
+    line = F.regexp_replace(F.regexp_replace(text, r"^[ \t\n\r]+", ""), r"[ \t]+", " ")
+    return F.when((F.length(line) >= most) & (F.lit(most) > 3), F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(F.substring(line, 1, most))
+
+
 # -------------------------------------------------------------------- others
 
 

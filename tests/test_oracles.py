@@ -1,6 +1,9 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables; every other one runs."""
 
+import math
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -32,7 +35,50 @@ def test_same_rows(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+    """Rows without a hole in any column; what they hold is tested by the operators' own tests."""
+    got = QUERIES[name](spark, sf_dir.replace("0.001", "0.01") if name == "f1_seg" else sf_dir).toPandas()  # its streams are too short in the smallest table
+    assert len(got) > 0 and not got.isna().any().any()
+
+
+def test_statistics_solve_their_equations(spark, sf_dir):
+    """lambda, relative entropy and K of each pair against its histogram."""
+    from seqlake.operators import significance as sig
+
+    hist = QUERIES["h9_histogram"](spark, sf_dir).toPandas()
+    hist["p"] = hist["n"] / hist.groupby(["q_id", "t_id"])["n"].transform("sum")
+    for r in QUERIES["h13_statistics"](spark, sf_dir).toPandas().itertuples():
+        own = hist[(hist.q_id == r.q_id) & (hist.t_id == r.t_id)]
+        s, p, lam = own["bin"].to_numpy() / sig.SCALE, own["p"].to_numpy(), getattr(r, "_3")
+        assert abs((p * np.exp(lam * s)).sum() - 1) < 1e-4 if lam > 0 else (s * p).sum() >= 0 or s.max() <= 0
+        assert r.h == pytest.approx((lam * s * np.exp(lam * s) * p).sum(), abs=1e-4) if lam > 0 else r.h == -1
+
+
+def test_special_functions_of_a_table(spark, sf_dir):
+    for r in QUERIES["m1_special_functions"](spark, sf_dir).collect():
+        x, h = float(r.p_size), 1e-4
+        assert r.lgamma == pytest.approx(math.lgamma(x), abs=1e-6)
+        assert r.digamma == pytest.approx((math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), abs=1e-5)
+        assert r.zeta == pytest.approx(sum(1 / (x + k) ** 2 for k in range(20000)) + 1 / (x + 20000), abs=1e-5) and r.trigamma == pytest.approx(r.zeta, abs=1e-6)
+        assert r.log_q == pytest.approx(math.log(math.erfc(math.sqrt(x)) + 2 * math.sqrt(x / math.pi) * math.exp(-x)), rel=1e-6)
+
+
+def test_round_trips(spark, sf_dir):
+    text = QUERIES["a4_profile_text"](spark, sf_dir).toPandas()
+    assert text["exact"].all() and (text["n"] == text["same"]).all()
+    both = QUERIES["n5_cholesky"](spark, sf_dir).toPandas()
+    assert np.allclose(both["log_det"], both["log_det_lu"], atol=1e-4)
+
+
+def test_search_finds_itself(spark, sf_dir):
+    """Each profile's best hit is itself, along its whole length; strings and counts agree."""
+    for name in ("g3_search", "g3_full_search"):
+        best = QUERIES[name](spark, sf_dir).filter("rank = 1").toPandas()
+        assert (best["query_id"] == best["target_id"]).all()
+    for r in QUERIES["g3_search"](spark, sf_dir).collect():
+        assert len(r.q_aln) == len(r.t_aln) == len(r.middle) == r.aln_len
+        assert r.n_ident == sum(a == b != "-" for a, b in zip(r.q_aln, r.t_aln)) and r.positives == r.middle.count("+")
+        assert r.n_gaps == r.q_aln.count("-") + r.t_aln.count("-")
+        assert r.aln_len == 0 or r.q_to - r.q_from + 1 == len(r.q_aln.replace("-", ""))
 
 
 def test_entry(spark):
