@@ -127,8 +127,9 @@ class Items:
         row = np.repeat(np.arange(len(counts)), counts)
         end = np.repeat(np.cumsum(counts), counts)
         # words from each on without one that isn't in the vocabulary, within the text
-        other = np.append(np.flatnonzero(words < 0), len(words))
-        reach = np.minimum(other[np.searchsorted(other, np.arange(len(words)))], end) - np.arange(len(words))
+        place = np.arange(len(words))
+        other = np.minimum.accumulate(np.where(words < 0, place, len(words))[::-1])[::-1]
+        reach = np.minimum(other, end) - place
         found = []
         hashed = run_hashes(words, set(self.runs))
         for n, (hashes, owners) in self.runs.items():
@@ -146,6 +147,14 @@ class Items:
             found += zip(row[at[fresh]].tolist(), item[fresh].tolist(), at[fresh].tolist())
         return found
 
+    def times(self) -> np.ndarray:
+        """How often each item has each word of the vocabulary; the last column stands for other words."""
+        out = np.zeros((len(self.words), len(self.vocabulary) + 1), dtype=np.uint16)
+        for item, words in enumerate(self.words):
+            numbers, times = np.unique(words, return_counts=True)
+            out[item, numbers] = np.minimum(times, 0xFFFF)
+        return out
+
     def passage_blocks(self, item: int) -> int:
         """Blocks of the passages that an item is held against."""
         blocks = 2
@@ -154,6 +163,32 @@ class Items:
         return blocks
 
 
+def enough(words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, times: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Which of the stretches words[low:high] have so many of the item's words that its common subsequence may be long enough.
+
+    A common subsequence has no word more often than either side, so nothing
+    is lost. ``times`` has a row for each item and its words' numbers as columns.
+    """
+    out = np.zeros(len(low), dtype=bool)
+    if not len(low):
+        return out
+    width = int((high - low).max())
+    place, none = np.arange(width), times.shape[1] - 1
+    each = max(1, (1 << 20) // max(1, width))
+    for at in range(0, len(low), each):
+        a, b, own = low[at : at + each, None], high[at : at + each, None], item[at : at + each]
+        part = words[np.minimum(a + place, len(words) - 1)]
+        part = np.where((a + place < b) & (part >= 0), part, none)
+        some = np.flatnonzero(np.count_nonzero(times[own[:, None], part], axis=1) >= needed[own])
+        part = np.sort(part[some], axis=1)
+        first = np.zeros(part.shape, dtype=np.int64)
+        first[:, 1:] = np.where(part[:, 1:] != part[:, :-1], place[1:], 0)
+        copies = place - np.maximum.accumulate(first, axis=1)
+        held = np.count_nonzero(copies < times[own[some][:, None], part], axis=1)
+        out[at + some[held >= needed[own[some]]]] = True
+    return out
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence (bit-parallel); negative words match nothing."""
     masks: dict[int, int] = {}
@@ -398,32 +433,20 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
     least = {n: max(LEAST_WORDS, math.ceil(WEIGHTED_SHARE * min(int(weighted[items.words[i]].sum()) for i in own))) for n, own in by_blocks.items()}
     queries = {n: _unit(np.array([vectors[items.words[i]].sum(axis=0) for i in own])) for n, own in by_blocks.items()}
 
-    members: dict[int, tuple] = {}  # of the items last met, the place of each vocabulary number among theirs, and how often they have it
+    lengths = np.array([len(words) for words in items.words])
+    needed = np.maximum(LCS_SHARE * lengths, np.minimum(LCS_LEAST, lengths))
 
     def confirmed(item: int, region: np.ndarray, verbatim: bool = False):
-        own = members.get(item)
-        if own is None:
-            if len(members) >= 256:
-                members.clear()
-            numbers, times = np.unique(items.words[item], return_counts=True)
-            place = np.full(len(items.vocabulary) + 1, len(numbers), dtype=np.int32)  # the last entry stands for other words (-1)
-            place[numbers] = np.arange(len(numbers))
-            own = members[item] = place, times, max(LCS_SHARE * len(items.words[item]), min(LCS_LEAST, len(items.words[item])))
-        place, times, needed = own
-        # a common subsequence has no word more often than either side
-        at = place[region]
-        at = at[at < len(times)]
-        if not verbatim and (len(at) < needed or np.minimum(np.bincount(at, minlength=len(times)), times).sum() < needed):
-            return None
         words, region = items.words[item].tolist(), region.tolist()
-        common = lcs(words, region)
-        if common < needed and not verbatim:
+        shared = lcs(words, region)
+        if shared < needed[item] and not verbatim:
             return None
         answer = words[-max(1, -(-len(words) // 3)) :]
         held = lcs(answer, region)
-        return (common, held / len(answer)) if verbatim or held >= ANSWER_SHARE * len(answer) else None
+        return (shared, held / len(answer)) if verbatim or held >= ANSWER_SHARE * len(answer) else None
 
     def searched(batches):
+        times = items.times()
         for batch, base, words, counts in _word_batches(batches):
             own = Passages(words, counts, weighted)
             n_weighted = own.by_block(np.ones(len(own.words)))
@@ -436,20 +459,19 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
                 for at in range(0, len(starts), 8192):
                     some = starts[at : at + 8192]
                     cosine = _unit(own.sums(some, blocks, projected)) @ query.T
-                    for p, q in np.argwhere(cosine >= COSINE).tolist():
-                        start = int(some[p])
-                        row = int(own.row_of_block[start])
-                        item = by_blocks[blocks][q]
-                        length = len(items.words[item])
-                        begin = (start - int(own.first_block[row])) * BLOCK
-                        low = max(0, begin - length)
-                        region = words[first_word[row] + low : first_word[row] + min(int(counts[row]), begin + blocks * BLOCK + length)]
-                        old = best.get((row, item))
-                        if old is not None and old[0] == length:
+                    p, q = np.nonzero(cosine >= COSINE)
+                    item, row = np.array(by_blocks[blocks])[q], own.row_of_block[some[p]]
+                    begin = (some[p] - own.first_block[row]) * BLOCK
+                    low = first_word[row] + np.maximum(begin - lengths[item], 0)
+                    high = first_word[row] + np.minimum(begin + blocks * BLOCK + lengths[item], counts[row])
+                    kept = enough(words, low, high, item, times, needed)
+                    for i, r, x, y, at_word, c in zip(*(v[kept].tolist() for v in (item, row, low, high, begin, cosine[p, q]))):
+                        old = best.get((r, i))
+                        if old is not None and old[0] == lengths[i]:
                             continue
-                        found = confirmed(item, region)
+                        found = confirmed(i, words[x:y])
                         if found and (old is None or found[0] > old[0]):
-                            best[row, item] = (found[0], found[1], float(cosine[p, q]), begin)
+                            best[r, i] = (found[0], found[1], c, at_word)
             for row, item, at in items.verbatim(words, counts):
                 length = len(items.words[item])
                 old = best.get((row, item))
