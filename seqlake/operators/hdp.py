@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 
 def log_t(x: np.ndarray, mu: np.ndarray, scale: np.ndarray, df: float) -> np.ndarray:
@@ -64,3 +66,47 @@ def mixed(x: np.ndarray, dishes: list[tuple], tables: list[float], prior: tuple,
     order, p = memberships(x, dishes, tables, prior, top=len(dishes) + 1)
     means = np.array([d[0] for d in dishes] + [prior[0]])
     return (1 - weight) * x + weight * (p[:, :, None] * means[order]).sum(axis=1)
+
+
+def _log_gamma(d: int, x: float) -> float:
+    """Logarithm of the multivariate gamma function."""
+    return d * (d - 1) / 4 * math.log(math.pi) + sum(math.lgamma(x - i / 2) for i in range(d))
+
+
+def log_evidence(members: np.ndarray, mu0: np.ndarray, s0: np.ndarray, kappa0: float, nu0: float) -> float:
+    """Log probability of a matrix of members (rows) under the prior, their mean and covariance integrated out."""
+    n, d = members.shape
+    _, scale, kappa, nu = dish_parameters(members, mu0, s0, kappa0, nu0)
+    before, after = np.linalg.slogdet(s0)[1], np.linalg.slogdet(scale)[1]
+    return -n * d / 2 * math.log(math.pi) + _log_gamma(d, nu / 2) - _log_gamma(d, nu0 / 2) + nu0 / 2 * before - nu / 2 * after + d / 2 * math.log(kappa0 / kappa)
+
+
+def log_predictive(rows: np.ndarray, members: np.ndarray, prior: tuple) -> float:
+    """Log probability of a matrix of new rows given a dish's members (none: the prior)."""
+    if not len(members):
+        return log_evidence(rows, *prior)
+    return log_evidence(np.vstack([members, rows]), *prior) - log_evidence(members, *prior)
+
+
+def log_probability(groups: list[np.ndarray], prior: tuple) -> tuple[float, list[float]]:
+    """Log probability of all dishes' members, and of each dish's."""
+    each = [log_evidence(x, *prior) for x in groups]
+    return sum(each), each
+
+
+def profile_memberships(profiles: DataFrame, dishes: list[tuple], tables: list[float], prior: tuple, top: int = 4, mix: float | None = None) -> DataFrame:
+    """Positions (profile_id, pos, cv) with the ``top`` dishes and their probabilities, and with ``mix`` the vector moved towards its dishes' means.
+
+    The dishes are parameters of a model and go to the workers with the function.
+    """
+
+    def placed(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["cv"].to_numpy())
+            order, p = memberships(x, dishes, tables, prior, top=top)
+            moved = mixed(x, dishes, tables, prior, mix) if mix is not None else x
+            yield pd.DataFrame({"profile_id": b["profile_id"], "pos": b["pos"], "dish": [r.tolist() for r in order], "p": [r.tolist() for r in p], "mixed": [r.tolist() for r in moved]})
+
+    return profiles.select("profile_id", "pos", "cv").mapInPandas(placed, "profile_id long, pos int, dish array<long>, p array<double>, mixed array<double>")

@@ -381,13 +381,8 @@ def k1_mixture(spark, sf_dir):
     dishes = [hdp.posterior(r["n"], mean, np.reshape(r["scatter"], (d, d)), mu0, s0, kappa0, nu0) for r, mean in zip(rows, means)]
     tables = [float(r["n"]) for r in rows]
 
-    def placed(batches):
-        for b in batches:
-            if len(b):
-                order, p = hdp.memberships(np.stack(b["cv"].to_numpy()), dishes, tables, prior, top=1)
-                yield pd.DataFrame({"profile_id": b["profile_id"], "pos": b["pos"], "dish": order[:, 0], "p": np.round(p[:, 0], 6)})
-
-    return own.mapInPandas(placed, "profile_id long, pos int, dish long, p double")
+    found = hdp.profile_memberships(own, dishes, tables, prior, top=1)
+    return found.select("profile_id", "pos", F.element_at("dish", 1).alias("dish"), r6(F.element_at("p", 1)).alias("p"))
 
 
 # ----------------------------------------------------------------- segments

@@ -486,3 +486,89 @@ def test_rank_over_ranges(spark):
     got = [(r.v, r.id, r.n) for r in convert.numbered(rows, [F.desc("v"), F.col("id")], "n").collect()]
     want = sorted(((r * 37 % 101, r) for r in range(200)), key=lambda x: (-x[0], x[1]))
     assert sorted(got, key=lambda x: x[2]) == [(v, i, k) for k, (v, i) in enumerate(want, 1)]
+
+
+def test_stockholm_notes(spark):
+    text = "# STOCKHOLM 1.0\n#=GF AC PF1\n#=GF DE a family\none ACd.-F\ntwo AC..WF\n#=GC seq_cons ab.\n\none gH\ntwo -H\n#=GC seq_cons cd\n//\none ZZ\n//\n"
+    r = formats.stockholm_notes(spark.createDataFrame([("s", text)], "name string, value string")).first()
+    assert (r.accession, r.description, r.classes, r.match) == ("PF1", "a family", "ab.cd", [1, 2, 5, 6, 8])
+
+
+def profile_rows(spark):
+    rows = [(f"p{i}", "d", n, 3, 2.0, k + 1, "A", [0.05] * 20, [0.1] * 9, [1.0, 0.0, 0.0], "H") for i, n in enumerate((2, 3, 1)) for k in range(n)]
+    return spark.createDataFrame(rows, formats.PROFILE)
+
+
+def test_database_forms(spark, tmp_path):
+    """Text and columns hold the same profiles; the open chain prefers columns, and bad databases are named."""
+    rows = profile_rows(spark)
+    texts = [r.value for r in formats.database_text(rows).collect()]
+    assert texts[0].endswith("PROFS: 3\nSIZE: 6\n") and [t.split("FILE: ")[1][:2] for t in texts[1:]] == ["p1", "p0", "p2"]
+    (tmp_path / "a").write_text("".join(texts))
+    head = formats.text_header(formats.read_texts(spark, str(tmp_path / "a"))).first()
+    assert (head.n_profiles, head.n_positions) == (3, 6)
+    want = sorted(tuple(r) for r in rows.collect())
+    assert sorted(tuple(r) for r in formats.open_database(spark, str(tmp_path / "a")).collect()) == want
+    formats.write_database(rows.filter("name = 'p1'"), str(tmp_path / "b.parquet"))
+    assert formats.open_database(spark, str(tmp_path / "b")).count() == 3
+    both, bad = formats.open_databases(spark, [str(tmp_path / x) for x in ("b", "a", "none", "a")])
+    assert both.count() == 9 and [b[-4:] for b in bad] == ["none"]
+
+
+def test_full_text_has_every_field(spark):
+    from pyspark.sql import functions as F
+
+    rows = profile_rows(spark).withColumn("obs", F.col("trg")).withColumn("information", F.lit(0.5))
+    got = {r.name: r.value for r in formats.full_profile_text(rows).collect()}
+    assert got["p1"].count("TRG: ") == 3 and got["p1"].count("INF: 0.500000") == 3 and got["p1"].endswith("*\n")
+
+
+def test_result_documents(spark, sf_dir, tmp_path):
+    import json
+    import os
+
+    from seqlake.operators import search
+    from seqlake.plans.queries import packed_profiles
+
+    own = packed_profiles(spark, sf_dir)
+    found = search.top_hits(search.with_evalues(search.hits(own, own), own, 500, 10), cutoff=1e6).cache()
+    docs = {r.query_id: json.loads(r.value) for r in formats.result_documents(found, 10, 500, 3, 2).collect()}
+    for q, d in docs.items():
+        assert d["query"]["query_id"] == q and d["database"] == {"number_of_profiles": 10, "number_of_positions": 500}
+        assert len(d["search_summary"]) <= 3 and len(d["search_hits"]) <= 2 and d["search_summary"][0]["target_id"] == q
+        a = d["search_hits"][0]["alignment"]
+        assert a["aln_length"] == len(a["query_aln"]) and a["evalue"] <= d["search_summary"][-1]["evalue"]
+    plain = {r.query_id: r.value for r in formats.plain_documents(found, 10, 500, 3, 2).collect()}
+    assert set(plain) == set(docs) and all("Identities = " in v and "Query:      1 " in v for v in plain.values())
+    formats.write_documents(formats.result_documents(found, 10, 500), str(tmp_path / "out"))
+    assert {x for x in os.listdir(tmp_path / "out") if x.startswith("file=")} == {f"file={q}__{i}.json" for i, q in enumerate(sorted(docs))}
+
+
+def test_alignment_blocks():
+    text = formats.alignment_block("AC-DEF", "AC  E+", "ACWDEY", 3, 7, 4)
+    assert text.split("\n") == ["Query:      3 AC-D      5", " " * 14 + "AC  ", "Sbjct:      7 ACWD     10", "", "Query:      6 EF      7", " " * 14 + "E+", "Sbjct:     11 EY     12", ""]
+
+
+def test_probability_text(spark):
+    rows = spark.createDataFrame([(2, 1, 0.25), (0, 0, 0.5)], "bin_a int, bin_b int, p double")
+    lines = formats.probability_text(rows).first().value.split("\n")
+    assert len(lines) == 42 and lines[0] == "0.500000" and lines[2].split()[1] == "0.250000"
+
+
+def test_evidence_is_a_product_of_predictives():
+    """The probability of a matrix is that of its rows one by one, whatever their order."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 3))
+    prior = (np.zeros(3), np.eye(3), 0.1, 5.0)
+    one = hdp.predictive(x[:1], *prior)[0] + sum(hdp.predictive(x[i : i + 1], *hdp.dish_parameters(x[:i], *prior))[0] for i in range(1, 6))
+    assert hdp.log_evidence(x, *prior) == pytest.approx(one) and hdp.log_evidence(x[::-1], *prior) == pytest.approx(one)
+    assert hdp.log_predictive(x[4:], x[:4], prior) == pytest.approx(hdp.log_evidence(x, *prior) - hdp.log_evidence(x[:4], *prior))
+    assert hdp.log_probability([x[:3], x[3:]], prior)[0] == pytest.approx(hdp.log_evidence(x[:3], *prior) + hdp.log_evidence(x[3:], *prior))
+
+
+def test_mixing_moves_towards_dishes(spark):
+    prior = (np.zeros(2), np.eye(2), 0.1, 4.0)
+    dish = hdp.dish_parameters(np.array([[4.0, 4.0], [4.2, 3.8], [3.8, 4.2]]), *prior)
+    rows = spark.createDataFrame([(1, 1, [3.0, 3.0])], "profile_id long, pos int, cv array<double>")
+    r = hdp.profile_memberships(rows, [dish], [3.0], prior, top=1, mix=0.5).first()
+    assert r.dish == [0] and all(3.0 < v < 4.0 for v in r.mixed)
