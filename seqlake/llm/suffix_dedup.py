@@ -56,6 +56,8 @@ GRAM, CELLS = 24, (64, 8, 1)
 BATCH_BYTES = 1 << 19
 _POS_BITS = 23
 _POS = np.uint64((1 << _POS_BITS) - 1)
+#: Anchors of a text that are worked on together, when runs are split: those within 2**_PART_BITS bytes.
+_PART_BITS = 22
 
 
 def _joined(*parts: np.ndarray) -> np.ndarray:
@@ -148,7 +150,7 @@ def _split(texts: DataFrame, items: DataFrame, cell: int, threshold: int) -> Dat
         for batch in batches:
             made = []
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
+                raw = np.frombuffer((batch.column(1)[i].as_py() or "").encode(), dtype=np.uint8)
                 held = batch.column(2)[i].values
                 m, lo, hi = (held.field(c).to_numpy().astype(np.int64) for c in ("m", "lo", "hi"))
                 done = held.field("done").to_numpy(zero_copy_only=False)
@@ -158,10 +160,17 @@ def _split(texts: DataFrame, items: DataFrame, cell: int, threshold: int) -> Dat
                 m, lo, hi, done = m[item], lo[item], hi[item], done[item]
                 low, high = number * cell, np.minimum(number * cell + cell - 1, most)
                 lo, hi = np.maximum(lo, low), np.minimum(hi, high)
-                rolled = Rolling(np.frombuffer((text or "").encode(), dtype=np.uint8))
-                core = _joined(rolled.slices(m - low, m - high + threshold), number)
-                union = _joined(rolled.slices(m - hi, m - lo + threshold), lo, hi)
-                made.append((np.full(len(m), batch.column(0)[i].as_py()), m.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), done, core.view(np.int64), union.view(np.int64)))
+                # only a bounded part of a long text is hashed at a time: the windows of the runs whose anchors lie in it
+                order = np.argsort(m, kind="stable")
+                edges = np.flatnonzero(np.diff(m[order] >> _PART_BITS, prepend=-1)).tolist()
+                for a, b in zip(edges, [*edges[1:], len(order)]):
+                    own = order[a:b]
+                    base = int((m[own] - hi[own]).min())
+                    rolled = Rolling(raw[base : int((m[own] - lo[own]).max()) + threshold])
+                    at = m[own] - base
+                    core = _joined(rolled.slices(at - low[own], at - high[own] + threshold), number[own])
+                    union = _joined(rolled.slices(at - hi[own], at - lo[own] + threshold), lo[own], hi[own])
+                    made.append((np.full(len(own), batch.column(0)[i].as_py()), *(x.astype(np.int32) for x in (m[own], lo[own], hi[own])), done[own], core.view(np.int64), union.view(np.int64)))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=names)
 

@@ -185,6 +185,17 @@ def test_long_texts_are_read_in_segments(monkeypatch):
     assert (covered == 1).all()
 
 
+def test_parts_of_long_texts(spark, monkeypatch):
+    """Runs are split in parts of a text; the result is that of whole texts."""
+    rnd = random.Random(12)
+    base = "".join(rnd.choice("abcde \n") for _ in range(60_000))
+    texts = [base, base[1000:30_000] + base[20_000:59_000], "x" + base[40_000:41_000] * 3, base[:90]]
+    want = Counter((i, *x) for (i, _), x in zip(enumerate(texts), removed(texts, 97)))
+    for bits in (22, 9):
+        monkeypatch.setattr(sd, "_PART_BITS", bits)
+        assert Counter(rows_of(sd.removal_digest(table(spark, list(enumerate(texts))), 97))) == want
+
+
 # ------------------------------------------------------------------------ op4
 
 
@@ -415,6 +426,25 @@ def test_latent_space_grows():
     assert [r / (n * 10_000) for r, n in zip(rows, (200, 400, dc.ITEMS_PER_BLOCK))] == pytest.approx([dc.ITEM_SHARE] * 3)
 
 
+def test_long_texts_and_ties(spark):
+    """An item deep in a long text, repeated rows and repeated items."""
+    rnd = random.Random(29)
+    word = lambda: "".join(rnd.choice("aeioubcdfglmnprst") for _ in range(rnd.randrange(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    item = prose(30)
+    long = f"{prose(60_000)} {item} {prose(20_000)}"
+    rows = [(1, long), (1, long), (2, prose(50_000)), (3, None), (4, item), (4, item)]
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in dc.contaminated(table(spark, rows), bench).collect())
+    assert got == {(1, 7): 4, (1, 8): 2, (4, 7): 4, (4, 8): 2}
+
+
+def test_very_long_pages(trees):
+    page = f"{HEAD}<article>{ARTICLE * 4000}</article>{FOOT}"
+    got = ex.main_text(page, trees).split("\n")
+    assert len(got) == 8000 and len(set(got)) == 2
+
+
 # ------------------------------------------------------------------------ op7
 
 
