@@ -362,9 +362,13 @@ def n5_cholesky(spark, sf_dir):
     return profiles(spark, sf_dir).select("profile_id", "cv").groupBy("profile_id").applyInPandas(one, "profile_id long, log_det double, log_det_lu double")
 
 
+#: Dishes of the mixture, whose parameters the driver holds.
+DISHES = 32
+
+
 @query("k1_mixture")
 def k1_mixture(spark, sf_dir):
-    """Most probable cluster of each position's context vector under a mixture with a dish for each profile."""
+    """Most probable cluster of each position's context vector under a mixture of at most DISHES dishes, profiles dealt to them by number."""
     own = profiles(spark, sf_dir).select("profile_id", "pos", "cv")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
@@ -372,8 +376,8 @@ def k1_mixture(spark, sf_dir):
         centred = x - x.mean(axis=0)
         return pd.DataFrame({"profile_id": [group["profile_id"].iloc[0]], "n": [len(x)], "mean": [x.mean(axis=0)], "scatter": [(centred.T @ centred).ravel()]})
 
-    # a dish's parameters are sums over its members: one row a profile
-    parts = own.groupBy("profile_id").applyInPandas(one, "profile_id long, n long, mean array<double>, scatter array<double>")
+    # a dish's parameters are sums over its members: one row a dish, of which there are few
+    parts = own.withColumn("profile_id", F.col("profile_id") % DISHES).groupBy("profile_id").applyInPandas(one, "profile_id long, n long, mean array<double>, scatter array<double>")
     rows = parts.orderBy("profile_id").collect()
     means = np.array([r["mean"] for r in rows])
     d = means.shape[-1]
