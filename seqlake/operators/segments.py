@@ -54,15 +54,24 @@ def entropy_of(counts: np.ndarray, width: int) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def log_probability(counts: np.ndarray, width: int, alphabet: int) -> float:
-    """Log probability of a window's complexity state: orderings, and assignments of its counts to symbols."""
-    if not width:
-        return 0.0
-    orderings = math.lgamma(width + 1) - sum(math.lgamma(c + 1) for c in counts)
-    sizes = np.bincount(counts.astype(int), minlength=1)
-    zero = alphabet - int((counts > 0).sum())
-    assignments = math.lgamma(alphabet + 1) - math.lgamma(zero + 1) - sum(math.lgamma(k + 1) for k in sizes[1:])
-    return orderings + assignments - width * math.log(alphabet)
+def log_probabilities(counts: np.ndarray, width: int, alphabet: int) -> np.ndarray:
+    """Log probability of each window's complexity state (a row of symbol counts): orderings, and assignments of its counts to symbols."""
+    facts = log_factorials(max(width, alphabet))
+    orderings = facts[width] - facts[counts].sum(axis=1)
+    # the factorials of how many symbols share a count: a product of places within runs of the sorted counts
+    ordered = np.sort(counts, axis=1)
+    shared, place = np.zeros(len(counts)), np.ones(len(counts))
+    logs = np.log(np.arange(1, alphabet + 1))
+    for j in range(counts.shape[1]):
+        place = np.where(ordered[:, j] == ordered[:, j - 1], place + 1, 1) if j else place
+        shared += np.where(ordered[:, j] > 0, logs[place.astype(int) - 1], 0.0)
+    unused = alphabet - np.count_nonzero(counts, axis=1)
+    return orderings + facts[alphabet] - facts[unused] - shared - width * math.log(alphabet)
+
+
+def log_factorials(n: int) -> np.ndarray:
+    """ln 0! to ln n!."""
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
 
 
 def seg(codes: np.ndarray, alphabet: int = 20, width: int = 12, low: float = 2.2, high: float = 2.5, most: int = 100, inverted: bool = False) -> list[tuple[int, int]]:
@@ -70,15 +79,23 @@ def seg(codes: np.ndarray, alphabet: int = 20, width: int = 12, low: float = 2.2
 
     A window at or below ``low`` triggers, its neighbours at or below ``high``
     extend it; the least probable sub-window is the segment, and the part to
-    its left is searched again. ``inverted`` looks for high complexity.
+    its left is searched again. ``inverted`` looks for high complexity. Counts
+    of any window are differences of running counts.
     """
     n = len(codes)
+    if n < width:
+        return []
     down = width // 2
+    known = (codes >= 0) & (codes < alphabet)
+    upto = np.zeros((n + 1, alphabet), dtype=np.int64)
+    upto[np.flatnonzero(known) + 1, codes[known]] = 1
+    upto = upto.cumsum(axis=0)
+    counts = upto[width:] - upto[:-width]
+    share = counts / width
+    with np.errstate(divide="ignore", invalid="ignore"):
+        entropy = -np.where(counts > 0, share * np.log2(share), 0.0).sum(axis=1)
     value = np.full(n, np.nan)
-    for first in range(n - width + 1):
-        part = codes[first : first + width]
-        if ((part >= 0) & (part < alphabet)).all():
-            value[first + down] = entropy_of(np.bincount(part, minlength=alphabet), width)
+    value[down : down + len(counts)] = np.where(counts.sum(axis=1) == width, np.round(entropy, 12), np.nan)
     sign = -1.0 if inverted else 1.0
     hits, extends = sign * value <= sign * low, sign * value <= sign * high
     found: list[tuple[int, int]] = []
@@ -98,15 +115,12 @@ def seg(codes: np.ndarray, alphabet: int = 20, width: int = 12, low: float = 2.2
             best, choice = math.inf, (begin, end)
             size = end - begin + 1
             for span in range(size, max(0, size - most) if size > most else 0, -1):
-                counts = np.bincount(codes[begin : begin + span], minlength=alphabet).astype(float)
-                for start in range(begin, end - span + 2):
-                    if start > begin:
-                        counts[codes[start - 1]] -= 1
-                        counts[codes[start + span - 1]] += 1
-                    p = log_probability(counts[counts > 0], span, alphabet) * sign
-                    if p < best:
-                        best, choice = p, (start, start + span - 1)
-            if choice[0] - 1 - left + 1 >= width and choice[0] > begin:
+                own = upto[begin + span : end + 2] - upto[begin : end + 2 - span]
+                p = np.round(sign * log_probabilities(own, span, alphabet), 9)
+                k = int(p.argmin())
+                if p[k] < best:
+                    best, choice = p[k], (begin + k, begin + k + span - 1)
+            if choice[0] - left >= width and choice[0] > begin:
                 search(left, choice[0] - 1)
             found.append(choice)
             left = choice[1] + 1
@@ -151,3 +165,20 @@ def greedy_classes(columns: np.ndarray, distance: float = 12.96) -> np.ndarray:
             out[i] = len(founders)
             founders.append(c)
     return out
+
+
+def seg_profiles(profiles: DataFrame, scale: float = 100.0, distance: float = 12.96, alphabet: int = 20, **options) -> DataFrame:
+    """Segments (profile_id, left, right) of profiles (profile_id, pos, trg), whose columns are symbols by their classes.
+
+    Columns count in whole parts of 1 / ``scale``; profiles with more classes
+    than ``alphabet`` have an alphabet of that size.
+    """
+    kind = dict(profiles.dtypes)["profile_id"]
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        codes = greedy_classes(np.rint(np.stack(group["trg"].to_numpy()) * scale), distance)
+        found = seg(codes, max(alphabet, int(codes.max()) + 1), **options)
+        return pd.DataFrame([(group["profile_id"].iloc[0], a + 1, b + 1) for a, b in found], columns=["profile_id", "left", "right"])
+
+    return profiles.select("profile_id", "pos", "trg").groupBy("profile_id").applyInPandas(one, f"profile_id {kind}, left int, right int")

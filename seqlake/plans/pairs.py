@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from seqlake.functions import linear, special
 from seqlake.functions.alphabet import BACKGROUND
 from seqlake.operators import alignment as al
-from seqlake.operators import construct, convert, msa, scoring, search
+from seqlake.operators import construct, convert, msa, scoring, search, segments
 from seqlake.operators import profiles as pr
 from seqlake.operators import significance as sig
 from seqlake.plans.adapters import CELLS_SQL, PROFILES_SQL, backgrounds, cells, log_transitions, profiles, r6, table
@@ -106,6 +106,30 @@ def j6_identity_order(spark, sf_dir):
     return msa.identity_order(cells(spark, sf_dir)).withColumn("identity", r6(F.col("identity")))
 
 
+@query("f8_window_probability", """WITH w AS (SELECT user_id, event_id, row_number() OVER o AS loc, count(*) OVER (PARTITION BY user_id) AS n, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS win FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT user_id, event_id, s, count(*) AS c FROM (SELECT user_id, event_id, unnest(win) AS s FROM w WHERE loc + 11 <= n) GROUP BY ALL),
+r AS (SELECT user_id, event_id, c, count(*) AS r FROM c GROUP BY ALL), g AS (SELECT user_id, event_id, sum(r) AS used, sum(r * lgamma(c + 1)) AS facts, sum(lgamma(r + 1)) AS shared FROM r GROUP BY ALL)
+SELECT user_id, event_id, round(lgamma(13) - facts + lgamma(6) - lgamma(5 - used + 1) - shared - 12 * ln(5), 6) + 0.0 AS log_p FROM g""")
+def f8_window_probability(spark, sf_dir):
+    """Log probability of the composition of each window of twelve events that starts at an event (F4, F8)."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kinds = ("view", "signup", "error", "click", "purchase")
+    rows = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.collect_list("event_type").over(own.rowsBetween(0, 11)).alias("win"),
+    ).filter(F.size("win") == 12)
+    counts = F.array(*(_times(k) for k in kinds))
+
+    @F.pandas_udf("double")
+    def log_p(c: pd.Series) -> pd.Series:
+        return pd.Series(segments.log_probabilities(np.stack(c.to_numpy()).astype(int), 12, 5) if len(c) else [], dtype=float)
+
+    return rows.select("user_id", "event_id", r6(log_p(counts)).alias("log_p"))
+
+
+def _times(kind: str):
+    return F.size(F.filter("win", lambda x: x == kind))
+
+
 # ------------------------------------------------------------ terms of the score
 
 _GRID_SQL = "(CASE WHEN k // 3 = k % 3 THEN 1 ELSE -1 END * (1 + least(floor(9.999 * x.ss[k // 3 + 1]), floor(9.999 * y.ss[k % 3 + 1]))) / 10)"
@@ -238,6 +262,12 @@ def c12_corners(spark, sf_dir):
     return pairs.select("m", "n", closed("m", "n").alias("closed"))
 
 
+@query("f12_profile_segments")
+def f12_profile_segments(spark, sf_dir):
+    """Low-complexity segments of profiles, their columns being symbols by classes."""
+    return segments.seg_profiles(profiles(spark, sf_dir), distance=45.0, low=3.2, high=3.4)
+
+
 # ----------------------------------------------------------------- significance
 
 

@@ -252,6 +252,65 @@ def test_seg_masks_repeats_only():
     assert segments.seg(high) == []
 
 
+def plain_seg(codes, alphabet, width=12, low=2.2, high=2.5, most=100):
+    """The same search with counts made anew for every window."""
+    n, down = len(codes), width // 2
+
+    def entropy(part):
+        return round(-sum(part.count(c) / len(part) * math.log2(part.count(c) / len(part)) for c in set(part)), 12)
+
+    def log_p(part):
+        counts = [part.count(c) for c in set(part)]
+        ways = math.lgamma(len(part) + 1) - sum(math.lgamma(c + 1) for c in counts)
+        given = math.lgamma(alphabet + 1) - math.lgamma(alphabet - len(counts) + 1) - sum(math.lgamma(counts.count(c) + 1) for c in set(counts))
+        return round(ways + given - len(part) * math.log(alphabet), 9)
+
+    value = {i + down: entropy(codes[i : i + width]) for i in range(n - width + 1)}
+    found = []
+
+    def search(left, right):
+        at = left + down
+        while at <= right - (width - 1 - down):
+            if value[at] > low:
+                at += 1
+                continue
+            a = b = at
+            while a - 1 >= left + down and value[a - 1] <= high:
+                a -= 1
+            while b + 1 <= right - (width - 1 - down) and value[b + 1] <= high:
+                b += 1
+            begin, end = a - down, b + width - 1 - down
+            size = end - begin + 1
+            spans = range(size, max(0, size - most) if size > most else 0, -1)
+            p, _, start, span = min((log_p(codes[x : x + k]), -k, x, k) for k in spans for x in range(begin, end - k + 2))
+            if start - left >= width and start > begin:
+                search(left, start - 1)
+            found.append((start, start + span - 1))
+            left = start + span
+            at = max(b + 1, left + down)
+
+    search(0, n - 1)
+    covered = sorted({i for a, b in found for i in range(a, b + 1)})
+    return [(a, b) for a, b in zip([x for x in covered if x - 1 not in covered], [x for x in covered if x + 1 not in covered])]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_segments_are_the_plain_ones(seed):
+    rng = np.random.default_rng(seed)
+    parts = [rng.integers(0, 20, 30), rng.integers(0, 3, 25), rng.integers(0, 20, 15), np.repeat(rng.integers(0, 20), 14), rng.integers(0, 20, 20), rng.integers(4, 6, 130)]
+    codes = np.concatenate([parts[i] for i in rng.permutation(len(parts))])
+    assert segments.seg(codes) == plain_seg(codes.tolist(), 20)
+
+
+def test_profile_segments(spark):
+    rng = np.random.default_rng(1)
+    one = rng.dirichlet(np.ones(20) * 0.1)
+    columns = [*rng.dirichlet(np.ones(20) * 0.1, 30), *([one] * 16), *rng.dirichlet(np.ones(20) * 0.1, 30)]
+    rows = spark.createDataFrame([(7, i + 1, c.tolist()) for i, c in enumerate(columns)], "profile_id long, pos int, trg array<double>")
+    got = segments.seg_profiles(rows).collect()
+    assert len(got) == 1 and got[0].profile_id == 7 and got[0].left <= 33 and got[0].right >= 44
+
+
 def test_merged_intervals(spark):
     rows = spark.createDataFrame([(1, 1, 3), (1, 4, 5), (1, 8, 9), (1, 2, 2), (2, 5, 5)], "k int, left int, right int")
     assert sorted(tuple(r) for r in segments.merged(rows, "k").collect()) == [(1, 1, 5), (1, 8, 9), (2, 5, 5)]
