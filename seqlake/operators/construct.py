@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from seqlake.functions.alphabet import BACKGROUND, N_RESIDUES, decode
 from seqlake.functions.tables import written
-from seqlake.operators import msa
+from seqlake.operators import convert, msa, search
 from seqlake.operators import profiles as pr
+from seqlake.sources import formats
 
 #: Ratios that say nothing of pairs of residues: pseudocounts are the background.
 NEUTRAL = [[1.0] * N_RESIDUES for _ in range(N_RESIDUES)]
@@ -54,3 +55,36 @@ def constructed(cells: DataFrame, identity: float = 0.9, ratios: list[list[float
     bkg = packed(pr.recomputed_background(rows, F.col("eff_nos")), "bkg")
     rows = rows.join(bkg, "profile_id").join(packed(pr.posteriors(rows), "post"), "profile_id")
     return rows.withColumn("len", F.count("*").over(Window.partitionBy("profile_id")).cast("int"))
+
+
+def searchable(rows: DataFrame) -> DataFrame:
+    """Constructed profiles as the search packs them: targets, background, log transitions by position, context vectors, effective number.
+
+    Transitions out of gap states are damped; profiles too short for a
+    context window have none.
+    """
+    damping = [1.0 if x[0] == "M" else 0.4 for x in pr.TRANSITION_ALPHAS]
+    damped = F.transform(F.arrays_zip("trn", F.array(*(F.lit(x) for x in damping)).alias("f")), lambda z: F.when(z["trn"] > 0, F.log(z["trn"]) * z["f"]).otherwise(F.lit(pr.LOG_ZERO)))
+    begin = F.array(*(F.lit(0.0 if x[1] == "M" else pr.LOG_ZERO) for x in pr.TRANSITION_ALPHAS))
+    cv = pr.context_vectors(rows).withColumn("prior", pr.context_prior(F.col("norm2")))
+    own = rows.select("profile_id", "pos", "aa", "trg", "bkg", damped.alias("trn"), begin.alias("begin_trn"), F.col("eff_nos").alias("eno_profile"))
+    return own.join(cv, ["profile_id", "pos"], "left")
+
+
+def profiles_of(sequences: DataFrame, **options) -> DataFrame:
+    """Constructed profiles of aligned sequences (msa_id, seq_id, residues), as readers give them, with the alignment's ``name`` and a number as id."""
+    names = written(convert.numbered(sequences.select(F.col("msa_id").cast("string").alias("name")).distinct(), [F.col("name")], "id"), "names")
+    own = sequences.withColumn("name", F.col("msa_id").cast("string")).join(names, "name").withColumn("msa_id", F.col("id").cast("long"))
+    rows = constructed(formats.cells(own.select("msa_id", "seq_id", "residues")), **options)
+    return rows.join(names.select("name", F.col("id").cast("long").alias("profile_id")), "profile_id")
+
+
+def search_alignments(queries: DataFrame, database: DataFrame, cutoff: float = 10.0, terms: search.Terms = search.Terms(), model=None, **options) -> DataFrame:
+    """The whole way: alignments (sequences of readers) of queries and of a database made profiles, searched and ranked, with names."""
+    sides = [written(profiles_of(x, **options), "profiles") for x in (queries, database)]
+    one, two = (written(search.packed(searchable(x)), "packed") for x in sides)
+    size = two.agg(F.sum("len").alias("n"), F.count("*").alias("k")).first()
+    found = search.hits(one, two, terms=terms, cutoff=cutoff, n_positions=int(size["n"] or 1))
+    ranked = search.top_hits(search.with_evalues(found, one, int(size["n"] or 1), int(size["k"]), model), cutoff=cutoff)
+    named = [x.select(F.col("profile_id").alias(f"{c}_id"), F.col("name").alias(f"{c}_name")).distinct() for x, c in zip(sides, ("query", "target"))]
+    return ranked.join(named[0], "query_id").join(named[1], "target_id")

@@ -56,7 +56,8 @@ def packed(profiles: DataFrame) -> DataFrame:
         if c not in extra:
             return F.lit(None).cast("array<double>").alias(c)
         values = F.transform("rows", lambda r: r[c])
-        return (F.flatten(values) if EXTRA[c] > 1 else F.transform(values, lambda v: v.cast("double"))).alias(c)
+        whole = ~F.exists("rows", lambda r: r[c].isNull())
+        return F.when(whole, F.flatten(values) if EXTRA[c] > 1 else F.transform(values, lambda v: v.cast("double"))).alias(c)
 
     trn = F.concat("trn", F.flatten(F.transform("rows", lambda r: r["trn"]))) if by_position else F.col("trn")
     return rows.select(

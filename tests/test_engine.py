@@ -631,3 +631,31 @@ def test_mixing_moves_towards_dishes(spark):
     rows = spark.createDataFrame([(1, 1, [3.0, 3.0])], "profile_id long, pos int, cv array<double>")
     r = hdp.profile_memberships(rows, [dish], [3.0], prior, top=1, mix=0.5).first()
     assert r.dish == [0] and all(3.0 < v < 4.0 for v in r.mixed)
+
+
+def test_from_alignments_to_hits(spark, tmp_path):
+    """Files in, ranked hits out: related alignments find one another, others stay below the threshold."""
+    from seqlake.operators import construct
+
+    rng = np.random.default_rng(11)
+    letters = list("ARNDCQEGHILKMFPSTWYV")
+    families = [rng.choice(letters, 50) for _ in range(3)]
+
+    def alignment(base, n, seed):
+        own = np.random.default_rng(seed)
+        rows = []
+        for _ in range(n):
+            row = base.copy()
+            at = own.random(50) < 0.25
+            row[at] = own.choice(letters, at.sum())
+            rows.append("".join(row))
+        return "".join(f">s{i}\n{r}\n" for i, r in enumerate(rows))
+
+    for i, base in enumerate(families):
+        (tmp_path / f"db{i}.fa").write_text(alignment(base, 12, i))
+    (tmp_path / "query.fa").write_text(alignment(families[1], 8, 99))
+    queries = formats.alignments(spark, str(tmp_path / "query.fa"))
+    database = formats.alignments(spark, [str(tmp_path / f"db{i}.fa") for i in range(3)])
+    got = construct.search_alignments(queries, database, cutoff=10.0, low_complexity=False).orderBy("rank").collect()
+    assert got[0].query_name == "query.fa" and got[0].target_name == "db1.fa" and got[0].evalue < 1e-3
+    assert got[0].q_aln.replace("-", "") in "".join(r.residues for r in queries.filter("seq_id = 0").collect()) and got[0].n_ident > 20
