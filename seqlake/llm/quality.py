@@ -40,7 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import BROADCAST_IDS, IS_SPACE, Rolling, Scratch, documents, mix, runs_by_bytes, spread, text_bytes, with_row_ids
@@ -317,7 +317,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("shard", F.struct("uid", "doc_id", "lang", "label").alias("row"), "text").mapInArrow(made, "shard long, block binary")
 
 
-def _scored_by_shard(rows: DataFrame, needed: DataFrame, known: DataFrame) -> DataFrame:
+def _scored_by_shard(rows: DataFrame, needed: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """Scores with a model of any size: each shard gets the n-grams of its texts, then its texts."""
     model = needed.select("shard", "gram").join(known, "gram")
     model = model.select("shard", F.lit(None).cast("binary").alias("block"), "gram", F.col("trusted").cast("float"), F.col("decent").cast("float"))
@@ -345,9 +345,15 @@ def _scored_by_shard(rows: DataFrame, needed: DataFrame, known: DataFrame) -> Da
                     for texts in pa.ipc.open_stream(block.as_buffer()):
                         yield _scored(texts, held)
 
+    # shards are numbered and dealt out in turn, so that none has several while others have none
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = model.unionByName(texts).repartition(n, "shard").sortWithinPartitions("shard", F.col("block").isNotNull())
-    return stream.mapInArrow(scored, f"row {_ROW}, symbols long, nll double, peak double")
+    numbers = scratch.keep(needed.select("shard").distinct(), "shards")
+    numbers = numbers.select("shard", F.row_number().over(Window.orderBy("shard")).alias("number"))  # a row for each split of the input
+    numbers = scratch.keep(numbers, "numbers")
+    numbers = F.broadcast(numbers) if numbers.count() <= BROADCAST_IDS else numbers
+    stream = model.unionByName(texts).join(numbers, "shard", "left").withColumn("number", F.coalesce("number", F.lit(0)))  # texts without symbols
+    stream = stream.repartitionById(n, F.col("number")).select("shard", "block", "gram", "trusted", "decent")
+    return stream.sortWithinPartitions("shard", F.col("block").isNotNull()).mapInArrow(scored, f"row {_ROW}, symbols long, nll double, peak double")
 
 
 def scores(df: DataFrame, labels: DataFrame, scratch: Scratch, key: str | None = None) -> DataFrame:
@@ -377,7 +383,7 @@ def scores(df: DataFrame, labels: DataFrame, scratch: Scratch, key: str | None =
     counts = scratch.keep(counts, "counts")
     alpha, gamma = kneser_ney(counts, scratch)
     known_p = probabilities(counts.select("gram"), alpha, gamma, scratch)
-    found = scratch.keep(_scored_by_shard(rows, needed, known_p).select("row.*", "symbols", "nll", "peak"), "scores")
+    found = scratch.keep(_scored_by_shard(rows, needed, known_p, scratch).select("row.*", "symbols", "nll", "peak"), "scores")
     scratch.drop("needed", "counts", "alpha", "gamma", "counted", "sums", *(f"probabilities{n}" for n in range(1, ORDER + 1)))
     return found
 
