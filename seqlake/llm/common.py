@@ -16,7 +16,34 @@ BROADCAST_IDS = 1_000_000
 #: Rows to an Arrow batch, as rows hold whole texts.
 ARROW_ROWS = 2000
 #: Bytes of an Arrow batch after which no row is added to it.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
+
+
+# -------------------------------------------------------------- workers' memory
+
+
+def released(made):
+    """An Arrow function that gives freed memory back to the machine at the end of its partition.
+
+    Workers outlive their tasks and wait beside those that work, so what they
+    keep counts with the executor's memory.
+    """
+
+    def run(batches):
+        yield from made(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
 
 
 # --------------------------------------------------------------- scratch tables

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import IS_MARK, Scratch, documents, mix, runs_by_bytes, spread, text_bytes, with_row_ids, word_hashes
+from seqlake.llm.common import IS_MARK, Scratch, documents, mix, released, runs_by_bytes, spread, text_bytes, with_row_ids, word_hashes
 
 ITEMS_PER_BLOCK = 512
 BATCH_BYTES = 2 << 20
@@ -174,7 +174,7 @@ def enough(words: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarra
         return out
     width = int((high - low).max())
     place, none = np.arange(width), times.shape[1] - 1
-    each = max(1, (1 << 20) // max(1, width))
+    each = max(1, (1 << 19) // max(1, width))
     for at in range(0, len(low), each):
         a, b, own = low[at : at + each, None], high[at : at + each, None], item[at : at + each]
         part = words[np.minimum(a + place, len(words) - 1)]
@@ -220,7 +220,7 @@ def _encoded(rows: DataFrame, items: Items) -> DataFrame:
                 words = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), words], names=["uid", "doc_id", "words"])
 
-    return rows.mapInArrow(made, "uid long, doc_id long, words binary")
+    return rows.mapInArrow(released(made), "uid long, doc_id long, words binary")
 
 
 def _word_batches(batches, most: int = 1 << 18):
@@ -304,7 +304,7 @@ def _frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.append(found[number[:-1]], passages))], names=["word", "n"])
 
     out, total = np.zeros(size, dtype=np.int64), 0
-    for row in encoded.select("words").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for row in encoded.select("words").mapInArrow(released(counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         if row["word"] < 0:
             total = row["n"]
         else:
@@ -337,7 +337,7 @@ def _summed(parts: DataFrame, n_rows: int, width: int, scratch: Scratch, name: s
 
     few = min(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, n_rows // 256))
     out = np.zeros((n_rows, width))
-    for row in scratch.keep(parts.repartition(few, "row").mapInArrow(added, "row long, raw binary"), name).collect():
+    for row in scratch.keep(parts.repartition(few, "row").mapInArrow(released(added), "row long, raw binary"), name).collect():
         out[row["row"]] += np.frombuffer(row["raw"], dtype="<f8")
     return out
 
@@ -394,7 +394,7 @@ def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, passages:
         yield rows_of(total * weight[:, None])
 
     spread_rows = encoded.select("words")
-    found = _summed(spread_rows.mapInArrow(ranged, "row long, raw binary"), size, wide, scratch, "range")
+    found = _summed(spread_rows.mapInArrow(released(ranged), "row long, raw binary"), size, wide, scratch, "range")
     for words in items.words:
         np.add.at(found, words, item_rows * weight[words, None] * omega[words].sum(axis=0))
     basis = np.linalg.qr(found)[0]
@@ -406,7 +406,7 @@ def latent_words(encoded: DataFrame, items: Items, weight: np.ndarray, passages:
             total += rows.T @ rows
         yield rows_of(total)
 
-    inner = _summed(spread_rows.mapInArrow(turned, "row long, raw binary"), basis.shape[1], basis.shape[1], scratch, "inner")
+    inner = _summed(spread_rows.mapInArrow(released(turned), "row long, raw binary"), basis.shape[1], basis.shape[1], scratch, "inner")
     for words in items.words:
         row = (basis[words] * weight[words, None]).sum(axis=0)
         inner += item_rows * np.outer(row, row)
@@ -494,7 +494,7 @@ def _matches(encoded: DataFrame, items: Items, vectors: np.ndarray, weighted: np
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "item_id", "passage_word", "lcs", "lcs_share", "answer_share", "cosine"])
 
     schema = "uid long, doc_id long, item_id long, passage_word long, lcs long, lcs_share double, answer_share double, cosine double"
-    return encoded.select("uid", "doc_id", "words").mapInArrow(searched, schema)
+    return encoded.select("uid", "doc_id", "words").mapInArrow(released(searched), schema)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str | None = None) -> DataFrame:

@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import Scratch, documents, mix, only_ids, runs_by_bytes, shingle_hashes, spread, text_bytes
+from seqlake.llm.common import Scratch, documents, mix, only_ids, released, runs_by_bytes, shingle_hashes, spread, text_bytes
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
 #: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Members to a block, where what is left of a cluster is compared.
 BLOCK_IDS = 128
 
@@ -130,7 +130,7 @@ def signed(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = RO
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return spread(texts).mapInArrow(made, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return spread(texts).mapInArrow(released(made), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 # -------------------------------------------------------------- verification
@@ -165,7 +165,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, w
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(similar, "a long, b long, both long, linked boolean")
+    return joined.mapInArrow(released(similar), "a long, b long, both long, linked boolean")
 
 
 def shingle_rows(texts: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -180,7 +180,7 @@ def shingle_rows(texts: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "shingles"])
 
-    sets = texts.join(ids, "id", "left_semi").mapInArrow(made, "id long, shingles array<long>")
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(released(made), "id long, shingles array<long>")
     return sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
 
 
@@ -223,7 +223,7 @@ def forest(edges: DataFrame) -> DataFrame:
             some = [x for x in nodes[at : at + 50_000] if find(x) != x]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], names=["node", "root"])
 
-    return edges.mapInArrow(united, "node long, root long")
+    return edges.mapInArrow(released(united), "node long, root long")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:

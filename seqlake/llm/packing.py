@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import Scratch, documents, runs_by_bytes, spread, text_bytes
+from seqlake.llm.common import Scratch, documents, released, runs_by_bytes, spread, text_bytes
 from seqlake.llm.tokens import default_path, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
@@ -183,7 +183,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CL
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return spread(rows).mapInArrow(made, schema)
+    return spread(rows).mapInArrow(released(made), schema)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -308,7 +308,7 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOS
     ranked = made.join(bases.hint("merge"), ["split", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
     )
-    return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(placed), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

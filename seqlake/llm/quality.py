@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import BROADCAST_IDS, IS_SPACE, Rolling, Scratch, documents, mix, runs_by_bytes, spread, text_bytes, with_row_ids
+from seqlake.llm.common import BROADCAST_IDS, IS_SPACE, Rolling, Scratch, documents, mix, released, runs_by_bytes, spread, text_bytes, with_row_ids
 
 ORDER = 5
 START, END, AGAIN = 2, 3, 4
@@ -157,14 +157,14 @@ def _gathered(rows: DataFrame) -> DataFrame:
                     zeros = np.zeros(len(parts[0][0]), dtype=np.int64)
                     parts[0] = (parts[0][0], zeros, zeros)
                     held.setdefault(shard, []).append(tuple(np.concatenate([p[i] for p in parts]) for i in range(3)))
-                    if sum(len(p[0]) for p in held[shard]) > 4_000_000 or len(held[shard]) % 8 == 0:
+                    if sum(len(p[0]) for p in held[shard]) > 2_000_000 or len(held[shard]) % 6 == 0:
                         held[shard] = [fold(shard)]
             while len(held) > 16:  # shards come in runs where the input has files
                 yield given(next(iter(held)))
         for shard in list(held):
             yield given(shard)
 
-    return rows.select("shard", "text", "label").mapInArrow(made, "shard long, gram long, trusted long, decent long")
+    return rows.select("shard", "text", "label").mapInArrow(released(made), "shard long, gram long, trusted long, decent long")
 
 
 # -------------------------------------------------------------- Kneser-Ney
@@ -314,7 +314,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
                         writer.write_batch(part)
                     yield pa.RecordBatch.from_arrays([pa.array([int(shards[low])]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "block"])
 
-    return rows.select("shard", F.struct("uid", "doc_id", "lang", "label").alias("row"), "text").mapInArrow(made, "shard long, block binary")
+    return rows.select("shard", F.struct("uid", "doc_id", "lang", "label").alias("row"), "text").mapInArrow(released(made), "shard long, block binary")
 
 
 def _scored_by_shard(rows: DataFrame, needed: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
@@ -353,7 +353,7 @@ def _scored_by_shard(rows: DataFrame, needed: DataFrame, known: DataFrame, scrat
     numbers = F.broadcast(numbers) if numbers.count() <= BROADCAST_IDS else numbers
     stream = model.unionByName(texts).join(numbers, "shard", "left").withColumn("number", F.coalesce("number", F.lit(0)))  # texts without symbols
     stream = stream.repartitionById(n, F.col("number")).select("shard", "block", "gram", "trusted", "decent")
-    return stream.sortWithinPartitions("shard", F.col("block").isNotNull()).mapInArrow(scored, f"row {_ROW}, symbols long, nll double, peak double")
+    return stream.sortWithinPartitions("shard", F.col("block").isNotNull()).mapInArrow(released(scored), f"row {_ROW}, symbols long, nll double, peak double")
 
 
 def scores(df: DataFrame, labels: DataFrame, scratch: Scratch, key: str | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import BROADCAST_IDS, Rolling, Scratch, documents, free_name, mix, only_ids, runs_by_bytes, spread, text_bytes, with_row_ids
+from seqlake.llm.common import BROADCAST_IDS, Rolling, Scratch, documents, free_name, mix, only_ids, released, runs_by_bytes, spread, text_bytes, with_row_ids
 
 THRESHOLD = 400
 #: Bytes of an anchor piece, and the offsets of a run in each later pass.
@@ -138,7 +138,7 @@ def _records(rows: DataFrame, threshold: int) -> DataFrame:
                 columns = [uids[base + row], (place + shift).astype(np.int32), (place - last).astype(np.int32), (place - first).astype(np.int32), core.view(np.int64), union.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return rows.select("uid", "text").mapInArrow(made, "uid long, m int, lo int, hi int, core long, union long")
+    return rows.select("uid", "text").mapInArrow(released(made), "uid long, m int, lo int, hi int, core long, union long")
 
 
 def _split(texts: DataFrame, items: DataFrame, cell: int, threshold: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _split(texts: DataFrame, items: DataFrame, cell: int, threshold: int) -> Dat
 
     own = items.groupBy("uid").agg(F.collect_list(F.struct("m", "lo", "hi", "done")).alias("items"))
     return texts.join(own, "uid").select("uid", "text", "items").mapInArrow(
-        cut, "uid long, m int, lo int, hi int, done boolean, core long, union long"
+        released(cut), "uid long, m int, lo int, hi int, done boolean, core long, union long"
     )
 
 
@@ -284,7 +284,7 @@ def removal_digest(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
     )
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return same.unionByName(cut.select("doc_id", "text", "spans").mapInArrow(digests, schema))
+    return same.unionByName(cut.select("doc_id", "text", "spans").mapInArrow(released(digests), schema))
 
 
 def without_repeats(df: DataFrame, threshold: int = THRESHOLD, keep_first: bool = False, key: str | None = None) -> DataFrame:
