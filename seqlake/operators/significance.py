@@ -23,6 +23,11 @@ def histogram(scores: DataFrame, keys: list[str], score: str = "score", scale: i
     """Counts of scores, clamped to [-10, 10], in steps of 1 / scale, and their probabilities."""
     clamped = F.greatest(F.least(F.col(score), F.lit(float(SCORE_LIMIT))), F.lit(-float(SCORE_LIMIT)))
     counts = scores.groupBy(*keys, F.rint(clamped * scale).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return probabilities(counts, keys)
+
+
+def probabilities(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts n of bins with their share p of each key's."""
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 

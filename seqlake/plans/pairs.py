@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from seqlake.functions import linear, special
 from seqlake.functions.alphabet import BACKGROUND
 from seqlake.operators import alignment as al
-from seqlake.operators import construct, convert, msa, scoring, search, segments
+from seqlake.operators import construct, convert, msa, pairs, scoring, search, segments
 from seqlake.operators import profiles as pr
 from seqlake.operators import significance as sig
 from seqlake.plans.adapters import CELLS_SQL, PROFILES_SQL, backgrounds, cells, log_transitions, profiles, r6, table
-from seqlake.plans.queries import _ALPHA_ROWS, _LOCAL_SQL, _SCORES_SQL, _STEPS_SQL, BKG_LIST, BKG_ROWS, position_scores, query
+from seqlake.plans.queries import _ALPHA_ROWS, _LOCAL_SQL, _SCORES_SQL, _STEPS_SQL, BKG_LIST, BKG_ROWS, position_scores, query, scored_positions
 from seqlake.sources import formats, tables
 
 # ------------------------------------------------------------------- inference
@@ -177,6 +177,20 @@ def _by_pair(spark, sf_dir, made, schema: str) -> DataFrame:
     return pairs.mapInPandas(scored, f"q_id long, t_id long, {schema}")
 
 
+def _totals(spark, sf_dir, fields: list[str], matrix, whole: str, digits: dict[str, int]) -> DataFrame:
+    """Sum (or mean), largest and least value of a score's matrix of every pair of profiles (query before target), tile by tile."""
+
+    def made(q, t):
+        v = matrix(q, t)
+        return [float(v.sum())], [float(v.max())], [float(v.min())], [v.size]
+
+    own = full_profiles(spark, sf_dir)
+    rows = pairs.tiles(own, fields, made, "total double, largest double, least double, cells long").groupBy("q_id", "t_id")
+    total = F.sum("total") / F.sum("cells") if whole == "mean" else F.sum("total")
+    values = {whole: total, "largest": F.max("largest"), "least": F.min("least")}
+    return rows.agg(*((F.round(values[c], n) + F.lit(0.0)).alias(c) for c, n in digits.items()))
+
+
 @query("e9_ss_scores", f"WITH {_FULL_SQL} SELECT x.profile_id AS q_id, y.profile_id AS t_id, round(sum({_SS_SQL}), 4) + 0.0 AS total, round(max({_SS_SQL}), 6) + 0.0 AS largest FROM fullp x JOIN fullp y ON x.profile_id < y.profile_id GROUP BY ALL")
 def e9_ss_scores(spark, sf_dir):
     """Secondary-structure scores of all pairs; the state table follows a rule."""
