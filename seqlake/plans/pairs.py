@@ -248,9 +248,8 @@ def e16_fused_scores(spark, sf_dir):
 @query("j8_best_cells", f"WITH {_SCORES_SQL} SELECT q_id, t_id, round(max(score), 6) + 0.0 AS score, arg_max(i * 1000 + j, (round(score, 6), -i, -j))::BIGINT AS cell FROM sc GROUP BY ALL")
 def j8_best_cells(spark, sf_dir):
     """The largest score of each pair and its first cell."""
-    rows = position_scores(spark, sf_dir).withColumn("score", r6(F.col("score")))
-    best = F.max_by(F.col("i") * 1000 + F.col("j"), F.struct("score", (-F.col("i")).alias("a"), (-F.col("j")).alias("b")))
-    return rows.groupBy("q_id", "t_id").agg(F.max("score").alias("score"), best.cast("long").alias("cell"))
+    best = pairs.best_cells(scored_positions(spark, sf_dir))
+    return best.select("q_id", "t_id", "score", (F.col("i") * 1000 + F.col("j")).alias("cell"))
 
 
 @query("h10_masked_histogram", f"""WITH {_SCORES_SQL}, h AS (SELECT q_id, t_id, round_even(greatest(least(round(score, 6), 10), -10) * 32, 0)::INT AS bin, count(*) AS n FROM sc WHERE i % 7 <> 0 AND j % 5 <> 0 GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY q_id, t_id), 6) + 0.0 AS p FROM h""")

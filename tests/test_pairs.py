@@ -32,3 +32,7 @@ def same_as_sql(spark, sf_dir, monkeypatch, name):
 
 def test_e5_base_scores(spark, sf_dir, monkeypatch):
     same_as_sql(spark, sf_dir, monkeypatch, "e5_base_scores")
+
+
+def test_j8_best_cells(spark, sf_dir, monkeypatch):
+    same_as_sql(spark, sf_dir, monkeypatch, "j8_best_cells")
