@@ -255,9 +255,8 @@ def j8_best_cells(spark, sf_dir):
 @query("h10_masked_histogram", f"""WITH {_SCORES_SQL}, h AS (SELECT q_id, t_id, round_even(greatest(least(round(score, 6), 10), -10) * 32, 0)::INT AS bin, count(*) AS n FROM sc WHERE i % 7 <> 0 AND j % 5 <> 0 GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY q_id, t_id), 6) + 0.0 AS p FROM h""")
 def h10_masked_histogram(spark, sf_dir):
     """Score histograms without the cells of masked positions (C11)."""
-    unknown = lambda c, k: F.when(F.col(c) % k == 0, "X").otherwise("A")
-    rows = position_scores(spark, sf_dir).withColumn("score", r6(F.col("score"))).withColumn("qa", unknown("i", 7)).withColumn("ta", unknown("j", 5))
-    return sig.masked_histogram(rows, ["q_id", "t_id"], "qa", "ta").withColumn("p", r6(F.col("p")))
+    own = scored_positions(spark, sf_dir).withColumn("q_known", F.col("pos") % 7 != 0).withColumn("t_known", F.col("pos") % 5 != 0)
+    return sig.probabilities(pairs.counts(own, "q_known", "t_known"), ["q_id", "t_id"]).withColumn("p", r6(F.col("p")))
 
 
 @query("c12_corners", """WITH s AS (SELECT DISTINCT p_size + 20 AS m FROM part), p AS (SELECT a.m, b.m AS n, least(60, round_even(0.34 * greatest(a.m, b.m), 0))::INT AS edge FROM s a JOIN s b ON (a.m * 7 + b.m) % 13 = 0),

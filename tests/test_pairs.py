@@ -40,3 +40,7 @@ def test_j8_best_cells(spark, sf_dir, monkeypatch):
 
 def test_h9_histogram(spark, sf_dir, monkeypatch):
     same_as_sql(spark, sf_dir, monkeypatch, "h9_histogram")
+
+
+def test_h10_masked_histogram(spark, sf_dir, monkeypatch):
+    same_as_sql(spark, sf_dir, monkeypatch, "h10_masked_histogram")
