@@ -53,3 +53,8 @@ def test_h13_statistics(spark, sf_dir, monkeypatch):
 
 def test_h12_expected(spark, sf_dir, monkeypatch):
     same_as_sql(spark, sf_dir, monkeypatch, "h12_expected")
+
+
+def test_h19_scaling(spark, sf_dir, monkeypatch):
+    whole = registry.queries()["h19_scaling"](spark, sf_dir).toPandas()
+    pd.testing.assert_frame_equal(tidy(in_blocks(spark, sf_dir, monkeypatch, "h19_scaling")), tidy(whole), rtol=1e-9, atol=1e-5)
