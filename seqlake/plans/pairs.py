@@ -205,12 +205,8 @@ def e9_ss_scores(spark, sf_dir):
 @query("e11_context_scores", f"WITH {_FULL_SQL}, s AS (SELECT x.profile_id AS q_id, y.profile_id AS t_id, {_CV_SQL} AS v FROM fullp x JOIN fullp y ON x.profile_id < y.profile_id) SELECT q_id, t_id, round(avg(v), 5) + 0.0 AS mean, round(max(v), 5) + 0.0 AS largest, round(min(v), 5) + 0.0 AS least FROM s GROUP BY ALL")
 def e11_context_scores(spark, sf_dir):
     """Log odds of context vectors of all pairs of positions."""
-
-    def made(q, t):
-        v = scoring.cv_statistic(q["cv"], t["cv"], q["norm2"], t["norm2"], q["prior"], t["prior"])
-        return tuple(round(float(x), 5) + 0.0 for x in (v.mean(), v.max(), v.min()))
-
-    return _by_pair(spark, sf_dir, made, "mean double, largest double, least double")
+    odds = lambda q, t: scoring.cv_statistic(q["cv"], t["cv"], q["norm2"], t["norm2"], q["prior"], t["prior"])
+    return _totals(spark, sf_dir, ["cv", "norm2", "prior"], odds, "mean", {"mean": 5, "largest": 5, "least": 5})
 
 
 _CLUSTER_SQL = """CASE WHEN (x.cluster + y.cluster) % 11 = 0 THEN 0 ELSE (x.cluster * y.cluster % 7 / 5.0 - 0.4) * (0.4 + 0.6 * exp(-1.5e-5 * (0.47 * pow(x.e - 23, 4) + 0.47 * pow(y.e - 23, 4) + 2 * 0.47 * pow(x.e - 23, 2) * pow(y.e - 23, 2))))

@@ -62,3 +62,7 @@ def test_h19_scaling(spark, sf_dir, monkeypatch):
 
 def test_g20_segment_pairs(spark, sf_dir, monkeypatch):
     same_as_sql(spark, sf_dir, monkeypatch, "g20_segment_pairs")
+
+
+def test_e11_context_scores(spark, sf_dir, monkeypatch):
+    same_as_sql(spark, sf_dir, monkeypatch, "e11_context_scores")
