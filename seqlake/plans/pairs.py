@@ -216,12 +216,8 @@ _CLUSTER_SQL = """CASE WHEN (x.cluster + y.cluster) % 11 = 0 THEN 0 ELSE (x.clus
 @query("e13_cluster_scores", f"WITH {_FULL_SQL}, s AS (SELECT x.profile_id AS q_id, y.profile_id AS t_id, 1e6 * {_CLUSTER_SQL} AS v FROM fullp x JOIN fullp y ON x.profile_id < y.profile_id) SELECT q_id, t_id, round(sum(v), 3) + 0.0 AS total, round(max(v), 4) + 0.0 AS largest, round(min(v), 4) + 0.0 AS least FROM s GROUP BY ALL")
 def e13_cluster_scores(spark, sf_dir):
     """Cluster scores of all pairs, in millionths; the cluster table follows a rule."""
-
-    def made(q, t):
-        v = 1e6 * scoring.cluster_matrix(q["cluster"], t["cluster"], q["cluster_p"], t["cluster_p"], q["eno"], t["eno"], CLUSTERS)
-        return round(float(v.sum()), 3) + 0.0, round(float(v.max()), 4) + 0.0, round(float(v.min()), 4) + 0.0
-
-    return _by_pair(spark, sf_dir, made, "total double, largest double, least double")
+    score = lambda q, t: 1e6 * scoring.cluster_matrix(q["cluster"], t["cluster"], q["cluster_p"], t["cluster_p"], q["eno"], t["eno"], CLUSTERS)
+    return _totals(spark, sf_dir, ["cluster", "cluster_p", "eno_profile"], score, "total", {"total": 3, "largest": 4, "least": 4})
 
 
 TERMS = scoring.Terms(ss_table=GRID, cv_keys=KEYS, cv_values=VALUES, hdp_table=CLUSTERS)

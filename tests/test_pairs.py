@@ -66,3 +66,7 @@ def test_g20_segment_pairs(spark, sf_dir, monkeypatch):
 
 def test_e11_context_scores(spark, sf_dir, monkeypatch):
     same_as_sql(spark, sf_dir, monkeypatch, "e11_context_scores")
+
+
+def test_e13_cluster_scores(spark, sf_dir, monkeypatch):
+    same_as_sql(spark, sf_dir, monkeypatch, "e13_cluster_scores")
