@@ -194,12 +194,7 @@ def _totals(spark, sf_dir, fields: list[str], matrix, whole: str, digits: dict[s
 @query("e9_ss_scores", f"WITH {_FULL_SQL} SELECT x.profile_id AS q_id, y.profile_id AS t_id, round(sum({_SS_SQL}), 4) + 0.0 AS total, round(max({_SS_SQL}), 6) + 0.0 AS largest FROM fullp x JOIN fullp y ON x.profile_id < y.profile_id GROUP BY ALL")
 def e9_ss_scores(spark, sf_dir):
     """Secondary-structure scores of all pairs; the state table follows a rule."""
-
-    def made(q, t):
-        s = scoring.ss_matrix(q["ss"], t["ss"], GRID)
-        return round(float(s.sum()), 4) + 0.0, round(float(s.max()), 6) + 0.0
-
-    return _by_pair(spark, sf_dir, made, "total double, largest double")
+    return _totals(spark, sf_dir, ["ss"], lambda q, t: scoring.ss_matrix(q["ss"], t["ss"], GRID), "total", {"total": 4, "largest": 6})
 
 
 @query("e11_context_scores", f"WITH {_FULL_SQL}, s AS (SELECT x.profile_id AS q_id, y.profile_id AS t_id, {_CV_SQL} AS v FROM fullp x JOIN fullp y ON x.profile_id < y.profile_id) SELECT q_id, t_id, round(avg(v), 5) + 0.0 AS mean, round(max(v), 5) + 0.0 AS largest, round(min(v), 5) + 0.0 AS least FROM s GROUP BY ALL")
