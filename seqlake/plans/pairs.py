@@ -20,7 +20,7 @@ from seqlake.operators import construct, convert, msa, pairs, scoring, search, s
 from seqlake.operators import profiles as pr
 from seqlake.operators import significance as sig
 from seqlake.plans.adapters import CELLS_SQL, PROFILES_SQL, backgrounds, cells, log_transitions, profiles, r6, table
-from seqlake.plans.queries import _ALPHA_ROWS, _LOCAL_SQL, _SCORES_SQL, _STEPS_SQL, BKG_LIST, BKG_ROWS, position_scores, query, scored_positions
+from seqlake.plans.queries import _ALPHA_ROWS, _LOCAL_SQL, _SCORES_SQL, _STEPS_SQL, BKG_LIST, BKG_ROWS, query, scored_positions
 from seqlake.sources import formats, tables
 
 # ------------------------------------------------------------------- inference
@@ -159,24 +159,6 @@ def packed_full(spark, sf_dir) -> DataFrame:
     return search.packed(own.join(backgrounds(own), "profile_id").withColumn("trn", log_transitions()))
 
 
-def _by_pair(spark, sf_dir, made, schema: str) -> DataFrame:
-    """``made`` of every pair of packed profiles (query before target), pairs dealt out over all cores."""
-    own = packed_full(spark, sf_dir)
-    one, two = (own.select(*(F.col(c).alias(f"{c}_{s}") for c in own.columns)) for s in "qt")
-    names = ["q_id", "t_id", *(x.split()[0] for x in schema.split(", "))]
-    pairs = one.join(two, F.col("profile_id_q") < F.col("profile_id_t"))
-
-    def scored(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_dict("records"):
-                q, t = (search._unpacked({c[:-2]: v for c, v in r.items() if c.endswith(f"_{s}")}) for s in "qt")
-                rows.append((q["id"], t["id"], *made(q, t)))
-            yield pd.DataFrame(rows, columns=names)
-
-    return pairs.mapInPandas(scored, f"q_id long, t_id long, {schema}")
-
-
 def _totals(spark, sf_dir, fields: list[str], matrix, whole: str, digits: dict[str, int]) -> DataFrame:
     """Sum (or mean), largest and least value of a score's matrix of every pair of profiles (query before target), tile by tile."""
 
@@ -227,9 +209,13 @@ def e16_fused_scores(spark, sf_dir):
 
     def made(q, t):
         s, m = scoring.score_matrices(q, t, TERMS)
-        return round(float(s.sum()), 3) + 0.0, round(float(s.max()), 5) + 0.0, round(float(s.min()), 5) + 0.0, round(float(m.sum()), 3) + 0.0
+        return [float(s.sum())], [float(s.max())], [float(s.min())], [float(m.sum())]
 
-    return _by_pair(spark, sf_dir, made, "total double, largest double, least double, modular double")
+    own = full_profiles(spark, sf_dir)
+    fields = ["trg", "ss", "cv", "norm2", "prior", "cluster", "cluster_p", "bkg", "eno_profile"]
+    rows = pairs.tiles(own.join(backgrounds(own), "profile_id"), fields, made, "total double, largest double, least double, modular double").groupBy("q_id", "t_id")
+    values = {"total": (F.sum("total"), 3), "largest": (F.max("largest"), 5), "least": (F.min("least"), 5), "modular": (F.sum("modular"), 3)}
+    return rows.agg(*((F.round(v, n) + F.lit(0.0)).alias(c) for c, (v, n) in values.items()))
 
 
 @query("j8_best_cells", f"WITH {_SCORES_SQL} SELECT q_id, t_id, round(max(score), 6) + 0.0 AS score, arg_max(i * 1000 + j, (round(score, 6), -i, -j))::BIGINT AS cell FROM sc GROUP BY ALL")

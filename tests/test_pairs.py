@@ -74,3 +74,7 @@ def test_e13_cluster_scores(spark, sf_dir, monkeypatch):
 
 def test_e9_ss_scores(spark, sf_dir, monkeypatch):
     same_as_sql(spark, sf_dir, monkeypatch, "e9_ss_scores")
+
+
+def test_e16_fused_scores(spark, sf_dir, monkeypatch):
+    same_as_sql(spark, sf_dir, monkeypatch, "e16_fused_scores")
