@@ -23,6 +23,8 @@ from seqlake.operators.scoring import Terms, score_matrices
 QUERY_BYTES = 64 << 20
 #: Cells of the score matrices that are aligned together.
 BATCH_CELLS = 1 << 20
+#: Cells of a pair whose matrices are never held whole.
+LONG_CELLS = 1 << 22
 #: Score of the cells that a shorter target lacks.
 ABSENT = -1e9
 
@@ -81,17 +83,20 @@ def _unpacked(row) -> dict:
     return out
 
 
-def pair_statistics(scores: np.ndarray, q: str, t: str) -> tuple[float, float, float, float, float, float]:
-    """lambda, K, relative entropy, expected, least and largest score of a pair; cells with an unknown residue (X) on either side don't count."""
+def score_counts(scores: np.ndarray, q: str, t: str) -> np.ndarray:
+    """Counts of clamped scores in steps of 1 / SCALE; cells with an unknown residue (X) on either side don't count."""
     known = (np.frombuffer(q.encode(), "S1") != b"X")[:, None] & (np.frombuffer(t.encode(), "S1") != b"X")[None, :]
     clamped = np.clip(scores[known] if not known.all() else scores, -sig.SCORE_LIMIT, sig.SCORE_LIMIT)
-    if not clamped.size:
-        return -1.0, -1.0, -1.0, 0.0, 0.0, 0.0
-    bins = np.rint(clamped * sig.SCALE).astype(int).ravel()
-    low = int(bins.min())
-    counts = np.bincount(bins - low)
+    most = sig.SCORE_LIMIT * sig.SCALE
+    return np.bincount(np.rint(clamped * sig.SCALE).astype(int).ravel() + most, minlength=2 * most + 1)
+
+
+def count_statistics(counts: np.ndarray) -> tuple[float, float, float, float, float, float]:
+    """lambda, K, relative entropy, expected, least and largest score of a pair's counts."""
     some = np.flatnonzero(counts)
-    s, p = (some + low) / sig.SCALE, counts[some] / counts.sum()
+    if not some.size:
+        return -1.0, -1.0, -1.0, 0.0, 0.0, 0.0
+    s, p = (some - sig.SCORE_LIMIT * sig.SCALE) / sig.SCALE, counts[some] / counts.sum()
     lam = sig.solve_lambda(s, p)
     h = sig.relative_entropy(s, p, lam)
     unit, back_to = np.unique(np.rint(s).astype(int), return_inverse=True)
@@ -99,6 +104,75 @@ def pair_statistics(scores: np.ndarray, q: str, t: str) -> tuple[float, float, f
     return lam, k, h, float((s * p).sum()), float(s.min()), float(s.max())
 
 
+def pair_statistics(scores: np.ndarray, q: str, t: str) -> tuple[float, float, float, float, float, float]:
+    """The same of a pair's whole matrix of scores."""
+    return count_statistics(score_counts(scores, q, t))
+
+
+def _part(x: dict, first: int, end: int) -> dict:
+    """Some positions of an unpacked profile."""
+    return x | {c: x[c][first:end] for c in ("trg", *EXTRA) if x.get(c) is not None}
+
+
+def _path_scores(q: dict, t: dict, terms: Terms, path: list[tuple[int, int, int]]) -> dict:
+    """Scores of the cells of a path, made in small blocks along it."""
+    out = {}
+    for at in range(0, len(path), 256):
+        ys, xs = zip(*((y, x) for y, x, _ in path[at : at + 256]))
+        y0, x0 = min(ys), min(xs)
+        block = score_matrices(_part(q, y0, max(ys) + 1), _part(t, x0, max(xs) + 1), terms)[0]
+        out.update(((y, x), float(block[y - y0, x - x0])) for y, x in zip(ys, xs))
+    return out
+
+
+def _record(q: dict, t: dict, score: float, extra: float, n_positive: int, stats: tuple, pair: float, steps: list, lines: tuple[str, str, str]) -> tuple:
+    same = sum(a == b != "-" for a, b in zip(lines[0], lines[2]))
+    ys, xs = [y for y, _, _ in steps], [x for _, x, _ in steps]
+    lam, k, h, mean, low, high = stats
+    return (
+        q["id"], t["id"], q["len"], t["len"], score, n_positive, extra, min(ys, default=-1) + 1, max(ys, default=-1) + 1, min(xs, default=-1) + 1, max(xs, default=-1) + 1,
+        len(steps), same, lines[0].count("-") + lines[2].count("-"), *lines, lam, k, h, mean, low, high, pair,
+        float(q["eno"]) if q["eno"] is not None else None, float(t["eno"]) if t["eno"] is not None else None,
+    )
+
+
+def _log_pair_evalue(stats: tuple, score: float, area: int) -> float:
+    lam, k = stats[:2]
+    return math.log(k * area) - lam * score if lam > 0 and k > 0 else math.log(sig.K_REF * area) - sig.LAMBDA_REF * score
+
+
+def long_hit(q: dict, t: dict, threshold: float, terms: Terms = Terms(), least: float = 0.28) -> tuple | None:
+    """The hit of a pair whose matrices are too large to be held: scores are made strip by strip, again for each pass."""
+    m, n = q["len"], t["len"]
+    strip = lambda y0, y1: score_matrices(_part(q, y0, y1), t, terms)
+    counts = np.zeros(2 * sig.SCORE_LIMIT * sig.SCALE + 1, dtype=np.int64)
+
+    def counted(y0, y1):
+        scores = strip(y0, y1)[0]
+        counts[:] += score_counts(scores, q["residues"][y0:y1], t["residues"])
+        return scores
+
+    top, end, back = al.local_rows(counted, m, n, q["trn"], t["trn"])
+    if top <= threshold:
+        return None
+    path = al.trace(back, end)
+    del back
+    own = _path_scores(q, t, terms, path)
+    matched = [own[y, x] for y, x, step in path if step == al.DIAGONAL]
+    extra = al.bonus(matched)
+    score = top + extra
+    if score <= threshold:
+        return None
+    stats = count_statistics(counts)
+    pair = _log_pair_evalue(stats, score, m * n)
+    steps, n_positive = path[::-1], al.positives(matched)
+    if terms.realign:
+        steps = al.accuracy_rows(lambda y0, y1: al.dynamic_scores(*strip(y0, y1), pair), m, n, q["trn"], t["trn"], least)
+        own = _path_scores(q, t, terms, steps)
+    lines = al.strings(steps, q["residues"], t["residues"], own)
+    return _record(q, t, score, extra, lines[1].count("+") if terms.realign else n_positive, stats, pair, steps, lines)
+
+
 def batch_hits(q: dict, targets: list[dict], threshold: float, terms: Terms = Terms(), least: float = 0.28) -> list[tuple]:
     """Hits of one query among some targets: score, statistics, alignment.
 
@@ -106,6 +180,8 @@ def batch_hits(q: dict, targets: list[dict], threshold: float, terms: Terms = Te
     passes the threshold, before the bonus and with it, are realigned.
     """
     m, wide = q["len"], max(t["len"] for t in targets)
+    if m * wide > LONG_CELLS:  # alone in its batch
+        return [hit for t in targets if (hit := long_hit(q, t, threshold, terms, least)) is not None]
     made = [score_matrices(q, t, terms) for t in targets]
     scores = np.full((len(targets), m, wide), ABSENT)
     trn = np.full((len(targets), wide + 1, 9), 0.0)
@@ -125,9 +201,7 @@ def batch_hits(q: dict, targets: list[dict], threshold: float, terms: Terms = Te
         if score <= threshold:
             continue
         stats = pair_statistics(own, q["residues"], t["residues"])
-        lam, k = stats[:2]
-        area = m * t["len"]
-        pair = math.log(k * area) - lam * score if lam > 0 and k > 0 else math.log(sig.K_REF * area) - sig.LAMBDA_REF * score
+        pair = _log_pair_evalue(stats, score, m * t["len"])
         found.append((i, score, extra, al.positives(matched), stats, pair, path[::-1]))
     if terms.realign and found:
         dynamic = np.full((len(found), m, wide), ABSENT)
@@ -140,16 +214,9 @@ def batch_hits(q: dict, targets: list[dict], threshold: float, terms: Terms = Te
         t, own = targets[i], made[i][0]
         steps = paths[j] if terms.realign else path
         lines = al.strings(steps, q["residues"], t["residues"], own)
-        same = sum(a == b != "-" for a, b in zip(lines[0], lines[2]))
         if terms.realign:  # the realigned path's: cells above 0 of unlike residues
             n_positive = lines[1].count("+")
-        ys, xs = [y for y, _, _ in steps], [x for _, x, _ in steps]
-        lam, k, h, mean, low, high = stats
-        out.append((
-            q["id"], t["id"], m, t["len"], score, n_positive, extra, min(ys, default=-1) + 1, max(ys, default=-1) + 1, min(xs, default=-1) + 1, max(xs, default=-1) + 1,
-            len(steps), same, lines[0].count("-") + lines[2].count("-"), *lines, lam, k, h, mean, low, high, pair,
-            float(q["eno"]) if q["eno"] is not None else None, float(t["eno"]) if t["eno"] is not None else None,
-        ))
+        out.append(_record(q, t, score, extra, n_positive, stats, pair, steps, lines))
     return out
 
 

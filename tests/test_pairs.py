@@ -1,9 +1,14 @@
 """Queries on pairs of profiles cut into blocks, and long pairs row by row."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 
-from seqlake.operators import pairs
+from seqlake.operators import pairs, scoring, search
+from seqlake.plans import pairs as plans
 from seqlake.plans import registry
 
 
@@ -78,3 +83,44 @@ def test_e9_ss_scores(spark, sf_dir, monkeypatch):
 
 def test_e16_fused_scores(spark, sf_dir, monkeypatch):
     same_as_sql(spark, sf_dir, monkeypatch, "e16_fused_scores")
+
+
+def made_profile(rng, n: int, number: int) -> dict:
+    step = np.log(rng.uniform(0.05, 0.9, (n + 1, 9)))
+    cv = rng.normal(size=(n, 19))
+    return {
+        "id": number, "len": n, "residues": "".join(rng.choice(list("ARNDCQEGHILKMFPSTWYVX"), n)), "trg": rng.dirichlet(np.ones(20) * 0.3, n), "bkg": np.full(20, 0.05), "trn": step, "eno": 5.0,
+        "ss": rng.dirichlet(np.ones(3), n), "cv": cv, "norm2": (cv**2).sum(axis=1), "prior": rng.normal(size=n) - 20, "cluster": rng.integers(0, 12, n), "cluster_p": rng.uniform(0.2, 1, n),
+    }
+
+
+#: The searches and what each adds to the base score.
+SEARCHES = {"g3_search": scoring.Terms(), "h26_combined_evalues": scoring.Terms(realign=False), "g3_full_search": plans.TERMS}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_long_pairs_give_the_same_hit(monkeypatch, name):
+    rng = np.random.default_rng(len(name))
+    for m, n in ((1, 1), (1, 90), (90, 1), (65, 130), (130, 65), (150, 150)):
+        q, t = made_profile(rng, m, 1), made_profile(rng, n, 2)
+        t["trg"][: min(m, n)] = q["trg"][: min(m, n)]
+        whole = search.batch_hits(q, [t], 0.0, SEARCHES[name])
+        monkeypatch.setattr(search, "LONG_CELLS", 0)
+        rows = search.batch_hits(q, [t], 0.0, SEARCHES[name])
+        monkeypatch.undo()
+        assert len(whole) == len(rows)
+        for a, b in zip(whole, rows):
+            assert all(x == pytest.approx(y, rel=1e-6, abs=1e-6) if isinstance(x, float) else x == y for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_long_pairs_hold_few_bytes_a_cell(monkeypatch, name):
+    """Back pointers take a byte a cell; tables and scores are rows and strips."""
+    rng = np.random.default_rng(3)
+    q, t = made_profile(rng, 900, 1), made_profile(rng, 900, 2)
+    monkeypatch.setattr(search, "LONG_CELLS", 0)
+    tracemalloc.start()
+    found = search.batch_hits(q, [t], 0.0, SEARCHES[name])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and most < 16 * 900 * 900
