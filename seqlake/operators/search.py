@@ -24,7 +24,7 @@ QUERY_BYTES = 64 << 20
 #: Cells of the score matrices that are aligned together.
 BATCH_CELLS = 1 << 20
 #: Cells of a pair whose matrices are never held whole.
-LONG_CELLS = 1 << 22
+LONG_CELLS = 1 << 19
 #: Score of the cells that a shorter target lacks.
 ABSENT = -1e9
 
