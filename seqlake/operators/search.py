@@ -25,6 +25,8 @@ QUERY_BYTES = 64 << 20
 BATCH_CELLS = 1 << 20
 #: Cells of a pair whose matrices are never held whole.
 LONG_CELLS = 1 << 19
+#: Tasks a core that long pairs are dealt out to.
+TASKS_A_CORE = 8
 #: Score of the cells that a shorter target lacks.
 ABSENT = -1e9
 
@@ -71,9 +73,10 @@ def packed(profiles: DataFrame) -> DataFrame:
 def _unpacked(row) -> dict:
     n = int(row["len"])
     trn = np.array(row["trn"], dtype=float)
+    eno = None if pd.isna(row["eno"]) else row["eno"]
     out = {
         "id": int(row["profile_id"]), "len": n, "residues": row["residues"], "trg": np.array(row["trg"], dtype=float).reshape(n, 20),
-        "bkg": np.array(row["bkg"], dtype=float), "trn": np.tile(trn, (n + 1, 1)) if trn.size == 9 else trn.reshape(n + 1, 9), "eno": row["eno"],
+        "bkg": np.array(row["bkg"], dtype=float), "trn": np.tile(trn, (n + 1, 1)) if trn.size == 9 else trn.reshape(n + 1, 9), "eno": eno,
     }
     for c, width in EXTRA.items():
         value = row[c]
@@ -231,26 +234,34 @@ def hits(queries: DataFrame, database: DataFrame, threshold: float = 0.0, terms:
     With a ``cutoff`` E-value and the database's ``n_positions`` each query
     has a threshold of its own, by its length. Queries are sent to the
     executors in blocks of bounded size; within a partition of the database
-    targets of like length are aligned together.
+    targets of like length are aligned together. Of long profiles that are
+    fewer than the tasks, each goes out in copies, and each copy meets its
+    slice of the queries.
     """
     spark = database.sparkSession
-    size = queries.agg(F.sum(F.col("len") * 400 + 1600).alias("b"), F.count("*").alias("n")).first()
+    size = queries.agg(F.sum(F.col("len") * 400 + 1600).alias("b"), F.count("*").alias("n"), F.max("len").alias("longest")).first()
     blocks = max(1, -(-int(size["b"] or 0) // QUERY_BYTES))
-    # aligning costs far more than moving a profile: deal them out over all cores, whatever their number
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    database = database.repartition(parts)
+    # aligning costs far more than moving a profile: deal pairs out over all cores, whatever the profiles' number
+    targets = database.agg(F.count("*").alias("n"), F.max("len").alias("longest")).first()
+    slices, parts = 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if (size["longest"] or 0) * (targets["longest"] or 0) > LONG_CELLS:
+        parts = max(parts, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+        slices = max(1, min(int(size["n"]), -(-parts // int(targets["n"]))))
+    database = database.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    database = database.repartitionByRange(parts, "slice", "profile_id") if slices > 1 else database.repartition(parts)
     names = [x.split()[0] for x in HIT.split(", ")]
     out = None
     for block in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("profile_id"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast([_unpacked(r) for r in part.collect()])  # about QUERY_BYTES
+        held = spark.sparkContext.broadcast([_unpacked(r) for r in part.toArrow().to_pandas().to_dict("records")])  # about QUERY_BYTES
 
         def search(batches, held=held):
             for batch in batches:
-                targets = sorted((_unpacked(r) for r in batch.to_dict("records")), key=lambda t: t["len"])
+                everyone = sorted((_unpacked(r) | {"slice": r["slice"]} for r in batch.to_dict("records")), key=lambda t: t["len"])
                 rows = []
-                for q in held.value:
+                for k, q in enumerate(held.value):
                     own = max(threshold, sig.threshold_of(cutoff, q["len"], n_positions)) if cutoff is not None else threshold
+                    targets = [t for t in everyone if t["slice"] == k % slices]
                     at = 0
                     while at < len(targets):
                         to = at + 1

@@ -6,10 +6,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from seqlake.operators import alignment as al
 from seqlake.operators import pairs, scoring, search
 from seqlake.plans import pairs as plans
-from seqlake.plans import registry
+from seqlake.plans import queries, registry
 
 
 def tidy(df: pd.DataFrame) -> pd.DataFrame:
@@ -124,3 +126,44 @@ def test_long_pairs_hold_few_bytes_a_cell(monkeypatch, name):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found and most < 16 * 900 * 900
+
+
+@pytest.mark.parametrize("strength", (1.0, 4.0))
+def test_b13_posteriors_of_long_pairs_need_no_logarithms(strength):
+    """Rows of scaled weights give the probabilities of whole tables, also where weights go far beyond a double."""
+    rng = np.random.default_rng(7)
+    for m, n, same in ((1, 1, False), (70, 260, False), (300, 130, False), (400, 400, True)):
+        q, t = made_profile(rng, m, 1), made_profile(rng, n, 2)
+        q["trn"][m // 3 :] = q["trn"][m // 3]
+        if same:
+            t["trg"] = q["trg"]
+        for x in (q, t):  # nothing is inserted or deleted at the ends
+            x["trn"][[0, -1]] = [0, -32768, -32768, 0, -32768, -32768, 0, -32768, -32768]
+        s = scoring.score_matrices(q, t, scoring.Terms())[0] * strength
+        rows = list(al._scaled_posteriors(lambda y0, y1: s[y0:y1].copy(), m, n, q["trn"], t["trn"]))
+        whole = al.maximum_accuracy(s, q["trn"], t["trn"])[0]
+        np.testing.assert_allclose(np.where(al.corners(m, n), 0.0, rows), whole, atol=1e-8)
+    assert strength == 1.0 or al.local(s, q["trn"], t["trn"])[0] > 750  # the last pair's
+
+
+def test_b13_posteriors_that_do_not_fit_go_by_logarithms(monkeypatch):
+    rng = np.random.default_rng(8)
+    q, t = made_profile(rng, 90, 1), made_profile(rng, 110, 2)
+    t["trg"][:90] = q["trg"]
+    t["trn"][50] = -32768.0  # no way past a column
+    strip = lambda y0, y1: scoring.score_matrices(search._part(q, y0, y1), t, scoring.Terms())[0]
+    with pytest.raises(al._OutOfRange):
+        next(al._scaled_posteriors(strip, 90, 110, q["trn"], t["trn"]))
+    path = al.accuracy_rows(strip, 90, 110, q["trn"], t["trn"])
+    assert path and path == al.maximum_accuracy(strip(0, 90), q["trn"], t["trn"])[1]
+
+
+def test_b13_long_pairs_are_dealt_out(spark, sf_dir, monkeypatch):
+    """Pairs of a few long profiles reach more tasks than there are profiles, and each pair is there once."""
+    own = queries.packed_profiles(spark, sf_dir)
+    two = own.filter("profile_id < 2")
+    whole = {tuple(r) for r in search.hits(own, two).select("query_id", "target_id", "score").collect()}
+    monkeypatch.setattr(search, "LONG_CELLS", 0)
+    rows = search.hits(own, two).select("query_id", "target_id", "score", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == len(whole) and {r[:3] for r in rows} == whole
+    assert len({r["task"] for r in rows}) > 2
