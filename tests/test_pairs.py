@@ -167,3 +167,24 @@ def test_b13_long_pairs_are_dealt_out(spark, sf_dir, monkeypatch):
     rows = search.hits(own, two).select("query_id", "target_id", "score", F.spark_partition_id().alias("task")).collect()
     assert len(rows) == len(whole) and {r[:3] for r in rows} == whole
     assert len({r["task"] for r in rows}) > 2
+
+
+def test_g3_full_search_state_scores_hold_one_matrix():
+    """State scores are one product: no matrix for each pair of states, and the values of the cells one by one."""
+    rng = np.random.default_rng(9)
+    q, t = rng.dirichlet(np.ones(3), 400), rng.dirichlet(np.ones(3), 500)
+    q[0], t[0], t[1] = (1, 0, 0), (0, 0, 1), (0, 1, 0)
+    tracemalloc.start()
+    made = scoring.ss_matrix(q, t, plans.GRID)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * made.nbytes
+    for y, x in ((0, 0), (0, 1), (3, 7), (399, 499)):
+        states = sum(q[y, a] * t[x, b] * plans.GRID[10 * a + int(9.999 * q[y, a]), 10 * b + int(9.999 * t[x, b])] for a in range(3) for b in range(3))
+        assert made[y, x] == pytest.approx(0.12 * (states + (q[y, 2] + 0.1) * (t[x, 2] + 0.1) / 9 - 0.05), abs=1e-12)
+
+
+def test_g3_full_search_steps_are_looked_up():
+    keys, table = np.arange(-5, 88) / 2, np.arange(93.0)
+    values = np.array([-1e9, -2.6, -2.5, -2.26, -2.25, -2.24, 0.0, 0.25, 0.75, 43.4, 43.5, 1e9])
+    assert scoring.step_lookup(values, keys, table).tolist() == [0, 0, 0, 0, 1, 1, 5, 5, 7, 92, 92, 92]
