@@ -13,8 +13,8 @@ def anchored_cells(pairs: DataFrame) -> DataFrame:
 
     ``ins`` is 0 in a query position and counts the target residues inserted after it.
     """
-    cells = pairs.select("query_id", "target_id", "q_from", F.posexplode(F.split("q_aln", "")).alias("at", "q"), "t_aln")
-    cells = cells.withColumn("t", F.substring("t_aln", F.col("at") + 1, F.lit(1)))
+    letters = F.arrays_zip(F.split("q_aln", "").alias("q"), F.split("t_aln", "").alias("t"))
+    cells = pairs.select("query_id", "target_id", "q_from", F.posexplode(letters).alias("at", "cell")).select("query_id", "target_id", "q_from", "at", "cell.q", "cell.t")
     upto = Window.partitionBy("query_id", "target_id").orderBy("at")
     is_query = F.when(F.col("q") != "-", 1).otherwise(0)
     cells = cells.withColumn("k", F.sum(is_query).over(upto))

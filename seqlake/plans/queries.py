@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import special
 from seqlake.functions.alphabet import ALPHABET, BACKGROUND, N_RESIDUES, decode, encode, encode_ss
+from seqlake.functions.tables import written
 from seqlake.operators import convert, hdp, msa, pairs, scoring, search, segments
 from seqlake.operators import profiles as pr
 from seqlake.operators import significance as sig
@@ -580,7 +581,8 @@ def b13_json_results(spark, sf_dir):
 def o1_multiple_alignment(spark, sf_dir):
     """Hits of each query merged into an alignment over the query."""
     found = g3_search(spark, sf_dir).filter("aln_len > 0")
-    return convert.multiple_alignment(found.select("query_id", "target_id", "q_from", "q_aln", "t_aln"))
+    found = written(found.select("query_id", "target_id", "q_from", "q_aln", "t_aln"), "hits")  # read three times, searched once
+    return convert.multiple_alignment(found)
 
 
 @query("o1_anchored_cells", """WITH p AS (SELECT doc_id, string_split(lower(lang || source), '') AS q, string_split(lower(source || lang), '') AS t FROM documents),

@@ -188,3 +188,14 @@ def test_g3_full_search_steps_are_looked_up():
     keys, table = np.arange(-5, 88) / 2, np.arange(93.0)
     values = np.array([-1e9, -2.6, -2.5, -2.26, -2.25, -2.24, 0.0, 0.25, 0.75, 43.4, 43.5, 1e9])
     assert scoring.step_lookup(values, keys, table).tolist() == [0, 0, 0, 0, 1, 1, 5, 5, 7, 92, 92, 92]
+
+
+def test_o1_multiple_alignment_searches_once(spark, sf_dir):
+    """The hits are written before cells, columns and targets are made of them."""
+    rows = registry.queries()["o1_multiple_alignment"](spark, sf_dir)
+    assert "MapInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+    hits = queries.g3_search(spark, sf_dir).filter("aln_len > 0").toPandas()
+    found = rows.toPandas().set_index(["query_id", "target_id"])["aligned"]
+    assert len(found) == len(hits)
+    for h in hits.itertuples():
+        assert found[h.query_id, h.target_id].replace("-", "") == h.t_aln.replace("-", "")
