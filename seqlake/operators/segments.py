@@ -40,8 +40,12 @@ def islands(rows: DataFrame, key: str, at: str, value: str, low: float, high: fl
 
 
 def merged(intervals: DataFrame, key: str) -> DataFrame:
-    """Union of the intervals [left, right] of each key; touching ones are one."""
-    own = Window.partitionBy(key).orderBy("left", "right")
+    """Union of the intervals [left, right] of each key; touching ones are one.
+
+    Null intervals come last, as in the SQL: they belong to the run before
+    them, and without one each stays a row of nulls.
+    """
+    own = Window.partitionBy(key).orderBy(F.col("left").asc_nulls_last(), F.col("right").asc_nulls_last())
     reach = F.max("right").over(own.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("left") > reach + 1), 1).otherwise(0)
     numbered = intervals.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))

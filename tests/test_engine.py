@@ -316,6 +316,23 @@ def test_merged_intervals(spark):
     assert sorted(tuple(r) for r in segments.merged(rows, "k").collect()) == [(1, 1, 5), (1, 8, 9), (2, 5, 5)]
 
 
+def test_merged_segments_of_orders_without_a_date(spark, tmp_path):
+    """f9_merged_segments: null dates join the run before them, or stay rows of nulls, as in the SQL; equal intervals are one."""
+    import duckdb
+
+    from seqlake.plans import registry
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # the SQL leaves the order of equal intervals open
+    con.execute("""CREATE TABLE orders AS SELECT k AS o_orderkey, c::BIGINT AS o_custkey, d::TIMESTAMP AS o_orderdate FROM (VALUES (1, 1, '1995-01-01'), (2, 1, NULL), (3, 1, '1995-01-31'), (4, 1, '1995-06-01'),
+        (5, 1, NULL), (6, 2, NULL), (7, 2, NULL), (8, 3, '1995-02-01'), (9, 3, '1995-02-01'), (10, NULL, '1995-03-01'), (11, NULL, NULL), (12, 4, '1989-12-31'), (13, 4, NULL)) AS v(k, c, d)""")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet'")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    mine = sorted((tuple(r) for r in registry.queries()["f9_merged_segments"](spark, str(tmp_path)).collect()), key=key)
+    assert mine == sorted(con.execute(registry.oracle_sql()["f9_merged_segments"]).fetchall(), key=key)
+    assert len(mine) == 7 and mine.count((2, None, None)) == 2
+
+
 def test_greedy_classes():
     assert segments.greedy_classes(np.array([[0.0], [10.0], [20.0], [1.0]])).tolist() == [0, 0, 1, 0]
 
